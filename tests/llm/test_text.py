@@ -1,0 +1,156 @@
+"""SimHash, licences and personal data against brute force."""
+
+import hashlib
+import re
+
+import numpy as np
+import xxhash
+from fixtures import awkward, prose
+
+from cuewright.llm import licenses, pii, simhash
+from cuewright.llm.components import components
+
+TOKEN, WORD = r"[^\x20\x09-\x0D]+", r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def lower(t):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
+
+
+def brute_fingerprint(text, shingle):
+    w = re.findall(TOKEN, lower(text))
+    grams = [" ".join(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))] if w else []
+    h = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def brute_components(ids, fps, distance):
+    root = list(range(len(fps)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(fps)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= distance:
+                root[find(i)] = find(j)
+    groups = {}
+    for i in range(len(fps)):
+        groups.setdefault(find(i), []).append(ids[i])
+    return [min((x for x in groups[find(i)] if x is not None), default=None) for i in range(len(fps))]
+
+
+def test_simhash(spark):
+    texts = prose(2, n=40)
+    texts += [t + " tail" for t in texts[:10]] + [t.upper() for t in texts[10:15]] + ["one", "one two", "ONE TWO three", "  İx", "w " * 5000]
+    docs = awkward(spark, texts)
+    for shingle, distance in ((3, 2), (5, 4)):
+        got = simhash.near_duplicates(docs, shingle, distance).collect()
+        rows = docs.select("doc_id", "text").collect()
+        fps = [brute_fingerprint(r.text, shingle) for r in rows]
+        want = list(zip([r.doc_id for r in rows], fps, brute_components([r.doc_id for r in rows], fps, distance), strict=True))
+        assert sorted(((r.doc_id, r.fp % (1 << 64), r.component_id) for r in got), key=str) == sorted(want, key=str)
+    assert simhash.near_duplicates(docs.limit(0)).collect() == []
+
+
+def test_links_lose_nothing_in_large_groups(spark, monkeypatch):
+    r = np.random.default_rng(0)
+    centre = r.integers(0, 1 << 63, 1)[0]
+    fps = {int(centre)}
+    for _ in range(400):
+        x = int(centre)
+        for b in r.integers(0, 63, 2):
+            x ^= 1 << int(b)
+        fps.add(x)
+    fps |= set(map(int, r.integers(0, 1 << 63, 300)))
+    fps = sorted(fps)
+    want = brute_components(fps, fps, 2)
+    for heavy in (simhash.HEAVY, 40):
+        monkeypatch.setattr(simhash, "HEAVY", heavy)
+        got = {x.node: x.root for x in components(simhash.links(spark.createDataFrame([(f,) for f in fps], "fp long"), 2)).collect()}
+        assert [got.get(f, f) for f in fps] == want
+
+
+def test_components_of_paths_and_hubs(spark):
+    edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 150)] + [(7, 7), (200, 199), (199, 200), (None, 3)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {i: 0 for i in range(1, 61)} | {i: 100 for i in range(101, 150)} | {200: 199}
+
+
+def test_allocation_is_a_pigeonhole():
+    corr = np.abs(np.random.default_rng(1).normal(size=(64, 64)))
+    for m in (2, 3, 4):
+        masks = simhash.group_bits(corr, m)
+        assert sum(masks) == (1 << 64) - 1
+        assert sum(simhash.allocate(masks, [10.0] * m, 1000, 2)[1]) == 2 - m + 1
+
+
+def brute_base(text, phrases):
+    w = re.findall(WORD, lower(text))
+    return len(w), sorted((i, label) for p, label in phrases.items() for i in range(len(w)) if w[i : i + len(p.split())] == p.split())
+
+
+def test_licences(spark):
+    texts = ["MIT License mit-license", "the GNU  General\nPublic, License; cc-by-nc 4.0", "nothing", "apache licenses", "x SPDX-License-Identifier: (MIT OR GPL-2.0-only WITH Classpath-exception-2.0) AND BSD-3-Clause */", "spdx-license-identifier: AND", "cc by " * 3000, "éMIT license mit License"]
+    docs = awkward(spark, texts + prose(3, n=5))
+    got = licenses.scan(docs).collect()
+    for r, d in zip(sorted(got, key=lambda r: str(r.doc_id)), sorted(docs.select("doc_id", "text").collect(), key=lambda r: str(r.doc_id)), strict=True):
+        n, places = brute_base(d.text, licenses.BASE)
+        assert (r.n_words, r.n_base, r.base_labels) == (n, len(places), ",".join(sorted({x for _, x in places})))
+        assert (r.first_word, r.last_word) == ((places[0][0], places[-1][0]) if places else (None, None))
+        assert set(r.base_labels.split(",")) <= set(r.labels.split(",")) or not r.base_labels
+        assert 0 <= r.score <= 1
+    by = {r.doc_id: r for r in got}
+    assert by[4].labels == "bsd-3-clause,gpl-2.0-only,mit" and by[4].expressions[0].permissive
+    assert by[5].labels == "spdx-invalid" and "cc-by-nc" in by[1].labels
+    assert licenses.scan(docs.limit(0)).collect() == []
+
+
+def test_expressions():
+    p = licenses.parse_expression
+    assert p("MIT OR Apache-2.0 AND ISC") == ["mit", "apache-2.0", "isc", "and", "or"]
+    assert p("(MIT OR GPL-3.0) AND ISC trailing words") == ["mit", "gpl-3.0", "or", "isc", "and"]
+    assert p("GPL-2.0 WITH x AND") == ["gpl-2.0", "x", "with"] and p("(MIT") == [] and p("OR MIT") == [] and p("") == []
+    assert licenses.evaluate(p("GPL-3.0 OR MIT")) and not licenses.evaluate(p("GPL-3.0 AND MIT")) and not licenses.evaluate([])
+    assert licenses.licences_of(p("GPL-2.0 WITH x OR (MIT AND ISC)")) == ["gpl-2.0", "mit", "isc"]
+
+
+def brute_pii(text):
+    text, out = text or "", []
+    for kind, pattern in (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")):
+        for m in re.finditer(pattern, text):
+            digits = [int(c) for c in m[0] if c.isdigit()]
+            if kind == "ip" and max(map(int, m[0].split("."))) > 255 or kind == "phone" and not 9 <= len(digits) <= 15:
+                continue
+            if kind == "card" and not (13 <= len(digits) <= 19 and sum(d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(reversed(digits))) % 10 == 0):
+                continue
+            out.append((kind, m.start(), m.end()))
+    return out
+
+
+PERSONAL = ["write a.b@c.d.e or x@y z@@q.r, a@b@c.com.", "ip 1.2.3.4.5.6.7.8 300.1.1.1 0001.2.3.255", "card 4111 1111 1111 1111 and 4111-1111-1111-1112 12", "+1 (212) 555-0199, +44 20 7946 0958 +1", "é😀 me@x.org é 10.0.0.1", "9" * 5000 + "." + "a" * 5000 + "@", "+" * 50 + "1 2", "a@b.c" * 40, ".1.2.3.4 4111111111111111 5500 0000 0000 0004"]
+
+
+def test_personal_data(spark):
+    docs = awkward(spark, PERSONAL + prose(4, n=5))
+    got = pii.digest(docs).collect()
+    want = []
+    for r in docs.select("doc_id", "text").collect():
+        spans = brute_pii(r.text)
+        text = ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+        want.append((r.doc_id, *[sum(k == s[0] for s in spans) for k in pii.KINDS], hashlib.sha256(text.encode()).hexdigest()))
+    assert sorted((tuple(r)[:6] for r in got), key=str) == sorted(want, key=str)
+    assert pii.digest(docs.limit(0)).collect() == []
+
+
+def test_disclosing_terms_go_and_clean_texts_stay(spark):
+    texts = [f"word{i} other{i} kontaktzeile user{i}@mail.org end{i} kontaktless" for i in range(6)] + ["kontaktless and word other stay kontaktless"] * 5
+    docs = awkward(spark, texts)
+    found = {r.doc.doc_id: r for r in pii.find(docs).collect()}
+    assert {texts[0][t.start : t.end] for t in found[0].terms} == {"kontaktzeile"}
+    clean = {r.doc_id: r for r in pii.sanitise(docs).collect()}
+    assert "<EMAIL>" in clean[0].text and "kontaktzeile" not in clean[0].text and clean[0].x == "clash" and clean[6].text == texts[6] and clean[9001].text is None
+    counts = {r.term: r.n for r in pii.word_counts(docs, most=3).groupBy("term").sum("n").toDF("term", "n").collect()}
+    assert counts["kontaktless"] == 16 and counts[""] == sum(len(re.findall(WORD, lower(r.text))) for r in docs.select("text").collect())
