@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from .common import WORD, lower_ascii, materialize
 
 _WORD_COUNT = "\x01"  # no WORD match holds it
-#: A test vocabulary of up to so many terms (some 50 bytes each) is broadcast; a larger one is joined by shuffle.
-BROADCAST_TERMS = 500_000
+#: A counted table of up to so many rows (some 50 bytes each at most) is broadcast; a larger one is joined by shuffle.
+BROADCAST_ROWS = 500_000
 
 
 def word_array(text: Column) -> Column:
@@ -27,7 +27,7 @@ def word_array(text: Column) -> Column:
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_TERMS else df
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
 def test_terms(items: DataFrame) -> DataFrame:
@@ -67,7 +67,8 @@ def phrase_matches(index: DataFrame, test: DataFrame, width: int = 10) -> DataFr
     aligned = index.select("row_id", "term_id", "pos").join(anchors, "term_id").select("row_id", "item_row", (F.col("pos") - F.col("q")).alias("diag"))
     aligned = materialize(aligned.distinct(), "alignments")
     wanted = aligned.join(ranked.select("item_row", "item_id", "n", "q", "term_id"), "item_row").withColumn("pos", F.col("diag") + F.col("q"))
-    held = index.select("row_id", "term_id", "pos").join(aligned.select("row_id").distinct(), "row_id", "left_semi")
+    rows = materialize(aligned.select("row_id").distinct(), "candidate-rows")
+    held = index.select("row_id", "term_id", "pos").join(_small(rows, rows.count()), "row_id", "left_semi")
     met = wanted.join(held, ["row_id", "pos", "term_id"])
     line = Window.partitionBy("row_id", "item_row", "diag")
     runs = met.withColumn("run", F.col("q") - F.row_number().over(line.orderBy("q")))
