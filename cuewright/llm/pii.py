@@ -89,11 +89,11 @@ def neighbours(text: str, spans: list[tuple[str, int, int]], reach: int) -> list
     return out
 
 
-def find_base(documents: DataFrame, reach: int = 4) -> DataFrame:
-    """row_id, doc (all columns of the document), spans (kind, start, end) and near (the words around them); stored."""
+def find_base(documents: DataFrame, reach: int = 4, kept: list[str] | None = None) -> DataFrame:
+    """row_id, doc (the kept columns of the document; all by default), spans (kind, start, end) and near (the words around them); stored."""
     spans = T.ArrayType(T.StructType.fromDDL("kind string, start int, end int"))
-    docs = documents.select(F.monotonically_increasing_id().alias("row_id"), F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("doc"))
-    schema = T.StructType([*docs.schema]).add("spans", spans).add("near", T.ArrayType(T.StructType.fromDDL("term string, kind string, entity long, start int, end int")))
+    docs = documents.select(F.monotonically_increasing_id().alias("row_id"), F.struct(*[F.col(f"`{c}`") for c in kept or documents.columns]).alias("doc"), "text")
+    schema = T.StructType(docs.schema[:2].fields).add("spans", spans).add("near", T.ArrayType(T.StructType.fromDDL("term string, kind string, entity long, start int, end int")))
     span_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
     near_type = pa.list_(pa.struct([("term", pa.string()), ("kind", pa.string()), ("entity", pa.int64()), ("start", pa.int32()), ("end", pa.int32())]))
 
@@ -102,11 +102,11 @@ def find_base(documents: DataFrame, reach: int = 4) -> DataFrame:
             for lo in range(0, b.num_rows, 1000):
                 part = b.slice(lo, 1000)
                 found, near = [], []
-                for text in part.column("doc").field("text").to_pylist():
+                for text in part.column("text").to_pylist():
                     x = base_spans(text or "")
                     found.append([{"kind": k, "start": s, "end": e} for k, s, e in x])
                     near.append(neighbours(text, x, reach) if x else [])
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, span_type), pa.array(near, near_type)], names=[*part.schema.names, "spans", "near"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(found, span_type), pa.array(near, near_type)], names=["row_id", "doc", "spans", "near"])
 
     return materialize(docs.mapInArrow(run, schema), "personal")
 
@@ -149,9 +149,9 @@ def disclosures(found: DataFrame, documents: DataFrame, reach: int = 4, support:
     return scored.select("term", "kind", ((F.log(p) - F.log(prior)) / -F.log(prior)).alias("disclosure"))
 
 
-def find(documents: DataFrame, reach: int = 4, support: int = 3, generalise: float = 0.9, remove: float = 0.98) -> DataFrame:
+def find(documents: DataFrame, reach: int = 4, support: int = 3, generalise: float = 0.9, remove: float = 0.98, kept: list[str] | None = None) -> DataFrame:
     """find_base with ``terms``: array of (kind, start, end, action) for the words near entities that disclose them."""
-    found = find_base(documents, reach)
+    found = find_base(documents, reach, kept)
     strong = disclosures(found, documents, reach, support).filter(F.col("disclosure") >= generalise)
     strong = materialize(strong.withColumn("action", F.when(F.col("disclosure") >= remove, "remove").otherwise("generalise")), "disclosing")
     near = found.select("row_id", F.explode("near").alias("x")).select("row_id", "x.*")
@@ -162,7 +162,7 @@ def find(documents: DataFrame, reach: int = 4, support: int = 3, generalise: flo
 
 def digest(documents: DataFrame) -> DataFrame:
     """The contract's columns."""
-    found = find(documents.select("doc_id", "text"))
+    found = find(documents, kept=["doc_id"])
     told = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
     base = told(F.col("spans"))
     terms = F.coalesce(F.array_join(F.transform("terms", lambda x: F.concat_ws(":", F.lit("term"), x["start"].cast("string"), x["end"].cast("string"))), ","), F.lit(""))
