@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, licenses, lm, mixing, pii, simhash, toxicity
+from . import chat, decontaminate, licenses, lm, mixing, pii, simhash, substrings, toxicity
 from .common import read
 
 
@@ -25,6 +25,10 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own))
 
 
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(read(spark, sf_dir, "documents")).drop("kept", "spans")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.digest(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
