@@ -5,8 +5,13 @@ searched: their 64 bits are dealt into partitions that keep correlated bits toge
 threshold t_i (-1: not probed) with the sum ``distance - partitions + 1``; two fingerprints within ``distance`` then differ
 in at most t_i bits of some partition. Dynamic programming picks the thresholds of least estimated cost from collision
 counts over all fingerprints. A probe clears every set of t_i bits of the partition's value; fingerprints that meet under
-a probe are verified over all 64 bits. A key shared by more than ``HEAVY`` fingerprints is not compared pair by pair:
-its members are keyed again by all 64 bits less every set of ``distance`` bits, which groups at most 2^distance of them.
+a probe are verified over all 64 bits. A key shared by more than ``HEAVY`` fingerprints is not compared in one task: for
+small distances its members are keyed again by all 64 bits less every set of ``distance`` bits, which groups at most
+2^distance of them, and for larger ones they are dealt into blocks, each pair of which is compared in a task of its own.
+
+``wide`` gives fingerprints of 256 bits, the first 64 of which are probed; links then hold over all 256 bits as well, which
+tells apart similarities that 64 bits cannot. ``one_of_each`` dedups documents so, with five-word shingles, up to 12 of
+64 bits (a similarity of 0.8) and 40 of 256 bits (a Jaccard similarity of about 0.8).
 
 Defined results: null or empty texts have fingerprint 0 and link as any other; repeated rows get a row each; a component
 of null identifiers only has a null component_id; empty tables give empty results; other columns are ignored.
@@ -34,33 +39,44 @@ PROBE_COST = 300.0
 _CHUNK = 1 << 16
 
 
-def fingerprints_of(texts: list[str | None], shingle: int) -> np.ndarray:
-    """uint64 fingerprints."""
+def _words(h: np.ndarray, words: int) -> np.ndarray:
+    """The hashes and words - 1 further mixes of them, side by side."""
+    out = [h]
+    for k in range(1, words):
+        x = h + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+        x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+        out.append(x ^ x >> np.uint64(31))
+    return np.stack(out, axis=1)
+
+
+def fingerprints_of(texts: list[str | None], shingle: int, words: int = 1) -> np.ndarray:
+    """uint64 fingerprints, (texts, words)."""
     import xxhash
 
     digest = xxhash.xxh64_intdigest
-    counts, totals = np.zeros((len(texts), 64), np.int64), np.zeros(len(texts), np.int64)
+    counts, totals = np.zeros((len(texts), 64 * words), np.int64), np.zeros(len(texts), np.int64)
     hashes: list[int] = []
     owners: list[tuple[int, int]] = []
 
     def flush() -> None:
         if hashes:
-            bits = np.unpackbits(np.array(hashes, np.uint64).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            bits = np.unpackbits(_words(np.array(hashes, np.uint64), words).astype("<u8").view(np.uint8), axis=1, bitorder="little")
             at = np.cumsum([0] + [n for _, n in owners[:-1]])
             np.add.at(counts, [d for d, _ in owners], np.add.reduceat(bits, at, axis=0, dtype=np.int32))
             hashes.clear()
             owners.clear()
 
     for d, text in enumerate(texts):
-        words = tokens_of(text)
-        if not words:
+        tokens = tokens_of(text)
+        if not tokens:
             continue
-        joined, at = b" ".join(words), np.cumsum([0] + [len(w) + 1 for w in words]).tolist()
-        n = max(1, len(words) - shingle + 1)
+        joined, at = b" ".join(tokens), np.cumsum([0] + [len(w) + 1 for w in tokens]).tolist()
+        n = max(1, len(tokens) - shingle + 1)
         totals[d] = n
         for lo in range(0, n, _CHUNK):
             hi = min(n, lo + _CHUNK)
-            if len(words) <= shingle:
+            if len(tokens) <= shingle:
                 hashes.append(digest(joined, SEED))
             else:
                 hashes += [digest(joined[a : b - 1], SEED) for a, b in zip(at[lo:hi], at[lo + shingle : hi + shingle], strict=True)]
@@ -68,21 +84,22 @@ def fingerprints_of(texts: list[str | None], shingle: int) -> np.ndarray:
             if len(hashes) >= _CHUNK:
                 flush()
     flush()
-    return np.packbits(counts * 2 > totals[:, None], axis=1, bitorder="little").view("<u8").reshape(-1).astype(np.uint64)
+    return np.packbits(counts * 2 > totals[:, None], axis=1, bitorder="little").view("<u8").astype(np.uint64)
 
 
-def fingerprints(documents: DataFrame, shingle: int = 3) -> DataFrame:
-    """row_id, doc_id, fp (the fingerprint as a signed long)."""
-    docs = documents.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "text")
+def fingerprints(documents: DataFrame, shingle: int = 3, words: int = 1, kept: list[str] | None = None) -> DataFrame:
+    """row_id, doc (the kept columns), fp (the first 64 bits as a signed long), wide (all bits, as bytes)."""
+    docs = documents.select(F.monotonically_increasing_id().alias("row_id"), F.struct(*[F.col(f"`{c}`") for c in kept or documents.columns]).alias("doc"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, 500):
                 part = b.slice(lo, 500)
-                fp = fingerprints_of(part.column("text").to_pylist(), shingle).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("row_id"), part.column("doc_id"), pa.array(fp)], names=["row_id", "doc_id", "fp"])
+                fp = fingerprints_of(part.column("text").to_pylist(), shingle, words)
+                wide = pa.array([x.tobytes() for x in fp.astype("<u8")], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("row_id"), part.column("doc"), pa.array(fp[:, 0].view(np.int64)), wide], names=["row_id", "doc", "fp", "wide"])
 
-    schema = T.StructType([T.StructField("row_id", T.LongType()), T.StructField("doc_id", documents.schema["doc_id"].dataType), T.StructField("fp", T.LongType())])
+    schema = T.StructType(docs.schema[:2].fields).add("fp", T.LongType()).add("wide", T.BinaryType())
     return docs.mapInArrow(run, schema)
 
 
@@ -140,7 +157,9 @@ def allocate(masks: list[int], pairs: list[float], n: int, distance: int) -> tup
         w = mask.bit_count()
         for s, (cost, ts) in best.items():
             for t in range(-1, distance + 1):
-                near = 0.0 if t < 0 else max(same, n * n / 2.0 ** (w + 1)) * sum(comb(w, i) for i in range(t + 1)) * comb(w, t) / max(1, t + 1)
+                if t > w:
+                    continue
+                near = 0.0 if t < 0 else max(same, n * n / 2.0 ** (w + 1)) * 2**t * comb(w, t)
                 c = cost + (near + PROBE_COST * n * comb(w, t) if t >= 0 else 0.0)
                 if s + t not in new or c < new[s + t][0]:
                     new[s + t] = (c, [*ts, t])
@@ -148,10 +167,10 @@ def allocate(masks: list[int], pairs: list[float], n: int, distance: int) -> tup
     return best.get(aim, (float("inf"), []))
 
 
-def plan_probes(fps: DataFrame, distance: int, most_parts: int = 4) -> list[tuple[int, int]]:
+def plan_probes(fps: DataFrame, distance: int) -> list[tuple[int, int]]:
     """(mask, threshold) of every partition that is probed."""
     corr = bit_correlations(fps)
-    options = {m: group_bits(corr, m) for m in range(2, most_parts + 1)}
+    options = {m: group_bits(corr, m) for m in range(max(2, distance // 2), max(4, distance // 2 + 4) + 1)}
     masks = [mask for m in options.values() for mask in m]
     value = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col("fp").bitwiseAND(F.lit(_signed(mask))).alias("v")) for i, mask in enumerate(masks)])).alias("x")
     sizes = fps.select(value).groupBy("x.i", "x.v").agg(F.count("*").alias("n"))
@@ -169,86 +188,123 @@ def _cleared(mask: int, t: int) -> list[int]:
     return [_signed(mask & ~sum(c)) for c in combinations(bits, t)]
 
 
-def _forest(fp: np.ndarray, distance: int) -> tuple[list[int], list[int]]:
-    """Edges that connect what links within the group: breadth-first, each fingerprint met once."""
-    us, vs, open_ = [], [], fp
+def _near(one: np.ndarray, more: np.ndarray, distance: int, widest: int) -> np.ndarray:
+    """Which of more (rows of words) lie within distance of one in their first word and within widest over all."""
+    near = np.bitwise_count(more[..., 0] ^ one[..., 0]) <= distance
+    if more.shape[-1] > 1 and near.any():
+        at = np.flatnonzero(near)
+        near[at] = np.bitwise_count(more[at] ^ (one[at] if one.ndim > 1 else one)).sum(1) <= widest
+    return near
+
+
+def _forest(fp: np.ndarray, distance: int, widest: int) -> tuple[list[int], list[int]]:
+    """Edges (row numbers) that connect what links within the group: breadth-first, each fingerprint met once."""
+    us, vs, open_ = [], [], np.arange(len(fp))
+    left = fp
     while len(open_):
-        front, open_ = open_[:1], open_[1:]
-        while len(front) and len(open_):
-            u, front = front[0], front[1:]
-            near = np.bitwise_count(open_ ^ u) <= distance
+        front, open_, left = [open_[0]], open_[1:], left[1:]
+        while front and len(open_):
+            u = front.pop()
+            near = _near(fp[u], left, distance, widest)
             if near.any():
-                met = open_[near]
+                met = open_[near].tolist()
                 us += [u] * len(met)
-                vs += met.tolist()
-                front, open_ = np.concatenate([front, met]), open_[~near]
+                vs += met
+                front += met
+                open_, left = open_[~near], left[~near]
     return us, vs
 
 
-def _verify(part: np.ndarray, key: np.ndarray, fp: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges within runs of equal (part, key)."""
+def _verify(part: np.ndarray, key: np.ndarray, fp: np.ndarray, distance: int, widest: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (row numbers) within runs of equal (part, key)."""
     new = np.flatnonzero((part[1:] != part[:-1]) | (key[1:] != key[:-1])) + 1
     starts, ends = np.concatenate([[0], new]), np.concatenate([new, [len(fp)]])
-    size, us, vs = ends - starts, [], []
+    size, us, vs = ends - starts, [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     run = np.repeat(np.arange(len(size)), size)
     small = size <= 32
     for d in range(1, 32):
         if not (small & (size > d)).any():
             break
         i = np.flatnonzero((run[d:] == run[:-d]) & small[run[:-d]])
-        near = np.bitwise_count(fp[i] ^ fp[i + d]) <= distance
-        us.append(fp[i[near]])
-        vs.append(fp[i[near] + d])
+        i = i[_near(fp[i], fp[i + d], distance, widest)]
+        us.append(i)
+        vs.append(i + d)
     for k in np.flatnonzero(~small):
-        u, v = _forest(fp[starts[k] : ends[k]], distance)
-        us.append(np.array(u, np.uint64))
-        vs.append(np.array(v, np.uint64))
-    none = np.zeros(0, np.uint64)
-    return np.concatenate([none, *us]), np.concatenate([none, *vs])
+        u, v = _forest(fp[starts[k] : ends[k]], distance, widest)
+        us.append(np.array(u, np.int64) + starts[k])
+        vs.append(np.array(v, np.int64) + starts[k])
+    return np.concatenate(us), np.concatenate(vs)
 
 
-def links(fps: DataFrame, distance: int = 2) -> DataFrame:
-    """u, v: edges between distinct fingerprints that connect all that lie within ``distance`` bits of each other."""
+def links(fps: DataFrame, distance: int = 2, widest: int = 0) -> DataFrame:
+    """u, v: edges between distinct fingerprints (``wide``) that connect all that link: within ``distance`` bits of ``fp`` and, if
+    they have more than 64 bits, within ``widest`` over all."""
     probes = plan_probes(fps, distance)
-    clear = [(i, m) for i, (mask, t) in enumerate(probes) for m in _cleared(mask, t)]
-    keys = F.explode(F.array(*[F.struct(F.lit(k).alias("part"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for k, (_, m) in enumerate(clear)])).alias("x")
-    keyed = fps.select("fp", keys).select("x.part", "x.key", "fp")
+    clear = [m for mask, t in probes for m in _cleared(mask, t)]
+    keys = F.explode(F.array(*[F.struct(F.lit(k).alias("part"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for k, m in enumerate(clear)])).alias("x")
+    keyed = fps.select("wide", "fp", keys).select("x.part", "x.key", "fp", "wide")
     heavy = materialize(keyed.groupBy("part", "key").agg(F.count("*").alias("n")).filter(F.col("n") > HEAVY), "heavy-keys")
     if heavy.count():
-        masks = _cleared((1 << 64) - 1, distance)
-        again = keyed.join(heavy, ["part", "key"], "left_semi").select("fp").distinct()
-        again = again.select("fp", F.posexplode(F.transform(F.array(*map(F.lit, masks)), lambda m: F.col("fp").bitwiseAND(m))).alias("part", "key"))
-        keyed = keyed.join(heavy, ["part", "key"], "left_anti").unionByName(again.select((-1 - F.col("part")).alias("part"), "key", "fp"))
+        light = keyed.join(heavy, ["part", "key"], "left_anti")
+        if comb(64, distance) <= 5000:
+            again = keyed.join(heavy, ["part", "key"], "left_semi").select("fp", "wide").distinct()
+            masks = F.array(*map(F.lit, _cleared((1 << 64) - 1, distance)))
+            again = again.select("fp", "wide", F.posexplode(F.transform(masks, lambda m: F.col("fp").bitwiseAND(m))).alias("part", "key"))
+        else:
+            blocks = F.ceil(2 * F.col("n") / HEAVY).cast("long")
+            own = keyed.join(heavy, ["part", "key"]).withColumn("b", F.pmod(F.xxhash64("wide"), blocks))
+            own = own.select("part", "key", "fp", "wide", "b", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("o"))
+            again = own.select("fp", "wide", "part", F.xxhash64("part", "key", F.least("b", "o"), F.greatest("b", "o")).alias("key"))
+        keyed = light.unionByName(again.select((-1 - F.col("part")).alias("part"), "key", "fp", "wide"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = None
         for b in batches:
-            now = [b.column(c).to_numpy(zero_copy_only=False) for c in ("part", "key", "fp")]
-            now = now if kept is None else [np.concatenate(x) for x in zip(kept, now, strict=True)]
-            if not len(now[0]):
-                continue
-            last = int(np.flatnonzero((now[0] != now[0][-1]) | (now[1] != now[1][-1]))[-1]) + 1 if (now[0][0], now[1][0]) != (now[0][-1], now[1][-1]) else 0
-            kept = [x[last:] for x in now]
-            if last:
-                yield edges(*[x[:last] for x in now])
-        if kept is not None:
-            yield edges(*kept)
-
-    def edges(part: np.ndarray, key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-        u, v = _verify(part, key, fp.view(np.uint64), distance)
-        return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (u, v)], names=["u", "v"])
-
-    spark = fps.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return keyed.repartition(n, "part", "key").sortWithinPartitions("part", "key", "fp").mapInArrow(run, "u long, v long")
-
-
-def near_duplicates(documents: DataFrame, shingle: int = 3, distance: int = 2) -> DataFrame:
-    """row_id, doc_id, fp, component_id: the smallest doc_id reachable over links."""
-    docs = materialize(fingerprints(documents, shingle), "fingerprints")
-    fps = materialize(docs.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
-    roots = components(links(fps, distance))
-    linked = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+            kept = pa.Table.from_batches([b]) if kept is None else pa.concat_tables([kept, pa.Table.from_batches([b])])
+            part, key = (kept.column(c).to_numpy() for c in ("part", "key"))
+            new = np.flatnonzero((part[1:] != part[:-1]) | (key[1:] != key[:-1]))
+            if len(new):
+                yield edges(kept.slice(0, int(new[-1]) + 1))
+                kept = kept.slice(int(new[-1]) + 1)
+        if kept is not None and kept.num_rows:
+            yield edges(kept)
+
+    def edges(t: pa.Table) -> pa.RecordBatch:
+        wide = t.column("wide").combine_chunks()
+        fp = np.frombuffer(b"".join(wide.to_pylist()), "<u8").astype(np.uint64).reshape(len(wide), -1)
+        u, v = _verify(t.column("part").to_numpy(), t.column("key").to_numpy(), fp, distance, widest)
+        return pa.RecordBatch.from_arrays([wide.take(pa.array(x)) for x in (u, v)], names=["u", "v"])
+
+    n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return keyed.repartition(n, "part", "key").sortWithinPartitions("part", "key").mapInArrow(run, "u binary, v binary")
+
+
+def near_duplicates(documents: DataFrame, shingle: int = 3, distance: int = 2, widest: int = 0, kept: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """The stored fingerprints of the rows, and for each distinct one: wide, root (of its component), component_id (the
+    smallest doc_id reachable over links)."""
+    docs = materialize(fingerprints(documents, shingle, 4 if widest else 1, kept), "fingerprints")
+    fps = materialize(docs.groupBy("fp", "wide").agg(F.min("doc.doc_id").alias("least")), "distinct-fingerprints")
+    roots = components(links(fps, distance, widest))
+    linked = fps.join(roots, fps["wide"] == roots["node"], "left").select("wide", "least", F.coalesce("root", "wide").alias("root"))
     ids = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = materialize(linked.join(ids, "root").select("fp", "component_id"), "components")
-    return docs.join(named, "fp").select("row_id", "doc_id", "fp", "component_id")
+    return docs, materialize(linked.join(ids, "root").select("wide", "root", "component_id"), "components")
+
+
+def labelled(documents: DataFrame, shingle: int = 3, distance: int = 2) -> DataFrame:
+    """row_id, doc_id, fp, component_id of every row."""
+    docs, named = near_duplicates(documents, shingle, distance, kept=["doc_id"])
+    return docs.join(named, "wide").select("row_id", "doc.doc_id", "fp", "component_id")
+
+
+#: Up to so many row numbers (8 bytes each) are broadcast to filter the documents; more are joined by shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def one_of_each(documents: DataFrame, shingle: int = 5, distance: int = 12, widest: int = 40) -> DataFrame:
+    """The documents less all but one row of each component: the row of the smallest doc_id stays."""
+    docs, named = near_duplicates(documents, shingle, distance, widest)
+    rows = docs.select("row_id", "doc.doc_id", "wide").join(named.select("wide", "root"), "wide")
+    best = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "row_id")).alias("best")).select("best.row_id")
+    gone = materialize(rows.select("row_id").join(best, "row_id", "left_anti"), "dropped-rows")
+    small = gone.count() <= BROADCAST_ROWS
+    return docs.join(F.broadcast(gone) if small else gone, "row_id", "left_anti").select("doc.*")

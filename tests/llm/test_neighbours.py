@@ -21,7 +21,7 @@ def table(spark, n=1500):
     x = r.normal(size=(n, 16)).astype(np.float32) + 2 * r.normal(size=(20, 16)).astype(np.float32)[r.integers(0, 20, n)]
     x[200:700] = x[200]
     rows = [(i, [float(v) for v in x[i]]) for i in range(n)]
-    rows += [(5000, None), (5050, []), (5100, [0.0] * 16), (5150, [float("nan")] * 16), (5200, [1.0] * 15 + [None]), (5250, [1.0] * 15 + [float("inf")]), (5300, [1.0, 2.0]), (None, [1.0] * 16), (1450, rows[1450][1])]
+    rows += [(5000, None), (5050, []), (5100, [0.0] * 16), (5150, [float("nan")] * 16), (5200, [1.0] * 15 + [None]), (5250, [1.0] * 15 + [float("inf")]), (5300, [1.0, 2.0]), (None, [1.0] * 16), (n - 50, rows[n - 50][1])]
     return rows, spark.createDataFrame(rows, "vec_id long, embedding array<float>")
 
 

@@ -1,6 +1,7 @@
 """SimHash, licences and personal data against brute force."""
 
 import hashlib
+import random
 import re
 
 import numpy as np
@@ -47,12 +48,12 @@ def test_simhash(spark):
     texts += [t + " tail" for t in texts[:10]] + [t.upper() for t in texts[10:15]] + ["one", "one two", "ONE TWO three", "  İx", "w " * 5000]
     docs = awkward(spark, texts)
     for shingle, distance in ((3, 2), (5, 4)):
-        got = simhash.near_duplicates(docs, shingle, distance).collect()
+        got = simhash.labelled(docs, shingle, distance).collect()
         rows = docs.select("doc_id", "text").collect()
         fps = [brute_fingerprint(r.text, shingle) for r in rows]
         want = list(zip([r.doc_id for r in rows], fps, brute_components([r.doc_id for r in rows], fps, distance), strict=True))
         assert sorted(((r.doc_id, r.fp % (1 << 64), r.component_id) for r in got), key=str) == sorted(want, key=str)
-    assert simhash.near_duplicates(docs.limit(0)).collect() == []
+    assert simhash.labelled(docs.limit(0)).collect() == []
 
 
 def test_links_lose_nothing_in_large_groups(spark, monkeypatch):
@@ -67,10 +68,42 @@ def test_links_lose_nothing_in_large_groups(spark, monkeypatch):
     fps |= set(map(int, r.integers(0, 1 << 63, 300)))
     fps = sorted(fps)
     want = brute_components(fps, fps, 2)
+    table = spark.createDataFrame([(f, f.to_bytes(8, "little")) for f in fps], "fp long, wide binary")
     for heavy in (simhash.HEAVY, 40):
         monkeypatch.setattr(simhash, "HEAVY", heavy)
-        got = {x.node: x.root for x in components(simhash.links(spark.createDataFrame([(f,) for f in fps], "fp long"), 2)).collect()}
-        assert [got.get(f, f) for f in fps] == want
+        name = lambda x: int.from_bytes(x, "little")
+        got = [(name(x.u), name(x.v)) for x in simhash.links(table, 2).collect()]
+        root = {f: f for f in fps}
+        for _ in range(len(fps)):
+            new = dict(root)
+            for u, v in got:
+                new[u] = new[v] = min(new[u], new[v])
+            if new == root:
+                break
+            root = new
+        assert [root[f] for f in fps] == want and all((u ^ v).bit_count() <= 2 for u, v in got)
+
+
+def test_one_of_each_keeps_one_row_of_each_group(spark, monkeypatch):
+    r = random.Random(3)
+    base = prose(12, n=30, words=400, vocabulary=3000)
+    base = [t for t in base if len(t.split()) > 150]
+    texts, group = [], []
+    for g, t in enumerate(base):
+        for k in range(4):
+            w = t.split()
+            if k > 1:
+                w[r.randrange(len(w))] = "changed"
+            texts.append(" ".join(w))
+            group.append(g)
+    docs = awkward(spark, texts)
+    for heavy in (simhash.HEAVY, 20):
+        monkeypatch.setattr(simhash, "HEAVY", heavy)
+        got = simhash.one_of_each(docs).collect()
+        kept = [x.doc_id for x in got]
+        assert sorted(group[i] for i in kept if i is not None and i < 9000) == list(range(len(base)))
+        assert sorted(str(i) for i in kept if i is None or i > 9000) == ["9001", "9003", "None"] and got[0].x == "clash"
+    assert simhash.one_of_each(docs.limit(0)).collect() == []
 
 
 def test_components_of_paths_and_hubs(spark):
