@@ -114,3 +114,10 @@ def contamination(documents: DataFrame, items: DataFrame, width: int = 10) -> Da
         (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
         "row_id",
     )
+
+
+def clean(documents: DataFrame, items: DataFrame, width: int = 10) -> DataFrame:
+    """The documents, all columns unchanged, less those that hold a window of an item."""
+    key = F.sha2(F.coalesce(documents["text"], F.lit("")), 256)
+    bad = materialize(contamination(documents.select(key.alias("doc_id"), "text"), items, width).filter("contaminated").select(F.col("doc_id").alias("contaminated_key")).distinct(), "contaminated")
+    return documents.join(_small(bad, bad.count()), key == bad["contaminated_key"], "left_anti")

@@ -83,12 +83,14 @@ def targets(sources: DataFrame, share: float = 1.5, most: float = 2.0) -> DataFr
     return w.select("source", "source_size", F.coalesce(F.least("cap", F.col("weight") * F.col("level")), "cap").alias("target"))
 
 
-def mix(documents: DataFrame, seed: int = 42, share: float = 1.5, most: float = 2.0, exact: int = 20_000) -> DataFrame:
-    """doc_id, size, source_size, target, taken (words taken, repeats counted), times (how often the document is taken), source, row_id."""
+def mix(documents: DataFrame, seed: int = 42, share: float = 1.5, most: float = 2.0, exact: int = 20_000, kept: list[str] | None = None) -> DataFrame:
+    """doc_id (or, if columns are to be kept, doc with them), size, source_size, target, taken (words taken, repeats counted), times, source."""
     size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(TOKEN)).cast("long")
-    docs = documents.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "source", size.alias("size"))
+    carried = F.struct(*[F.col(f"`{c}`") for c in kept or ["doc_id"]]).alias("doc")
+    docs = documents.select(F.monotonically_increasing_id().alias("row_id"), carried, "doc_id", "source", size.alias("size"))
     docs = docs.withColumn("draw", F.xxhash64(F.lit(seed), "doc_id"))
-    docs = materialize(docs.withColumn("shard", F.pmod("draw", F.lit(_SHARDS)).cast("int")), "sizes")
+    stored = materialize(docs.withColumn("shard", F.pmod("draw", F.lit(_SHARDS)).cast("int")), "sizes")
+    docs = stored.drop("doc")
     shards = materialize(docs.groupBy("source", "size", "shard").agg(F.count("*").alias("n")), "lengths")
     lengths = shards.groupBy("source", "size").agg(F.sum("n").alias("n"))
     sized = materialize(targets(lengths.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), share, most), "targets")
@@ -112,4 +114,5 @@ def mix(documents: DataFrame, seed: int = 42, share: float = 1.5, most: float =
     few = F.broadcast(p) if sized.count() < 100_000 else p
     out = out.join(few, F.col("d.source").eqNullSafe(F.col("p.source")))
     times = F.col("whole") + F.when(F.col("place") <= F.col("quota"), 1).otherwise(0)
-    return out.select("doc_id", F.col("d.size").alias("size"), "source_size", "target", (F.col("d.size") * times).alias("taken"), times.alias("times"), F.col("d.source").alias("source"), "row_id")
+    out = out.select("row_id", "doc_id", F.col("d.size").alias("size"), "source_size", "target", (F.col("d.size") * times).alias("taken"), times.alias("times"), F.col("d.source").alias("source"))
+    return stored.select("row_id", "doc").join(out.drop("doc_id"), "row_id").drop("row_id") if kept else out.drop("row_id")

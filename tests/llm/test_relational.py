@@ -115,6 +115,8 @@ def test_mix(spark):
     texts = prose(5, n=200) + ["same size"] * 50
     docs = awkward(spark, texts)
     got = mixing.mix(docs).collect()
+    whole = mixing.mix(docs, kept=docs.columns)
+    assert sorted((str(r.doc.doc_id), r.taken) for r in whole.collect()) == sorted((str(r.doc_id), r.taken) for r in got)
     size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
     want = {}
     for r in docs.select("source", "text").collect():

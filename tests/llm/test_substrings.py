@@ -56,7 +56,7 @@ def test_refine_counts_places_not_pieces():
     r = random.Random(1)
     text = bytes(r.randrange(256) for _ in range(900))
     pieces = [text[0:360], text[100:460], text[500:860]]
-    told = lambda pieces, text, first, twice: S.refine(pieces, np.array(text), np.array(first), np.array(twice)).tolist()
+    told = lambda pieces, text, first, twice: S.refine(pieces, np.array(text), np.array(first), np.array(twice), S._Hash()).tolist()
     assert told(pieces, [0, 0, 0], [0, 100, 500], [False] * 3) == []
     assert told(pieces, [0, 1, 0], [0, 100, 500], [False] * 3) == [*range(100, 161), *range(360, 421)]
     assert told([pieces[0], pieces[1]], [0, 0], [0, 100], [True, False]) == [*range(100, 161), *range(360, 421)]
