@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
 
+from .plans import timed
 
-def oracle_sql() -> dict:
-    return {}
+_PLANS = (timed,)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {k: f for plan in _PLANS for k, f in plan.QUERIES.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {k: q for plan in _PLANS for k, q in plan.SQL.items()}
