@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import timed
+from .plans import sequences, texts, timed
 
-_PLANS = (timed,)
+_PLANS = (timed, sequences, texts)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
