@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import sequences, texts, timed
+from .plans import composites, sequences, streams, texts, timed, tracks
 
-_PLANS = (timed, sequences, texts)
+_PLANS = (timed, sequences, texts, tracks, composites, streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -37,7 +37,7 @@ def parse_srt(files: DataFrame) -> DataFrame:
     blocks = files.select("path", F.posexplode(F.split(text, r"\n[ \t]*(?:\n[ \t]*)+")).alias("n", "block"))
     rows = F.filter(F.split("block", "\n"), lambda x: F.trim(x) != "")
     at = F.array_position(F.transform(rows, lambda x: x.contains("-->")), True)
-    b = blocks.withColumn("rows", rows).withColumn("at", at.cast("int")).filter("at > 0").withColumn("time", F.element_at("rows", F.col("at"))).filter(F.col("time").rlike(_TIME))
+    b = blocks.withColumn("rows", rows).withColumn("at", at.cast("int")).filter("at > 0").withColumn("time", F.get("rows", F.col("at") - 1)).filter(F.col("time").rlike(_TIME))
     g = lambda i: F.regexp_extract("time", _TIME, i).cast("long")
     sec = lambda i: g(i) * 3600 + g(i + 1) * 60 + g(i + 2) + g(i + 3) / 1000.0
     body = F.array_join(F.slice("rows", F.col("at") + 1, F.size("rows")), "\n")
