@@ -175,29 +175,36 @@ def _adam(p: dict, grads: dict, state: dict, step: int, rate: float) -> None:
         p[k] -= _F(rate) * (m / _F(1 - 0.9**step)) / (np.sqrt(v / _F(1 - 0.99**step)) + _F(1e-7))
 
 
-def _local(windows: list[list[bytes]]) -> tuple[list[bytes], np.ndarray]:
-    index: dict[bytes, int] = {}
-    ids = np.full((len(windows), LENGTH), -1, np.int64)
-    for i, w in enumerate(windows):
-        ids[i, : len(w)] = [index.setdefault(x, len(index)) for x in w]
-    return list(index) or [b""], ids
+class Sample:
+    """Training windows as numbers of the sample's own words; words come in as bytes and are kept once."""
 
+    def __init__(self) -> None:
+        self.index: dict[bytes, int] = {}
+        self.labels: list[int] = []
+        self.windows: list[np.ndarray] = []
 
-def train(rows: list[tuple[int, list[list[bytes]]]], epochs: int = 5, steps: int = 500, batch: int = 128, rate: float = 0.01, last: float = 0.2, top: int = 2, seed: int = 7) -> dict:
-    """rows: (label, windows of words) of each training text; few texts are read over until ``steps`` updates are made."""
+    def add(self, label: int, windows: list[list[bytes]]) -> None:
+        ids = np.full((len(windows), LENGTH), -1, np.int32)
+        for i, w in enumerate(windows):
+            ids[i, : len(w)] = [self.index.setdefault(x, len(self.index)) for x in w]
+        self.labels.append(label)
+        self.windows.append(ids)
+
+
+def train(sample: Sample, epochs: int = 5, steps: int = 500, batch: int = 128, rate: float = 0.01, last: float = 0.2, top: int = 2, seed: int = 7) -> dict:
+    """Few texts are read over until ``steps`` updates are made."""
     p, state, step, r = new_model(seed), {}, 0, np.random.default_rng(seed)
-    if len({y for y, _ in rows}) < 2:
+    if len(set(sample.labels)) < 2:
         return p
-    windows = [w for _, ws in rows for w in ws]
-    owner = np.repeat(np.arange(len(rows)), [len(ws) for _, ws in rows])
-    y = np.array([label for label, _ in rows], _F)
-    words, ids = _local(windows)
-    epochs = max(epochs, min(40, round(steps * batch / max(1, top * len(rows)))))
+    n = len(sample.labels)
+    owner = np.repeat(np.arange(n), [len(w) for w in sample.windows])
+    y, ids, words = np.array(sample.labels, _F), np.concatenate(sample.windows), list(sample.index) or [b""]
+    epochs = max(epochs, min(40, round(steps * batch / max(1, top * n))))
     for epoch in range(epochs):
-        logit = r.normal(size=len(windows))
+        logit = r.normal(size=len(ids))
         if epoch:
-            table = project(p, inputs(p, words)[0])
-            logit = np.concatenate([forward(p, table, ids[lo : lo + 4096]) for lo in range(0, len(ids), 4096)])
+            table = table_of(p, words)
+            logit = np.concatenate([forward(p, table, ids[lo : lo + 1024]) for lo in range(0, len(ids), 1024)])
         order = np.lexsort((-logit, owner))
         place = np.arange(len(order)) - np.searchsorted(owner[order], owner[order])
         drawn = r.random(len(order)) < (0.02 if epoch else 0.2)
@@ -209,12 +216,16 @@ def train(rows: list[tuple[int, list[list[bytes]]]], epochs: int = 5, steps: int
             some, inverse = np.unique(ids[part], return_inverse=True)
             local = inverse.reshape(len(part), LENGTH) - (some[0] == -1)
             step += 1
-            label = y[owner[part]]
-            grads = gradients(p, [words[i] for i in some if i >= 0] or [b""], local, label)
+            grads = gradients(p, [words[i] for i in some if i >= 0] or [b""], local, y[owner[part]])
             _adam(p, grads, state, step, rate * last ** (epoch / epochs))
     return p
 
 
+def table_of(p: dict, words: list[bytes]) -> np.ndarray:
+    """Projected inputs of the words, made 20,000 at a time."""
+    return np.concatenate([project(p, inputs(p, words[lo : lo + 20_000])[0]) for lo in range(0, len(words), 20_000)])
+
+
 class _Rows(dict):
     """Word to row of the table, made at first sight."""
 
@@ -243,8 +254,7 @@ class Scorer:
         fresh = len(self.rows) - len(self.table)
         if fresh:
             words = list(self.rows)[-fresh:]
-            parts = [project(self.p, inputs(self.p, words[lo : lo + 20_000])[0]) for lo in range(0, fresh, 20_000)]
-            self.table = np.concatenate([self.table, *parts])
+            self.table = np.concatenate([self.table, table_of(self.p, words)])
         table = self.table if len(self.table) else np.zeros((1, 6 * HIDDEN), _F)
         flat = np.concatenate([*flat, np.full(LENGTH, -1)])
         starts = [window_starts(at[i + 1] - at[i]) for i in range(len(texts))]
@@ -258,8 +268,8 @@ class Scorer:
         return 1 / (1 + np.exp(-out))
 
 
-def training_rows(documents: DataFrame, labels: DataFrame, sample: int = 4000, windows: int = 64, folds: int = 4, held_out: int = 2) -> list:
-    """The bounded sample: (label, windows), ordered by seeded hash."""
+def training_rows(documents: DataFrame, labels: DataFrame, sample: int = 4000, windows: int = 64, folds: int = 4, held_out: int = 2) -> Sample:
+    """The bounded sample, ordered by seeded hash."""
     known = labels.filter("doc_id is not null and toxic is not null").filter(crc_mod(F.col("doc_id"), folds) != held_out)
     known = known.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("label")).withColumn("draw", F.xxhash64("doc_id", F.lit(11)))
     known = known.orderBy("draw", "doc_id").limit(sample)  # the documented bound
@@ -276,9 +286,11 @@ def training_rows(documents: DataFrame, labels: DataFrame, sample: int = 4000, w
             yield pa.RecordBatch.from_arrays([b.column("draw"), b.column("doc_id"), b.column("label"), pa.array(told, pa.list_(pa.string()))], names=["draw", "doc_id", "label", "windows"])
 
     schema = T.StructType([T.StructField("draw", T.LongType()), documents.schema["doc_id"], T.StructField("label", T.IntegerType()), T.StructField("windows", T.ArrayType(T.StringType()))])
+    out = Sample()
     rows = docs.mapInArrow(cut, schema).collect()  # at most sample rows of windows windows
-    rows = sorted({(r.draw, r.doc_id, r.label, tuple(r.windows)) for r in rows})[:sample]
-    return [(label, [w.encode().split() for w in ws]) for _, _, label, ws in rows]
+    for _, _, label, ws in sorted({(r.draw, r.doc_id, r.label, tuple(r.windows)) for r in rows})[:sample]:
+        out.add(label, [w.encode().split() for w in ws])
+    return out
 
 
 def score(documents: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, threshold: float = THRESHOLD, **limits) -> DataFrame:
