@@ -28,23 +28,25 @@ from pyspark.sql import types as T
 
 from .common import materialize
 
-LENGTH, GRAM = 200, 40
+LENGTH, GRAM = 200, 80
 SIDE = LENGTH - GRAM
-_PIECE = 1 << 19
+FIRST = 40
+_PIECE = 1 << 16
 _EDGE = 2 * LENGTH
 _BASE = 0x9E3779B97F4A7C15
 #: Up to so many text keys (16 bytes each) are broadcast to filter the documents; more are joined by shuffle.
 BROADCAST_KEYS = 500_000
-_CHUNK = 2_000_000  # bytes of pieces refined at a time, whole buckets
+HEAVY = 20_000
+_CHUNK = 500_000  # bytes of pieces refined at a time, whole buckets
 
 
 class _Hash:
     """Hashes of substrings by prefix sums modulo 2^64, for pieces of up to ``piece`` bytes and their edges."""
 
-    def __init__(self, piece: int = _PIECE):
+    def __init__(self, piece: int = _PIECE, base: int = _BASE):
         self.piece, size = piece, piece + 3 * _EDGE
         with np.errstate(over="ignore"):
-            self.up, self.down = (np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(size, b, np.uint64)])) for b in (_BASE, pow(_BASE, -1, 1 << 64)))
+            self.up, self.down = (np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(size, b, np.uint64)])) for b in (base, pow(base, -1, 1 << 64)))
 
     def sums(self, raw: np.ndarray) -> np.ndarray:
         out = np.zeros(len(raw) + 1, np.uint64)
@@ -69,7 +71,7 @@ def _sliding(x: np.ndarray, n: int, best) -> np.ndarray:
 
 
 def anchors(texts: list[bytes], hasher: _Hash) -> dict[str, np.ndarray]:
-    """text (number), pos, gram and whole (hashes of the q-gram and of all surroundings) of the anchors."""
+    """text (number), pos, left and right (reach of the surroundings), gram and whole (hashes of q-gram and surroundings) of the anchors."""
     pieces, out, piece = [], [], hasher.piece
     for i, t in enumerate(texts):
         if len(t) >= LENGTH:
@@ -101,18 +103,22 @@ def anchors(texts: list[bytes], hasher: _Hash) -> dict[str, np.ndarray]:
         total = np.array([len(t) for t in texts])[text]
         left, right = np.minimum(SIDE, pos), np.minimum(SIDE, total - pos - GRAM)
         whole = hasher.of(sums, at - left, at + GRAM + right) ^ (left * 512 + right).astype(np.uint64)
-        out.append((text, pos, gram[at], whole))
-    names = ("text", "pos", "gram", "whole")
-    return {n: np.concatenate([np.zeros(0, np.int64 if j < 2 else np.uint64), *[x[j] for x in out]]) for j, n in enumerate(names)}
+        out.append((text, pos, left, right, gram[at], whole))
+    names = ("text", "pos", "left", "right", "gram", "whole")
+    return {n: np.concatenate([np.zeros(0, np.int64 if j < 4 else np.uint64), *[x[j] for x in out]]) for j, n in enumerate(names)}
 
 
 def survey(documents: DataFrame, piece: int = _PIECE) -> DataFrame:
-    """Stored rows of two kinds: texts (doc_id, key, n_bytes, sha256) and their anchors (key, n_bytes, pos, gram, whole)."""
-    schema = T.StructType([T.StructField("doc_id", documents.schema["doc_id"].dataType), *T.StructType.fromDDL("key binary, n_bytes long, sha256 string, pos long, gram long, whole long")])
+    """Stored rows of two kinds: texts (text_id, doc_id, key, n_bytes, sha256) and their anchors (text_id, place, gram, whole).
+
+    place packs an anchor's position and how far its surroundings reach to the left and right."""
+    schema = T.StructType([T.StructField("doc_id", documents.schema["doc_id"].dataType), *T.StructType.fromDDL("text_id long, key binary, n_bytes long, sha256 string, place long, gram long, whole long")])
     names = [f.name for f in schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = _Hash(piece)
+        from pyspark import TaskContext
+
+        hasher, seen = _Hash(piece), TaskContext.get().partitionId() << 36
         for b in batches:
             for lo in range(0, b.num_rows, 250):
                 part = b.slice(lo, 250)
@@ -120,27 +126,28 @@ def survey(documents: DataFrame, piece: int = _PIECE) -> DataFrame:
                 digests = [hashlib.sha256(t) for t in texts]
                 key, size = pa.array([d.digest()[:16] for d in digests], pa.binary()), pa.array([len(t) for t in texts], pa.int64())
                 none = pa.nulls(len(texts), pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), key, size, pa.array([d.hexdigest() for d in digests]), none, none, none], names=names)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.arange(seen, seen + len(texts))), key, size, pa.array([d.hexdigest() for d in digests]), none, none, none], names=names)
                 a = anchors(texts, hasher)
-                which = pa.array(a["text"])
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(which), part.column("doc_id").type), key.take(which), size.take(which), pa.nulls(len(which), pa.string()), pa.array(a["pos"]), pa.array(a["gram"].view(np.int64)), pa.array(a["whole"].view(np.int64))], names=names)
+                n, place = len(a["text"]), a["pos"] << 18 | a["left"] << 9 | a["right"]
+                yield pa.RecordBatch.from_arrays([pa.nulls(n, part.column("doc_id").type), pa.array(a["text"] + seen), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.string()), pa.array(place), pa.array(a["gram"].view(np.int64)), pa.array(a["whole"].view(np.int64))], names=names)
+                seen += len(texts)
 
     return materialize(documents.select("doc_id", "text").mapInArrow(run, schema), "anchors")
 
 
-def refine(pieces: list[bytes], text: np.ndarray, first: np.ndarray, twice: np.ndarray) -> np.ndarray:
+def refine(pieces: list[bytes], text: np.ndarray, first: np.ndarray, twice: np.ndarray, hasher: _Hash) -> np.ndarray:
     """Bucket-pointer refinement of all suffixes of the pieces: starts (in the joined pieces) of LENGTH-byte strings that stand elsewhere.
 
     text, first: where a piece stands (its text's number and its offset there); the same place in two pieces is one place.
     twice: pieces that are known to stand at two places at least; what only they hold is not told."""
     size = np.array([len(p) for p in pieces])
     begin = np.cumsum(size) - size
-    raw = np.frombuffer(b"".join(pieces) + bytes(8), np.uint8)
+    raw = np.frombuffer(b"".join(pieces), np.uint8)
     owner = np.repeat(np.arange(len(pieces)), size)
     end = (begin + size)[owner]
-    n, q = len(owner), 8
+    n, q = len(owner), FIRST
     at = np.flatnonzero(np.arange(n) + q <= end)
-    value = np.lib.stride_tricks.sliding_window_view(raw, q)[at].copy().view(np.uint64).ravel()
+    value = hasher.of(hasher.sums(raw), at, at + q)
     bucket = np.full(n, -1, np.int64)  # -1: alone, or the string would leave its piece
     kept, bucket[at] = _split(at, value)
     at = kept
@@ -167,14 +174,17 @@ def refine(pieces: list[bytes], text: np.ndarray, first: np.ndarray, twice: np.n
 
 def _split(at: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The positions whose value is not alone, and for all positions a dense number of their value, -1 for those alone."""
-    order = np.argsort(value, kind="stable")
-    v = value[order]
+    # Most that are alone are told by a count of slots, before anything is sorted.
+    slot = (value * np.uint64(_BASE) >> np.uint64(40)).astype(np.int32) & (1 << min(22, 1 + len(value).bit_length())) - 1
+    some = np.flatnonzero(np.bincount(slot)[slot] > 1) if len(value) else slot
+    order = np.argsort(value[some])
+    v = value[some[order]]
     new = np.ones(len(v), bool)
     new[1:] = v[1:] != v[:-1]
     number = np.cumsum(new) - 1
-    alone = np.bincount(number, minlength=0)[number] == 1 if len(v) else new
-    out = np.empty(len(v), np.int64)
-    out[order] = np.where(alone, -1, number)
+    alone = np.bincount(number)[number] == 1 if len(v) else new
+    out = np.full(len(value), -1)
+    out[some[order]] = np.where(alone, -1, number)
     return at[out >= 0], out
 
 
@@ -195,16 +205,22 @@ def _texts(documents: DataFrame, keys: DataFrame) -> DataFrame:
     return wanted.groupBy("key").agg(F.any_value("text").alias("text"))
 
 
-def repeated_runs(documents: DataFrame, surveyed: DataFrame, chunk: int = _CHUNK) -> DataFrame:
-    """key, start, end: intervals of bytes to remove, which may overlap."""
-    found = surveyed.filter("pos is not null").select("key", "n_bytes", "pos", "gram", "whole")
+def repeated_runs(documents: DataFrame, surveyed: DataFrame, chunk: int = _CHUNK, heavy_from: int = HEAVY) -> DataFrame:
+    """key, start, end: intervals of bytes to remove, which may overlap; equal texts have the same."""
+    found = surveyed.filter("place is not null").select("text_id", "place", "gram", "whole")
+    keys = surveyed.filter("place is null").select("text_id", "key")
     buckets = found.groupBy("gram").agg(F.count("*").alias("n"), (F.min("whole") != F.max("whole")).alias("mixed")).filter("n > 1").drop("n")
     met = materialize(found.join(buckets, "gram"), "met")
-    same = materialize(met.groupBy("gram", "whole", "mixed").agg(F.count("*").alias("n"), F.min(F.struct("key", "n_bytes", "pos")).alias("one")), "surroundings")
-    left, right = F.least(F.lit(SIDE), F.col("pos")), F.least(F.lit(SIDE), F.col("n_bytes") - F.col("pos") - GRAM)
+    same = materialize(met.groupBy("gram", "whole", "mixed").agg(F.count("*").alias("n"), F.min(F.struct("text_id", "place")).alias("one")), "surroundings")
+    pos = F.shiftright("place", 18)
+    start = (pos - F.shiftright("place", 9).bitwiseAND(511)).alias("start")
+    end = (pos + GRAM + F.col("place").bitwiseAND(511)).alias("end")
     copied = met.join(same.filter("n > 1").select("gram", "whole"), ["gram", "whole"])
-    whole = copied.select("key", (F.col("pos") - left).alias("start"), (F.col("pos") + GRAM + right).alias("end")).distinct()
-    ones = same.filter("mixed").select("gram", "n", "one.*").select("key", F.struct("gram", "pos", (F.col("pos") - left).alias("start"), (F.col("pos") + GRAM + right).alias("end"), (F.col("n") > 1).alias("twice")).alias("x"))
+    whole = copied.select("text_id", start, end)
+    mixed = same.filter("mixed")
+    heavy = materialize(mixed.groupBy("gram").agg(F.count("*").alias("pieces")).filter(F.col("pieces") > heavy_from).select("gram", F.lit(True).alias("heavy")), "heavy-grams")
+    mixed = mixed.join(heavy, "gram", "left").select("gram", "n", F.col("heavy").isNotNull().alias("heavy"), "one.*")
+    ones = mixed.join(keys, "text_id").select("key", F.struct("gram", "heavy", start, end, (F.col("n") > 1).alias("twice")).alias("x"))
     ones = materialize(ones.groupBy("key").agg(F.collect_list("x").alias("at")), "pieces")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,15 +229,15 @@ def repeated_runs(documents: DataFrame, surveyed: DataFrame, chunk: int = _CHUNK
                 raw = (b.column("text")[k].as_py() or "").encode("utf-8", "replace")
                 at = b.column("at")[k].values
                 s, e = (at.field(c).to_numpy() for c in ("start", "end"))
-                yield pa.RecordBatch.from_arrays([at.field("gram"), pa.array([b.column("key")[k].as_py()] * len(s), pa.binary()), at.field("start"), at.field("twice"), pa.array([raw[i:j] for i, j in zip(s.tolist(), e.tolist(), strict=True)], pa.binary())], names=["gram", "key", "start", "twice", "piece"])
+                yield pa.RecordBatch.from_arrays([at.field("gram"), at.field("heavy"), pa.array([b.column("key")[k].as_py()] * len(s), pa.binary()), at.field("start"), at.field("twice"), pa.array([raw[i:j] for i, j in zip(s.tolist(), e.tolist(), strict=True)], pa.binary())], names=["gram", "heavy", "key", "start", "twice", "piece"])
 
     texts = _texts(documents, ones.select("key")).join(ones, "key")
-    pieces = texts.mapInArrow(cut, "gram long, key binary, start long, twice boolean, piece binary")
+    pieces = texts.mapInArrow(cut, "gram long, heavy boolean, key binary, start long, twice boolean, piece binary")
 
-    def told(key: list[bytes], start: np.ndarray, twice: np.ndarray, piece: list[bytes]) -> pa.RecordBatch:
+    def told(key: list[bytes], start: np.ndarray, twice: np.ndarray, piece: list[bytes], hasher: _Hash) -> pa.RecordBatch:
         number: dict[bytes, int] = {}
         text = np.array([number.setdefault(k, len(number)) for k in key])
-        hit = refine(piece, text, start, twice)
+        hit = refine(piece, text, start, twice, hasher)
         size = np.array([len(p) for p in piece])
         begin = np.cumsum(size) - size
         owner = np.searchsorted(begin, hit, side="right") - 1
@@ -250,22 +266,48 @@ def repeated_runs(documents: DataFrame, surveyed: DataFrame, chunk: int = _CHUNK
         gram = t.column("gram").to_numpy()
         bounds = np.concatenate([[0], np.flatnonzero(gram[1:] != gram[:-1]) + 1, [len(gram)]])
         size = np.concatenate([[0], np.cumsum([len(p) for p in t.column("piece").to_pylist()])])
-        lo = 0
+        lo, hasher = 0, _Hash(chunk)
         while lo < len(gram):
             hi = bounds[min(len(bounds) - 1, max(np.searchsorted(bounds, lo, side="right"), np.searchsorted(size[bounds], size[lo] + chunk, side="right") - 1))]
             s = t.slice(lo, hi - lo)
-            yield told(s.column("key").to_pylist(), s.column("start").to_numpy(), s.column("twice").to_numpy(), s.column("piece").to_pylist())
+            if size[hi] - size[lo] > hasher.piece:
+                hasher = _Hash(int(size[hi] - size[lo]))
+            yield told(s.column("key").to_pylist(), s.column("start").to_numpy(), s.column("twice").to_numpy(), s.column("piece").to_pylist(), hasher)
             lo = hi
 
     n = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    fine = pieces.repartition(n, "gram").sortWithinPartitions("gram").mapInArrow(run, "key binary, start long, end long")
-    return whole.filter(F.col("end") - F.col("start") >= LENGTH).unionByName(fine)
-
-
-def remove_repeats(documents: DataFrame, piece: int = _PIECE, chunk: int = _CHUNK) -> DataFrame:
+    pieces = materialize(pieces, "cut") if heavy.count() else pieces.filter("not heavy")
+    fine = pieces.filter("not heavy").repartition(n, "gram").sortWithinPartitions("gram").mapInArrow(run, "key binary, start long, end long")
+    if heavy.count():
+
+        def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            one, two = _Hash(), _Hash(base=0xC2B2AE3D27D4EB4F)
+            for b in batches:
+                for lo in range(0, b.num_rows, 100):
+                    part = b.slice(lo, 100)
+                    raw = part.column("piece").to_pylist()
+                    size = np.array([len(p) for p in raw])
+                    begin = np.cumsum(size) - size
+                    owner = np.repeat(np.arange(len(raw)), np.maximum(0, size - LENGTH + 1))
+                    at = np.concatenate([np.arange(x, x + max(0, n - LENGTH + 1)) for x, n in zip(begin.tolist(), size.tolist(), strict=True)])
+                    joined = np.frombuffer(b"".join(raw), np.uint8)
+                    h = [pa.array(x.of(x.sums(joined), at, at + LENGTH).view(np.int64)) for x in (one, two)]
+                    who = pa.array(owner)
+                    yield pa.RecordBatch.from_arrays([*h, part.column("key").take(who), pa.array(at - begin[owner] + part.column("start").to_numpy()[owner]), part.column("twice").take(who)], names=["h1", "h2", "key", "start", "twice"])
+
+        spots = pieces.filter("heavy").mapInArrow(windows, "h1 long, h2 long, key binary, start long, twice boolean")
+        place = F.struct("key", "start")
+        met = spots.groupBy("h1", "h2").agg(F.min(place).alias("a"), F.max(place).alias("z"), F.max("twice").alias("t")).filter("t or a != z").select("h1", "h2")
+        fine = fine.unionByName(spots.filter("not twice").join(met, ["h1", "h2"]).select("key", "start", (F.col("start") + LENGTH).alias("end")))
+    # Equal texts: the least text_id speaks for all.
+    speaks = keys.groupBy("key").agg(F.min("text_id").alias("text_id"))
+    return whole.filter(F.col("end") - F.col("start") >= LENGTH).join(speaks, "text_id").select("key", "start", "end").unionByName(fine)
+
+
+def remove_repeats(documents: DataFrame, piece: int = _PIECE, chunk: int = _CHUNK, heavy_from: int = HEAVY) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes; null where none are removed), spans (start, end)."""
     surveyed = survey(documents, piece)
-    cover = repeated_runs(documents, surveyed, chunk).groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("at"))
+    cover = repeated_runs(documents, surveyed, chunk, heavy_from).groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("at"))
     cover = materialize(cover, "cover")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,7 +323,7 @@ def remove_repeats(documents: DataFrame, piece: int = _PIECE, chunk: int = _CHUN
             yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(cols[0], pa.int64()), pa.array(cols[1]), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], names=["key", "n_removed", "kept_sha256", "kept", "spans"])
 
     cut = _texts(documents, cover.select("key")).join(cover, "key").mapInArrow(run, "key binary, n_removed long, kept_sha256 string, kept binary, spans array<struct<start:long,end:long>>")
-    rows = surveyed.filter("pos is null").select("doc_id", "key", "n_bytes", "sha256")
+    rows = surveyed.filter("place is null").select("doc_id", "key", "n_bytes", "sha256")
     out = rows.join(cut, "key", "left")
     return out.select(
         "doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),

@@ -49,6 +49,8 @@ def test_against_brute_force(spark, piece):
     want = sorted(zip([str(r.doc_id) for r in rows], brute([(r.text or "").encode() for r in rows], S.LENGTH), strict=True))
     got = S.remove_repeats(docs, piece, 20 * piece).collect()
     assert sorted((str(r.doc_id), (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)) for r in got) == want
+    heavy = S.remove_repeats(docs, heavy_from=3).collect()
+    assert sorted((str(r.doc_id), (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)) for r in heavy) == want
     assert S.remove_repeats(docs.limit(0)).collect() == []
 
 
