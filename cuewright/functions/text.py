@@ -63,19 +63,31 @@ def norm(text: Column) -> Column:
     return F.regexp_replace(text, r"[^\p{L}\p{N}]+", "")
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with value computed once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def script_of(text: Column) -> Column:
-    n = {k: F.regexp_count(text, F.lit(p)) for k, p in SCRIPTS.items()}
-    most = F.greatest(*n.values())
-    out = F.when((n["ja"] > 0) & (n["ja"] + n["han"] >= n["latin"]), "ja").when(most == 0, "none")
-    for k, c in n.items():
-        out = out.when(c == most, k)
-    return out
+    names = list(SCRIPTS)
+
+    def pick(n: Column) -> Column:
+        n = {k: n[i] for i, k in enumerate(names)}
+        most = F.greatest(*n.values())
+        out = F.when((n["ja"] > 0) & (n["ja"] + n["han"] >= n["latin"]), "ja").when(most == 0, "none")
+        for k, c in n.items():
+            out = out.when(c == most, k)
+        return out
+
+    # Most texts are ASCII; only the others need every class counted.
+    ascii_only = F.when(text.rlike("[A-Za-z]"), "latin").otherwise("none")
+    return F.when(F.octet_length(text) == F.length(text), ascii_only).otherwise(let(F.array(*[F.regexp_count(text, F.lit(p)) for p in SCRIPTS.values()]), pick))
 
 
 def script_matches(text: Column, lang: str) -> Column:
-    s, want = script_of(text), SCRIPT_OF_LANG.get(lang, "latin")
+    want = SCRIPT_OF_LANG.get(lang, "latin")
     also = {"latin": ("latin", "none"), "ja": ("ja", "han")}.get(want, (want,))
-    return s.isin(*also)
+    return script_of(text).isin(*also)
 
 
 def words(text: Column) -> Column:
@@ -85,22 +97,32 @@ def words(text: Column) -> Column:
 
 def text_language(text: Column, function_words: dict | None = None) -> Column:
     """struct<lang, hits>: the language that at least three distinct function words point to, 1.5 times the runner-up's."""
-    w = words(text)
     table = function_words or FUNCTION_WORDS
-    hits = [F.struct((-F.size(F.array_intersect(w, F.array(*map(F.lit, ws))))).alias("n"), F.lit(i).alias("i"), F.lit(k).alias("lang")) for i, (k, ws) in enumerate(table.items())]
-    ranked = F.array_sort(F.array(*hits))
-    n, second = -ranked[0]["n"], -ranked[1]["n"] if len(table) > 1 else F.lit(0)
-    sure = (F.size(w) >= 3) & (n >= 3) & (n >= 1.5 * second)
-    return F.struct(F.when(sure, ranked[0]["lang"]).alias("lang"), F.when(sure, n).otherwise(0).alias("hits"))
+
+    def rank(w: Column) -> Column:
+        hits = [F.struct((-F.size(F.array_intersect(w, F.array(*map(F.lit, ws))))).alias("n"), F.lit(i).alias("i"), F.lit(k).alias("lang")) for i, (k, ws) in enumerate(table.items())]
+        return F.struct(F.size(w).alias("words"), F.array_sort(F.array(*hits)).alias("ranked"))
+
+    def judge(x: Column) -> Column:
+        ranked = x["ranked"]
+        n, second = -ranked[0]["n"], -ranked[1]["n"] if len(table) > 1 else F.lit(0)
+        sure = (x["words"] >= 3) & (n >= 3) & (n >= 1.5 * second)
+        return F.struct(F.when(sure, ranked[0]["lang"]).alias("lang"), F.when(sure, n).otherwise(0).alias("hits"))
+
+    return let(let(words(text), rank), judge)
 
 
 def script_vote(text: Column, function_words: dict | None = None) -> Column:
     """struct<lang, weight>: what script and function words say."""
-    s, t = script_of(text), text_language(text, function_words)
-    known = (s == "latin") & t["lang"].isNotNull()
-    lang = F.when(s.isin("ja", "th", "ko"), s).when(s == "han", "zh").when(s == "greek", "el").when(known, t["lang"]).when(s == "latin", "en")
-    weight = F.when(s.isin("ja", "th", "ko", "greek"), 0.7).when(s == "han", 0.3).when(known, 0.5).when(s == "latin", 0.15).otherwise(0.0)
-    return F.struct(lang.alias("lang"), weight.alias("weight"))
+
+    def vote(x: Column) -> Column:
+        s, t = x["s"], x["t"]
+        known = (s == "latin") & t["lang"].isNotNull()
+        lang = F.when(s.isin("ja", "th", "ko"), s).when(s == "han", "zh").when(s == "greek", "el").when(known, t["lang"]).when(s == "latin", "en")
+        weight = F.when(s.isin("ja", "th", "ko", "greek"), 0.7).when(s == "han", 0.3).when(known, 0.5).when(s == "latin", 0.15).otherwise(0.0)
+        return F.struct(lang.alias("lang"), weight.alias("weight"))
+
+    return let(F.struct(script_of(text).alias("s"), text_language(text, function_words).alias("t")), vote)
 
 
 def lexical(text: Column) -> Column:

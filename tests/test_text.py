@@ -44,7 +44,7 @@ def test_cleaning(on):
 
 
 def test_numbered_lines_and_wrapping(on):
-    assert on(tx.parse_numbered, "1. one\n[2] two\n3: three\nnoise\n1) again\n4\t")[0] == {1: "one", 2: "two", 3: "three"}
+    assert on(tx.parse_numbered, "1. one\n[2] two\n3: three\nnoise\n1) again\n4.")[0] == {1: "one", 2: "two", 3: "three", 4: ""}
     short, long_, none = on(lambda c: tx.wrap_lines(c, 20), "short", "a balanced line, and the rest", "unbreakablewordthatistoolong")
     assert short == ["short"] and long_ == ["a balanced line,", "and the rest"] and none is None
 
