@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import composites, sequences, streams, texts, timed, tracks
+from .plans import composites, extras, sequences, streams, texts, timed, tracks
 
-_PLANS = (timed, sequences, texts, tracks, composites, streams)
+_PLANS = (timed, sequences, texts, tracks, composites, streams, extras)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -308,3 +308,18 @@ def register(text: Column, lang: str, cls: str, table=REGISTER) -> Column:
     flat = F.trim(F.replace(text, F.lit("\n"), F.lit(" ")))
     shown = [F.when(flat.rlike(("(?U)" if case else "(?iU)") + p), v) for la, c, v, p, case in table if (la, c) == (lang, cls)]
     return F.array_compact(F.array(*shown)) if shown else F.array().cast("array<string>")
+
+
+def clean_reply(text: Column, labels: tuple[str, ...] = ("reconciled transcript", "transcript")) -> Column:
+    """A model's reply without thoughts, label, outer quotes, and spaces between CJK characters."""
+    s = F.trim(F.regexp_replace(text, r"(?s)<think>.*?</think>\s*", ""))
+    s = F.trim(F.regexp_replace(s, rf"(?i)^(?:{'|'.join(labels)})\s*[:：]\s*", ""))
+    s = F.when((F.length(s) >= 2) & s.rlike('(?s)^["“「].*["”」]$'), F.trim(F.substr(s, F.lit(2), F.length(s) - 2))).otherwise(s)
+    return F.regexp_replace(s, r"(?<=[぀-ヿ一-鿿])\s+(?=[぀-ヿ一-鿿])", "")
+
+
+def clean_ja_line(text: Column) -> Column:
+    """A display line without override tags, sound-only brackets and a leading speaker in brackets."""
+    s = F.translate(F.trim(F.regexp_replace(text, r"\{[^}]*\}", "")), "＜＞", "")
+    s = F.when(s.rlike(r"^\s*(?:[(（\[［〔♪～][^)）\]］〕]*[)）\]］〕♪～]?\s*)$"), "").otherwise(s)
+    return F.trim(F.regexp_replace(s, r"^[(（][^)）]{1,12}[)）]\s*", ""))
