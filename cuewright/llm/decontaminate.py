@@ -3,7 +3,8 @@
 ``build_index`` tokenises every document once and stores the postings (row, term, position) of all terms that any test
 item uses, besides one entry with the document's word count. A test window of ``width`` words occurs where every one of
 its terms has a posting at the same offset-adjusted position. The search starts from the posting list of each window's
-rarest term, gives candidate alignments (row, item, diagonal), and intersects the other terms' lists with them.
+rarest terms, whose lists give the alignments (row, item, diagonal) that both allow, and intersects the other terms' lists
+with them.
 
 Defined results: null or empty texts have no words and no hits; items without words are ignored; repeated document rows
 are judged one by one; items of equal identifier are told apart inside and count once in the digest; null item
@@ -60,12 +61,20 @@ def phrase_matches(index: DataFrame, test: DataFrame, width: int = 10) -> DataFr
     """Exact matches: row_id, item_row, item_id, pos: each document word inside an occurrence of a window of the item."""
     ranked = materialize(rare_first(index, test), "ranked")
     ahead = Window.partitionBy("item_row").orderBy("q").rowsBetween(0, width - 1)
-    rarest = F.min(F.struct("df", "q", "term_id")).over(ahead)
+    rarest = F.slice(F.array_sort(F.collect_list(F.struct("df", "q", "term_id")).over(ahead)), 1, 2)  # of width terms
     starts = ranked.withColumn("rarest", rarest).filter((F.col("q") == 0) | (F.col("q") + width <= F.col("n")))
-    anchors = starts.select("item_row", F.col("rarest.q").alias("q"), F.col("rarest.term_id").alias("term_id"), F.col("rarest.df").alias("df"))
-    anchors = anchors.filter("df > 0").drop("df").distinct()
-    aligned = index.select("row_id", "term_id", "pos").join(anchors, "term_id").select("row_id", "item_row", (F.col("pos") - F.col("q")).alias("diag"))
-    aligned = materialize(aligned.distinct(), "alignments")
+
+    first = F.get("rarest", F.lit(0))
+    second = F.coalesce(F.get("rarest", F.lit(1)), first)
+    pairs = starts.filter(first["df"] > 0).select("item_row", first["q"].alias("q0"), first["term_id"].alias("t0"), second["q"].alias("q1"), second["term_id"].alias("t1")).distinct()
+
+    def meet(k: int) -> DataFrame:
+        """Alignments that the k-th term of a window's two rarest offers, by pair."""
+        anchors = pairs.select("item_row", "q0", "q1", F.col(f"t{k}").alias("term_id"))
+        return index.select("row_id", "term_id", "pos").join(anchors, "term_id").select("row_id", "item_row", "q0", "q1", (F.col("pos") - F.col(f"q{k}")).alias("diag"))
+
+    aligned = meet(0).join(meet(1), ["row_id", "item_row", "q0", "q1", "diag"], "left_semi").select("row_id", "item_row", "diag").distinct()
+    aligned = materialize(aligned, "alignments")
     wanted = aligned.join(ranked.select("item_row", "item_id", "n", "q", "term_id"), "item_row").withColumn("pos", F.col("diag") + F.col("q"))
     rows = materialize(aligned.select("row_id").distinct(), "candidate-rows")
     held = index.select("row_id", "term_id", "pos").join(_small(rows, rows.count()), "row_id", "left_semi")
