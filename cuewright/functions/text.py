@@ -49,6 +49,16 @@ FILLER_CHARS = "あぁぃぅぇぉっんーはふむ嗯啊哦呃唔哈呀嘿哼
 MOANS = "嗯啊哦呃唔哈呀嘿哼嘛哎唉噢喔んあぁいぃうぅえぇおぉっーはぁふぅむぅ・…～〜ー"
 SLASH_WORDS = ("and/or", "yes/no", "on/off", "in/out", "input/output", "w/o", "m/f", "male/female", "tcp/ip", "i/o", "a/c", "km/h", "m/s", "r/min", "mph/kph", "n/a")
 MADE_UP = ("ご視聴ありがとうございました", "ご視聴いただき", "チャンネル登録", "字幕(は|：|:)", "最後までご覧", "おやすみなさい[。！]?$")
+# Patterns of captions, typesetting tags, fillers and notes.
+_BARE = r"^\s*(?:[\[(（［〔【][^\])）］〕】]*[\])）］〕】]\s*)+$"
+_MUSIC = r"^\s*[♪♫♬～〜\-–—\s]*(?:[\[(（［][^\])）］]*[\])）］])?[♪♫♬～〜\-–—\s]*$"
+_SDH_LABEL = r"^\s*(?:[(（][^)）]{1,12}[)）]\s*|[A-ZÀ-Ý][A-ZÀ-Ý .'\-]{1,24}:\s+|[^\s：:\d]{1,10}[：:]\s*(?=\S))"
+_CAP_LABEL = r"^\s*[A-ZÀ-Ý][A-ZÀ-Ý .'\-]{1,24}:\s+"
+_CAP_TAG = r"\s*[\[(][A-ZÀ-Ý][A-ZÀ-Ý .,'\-]{1,40}[\])]\s*"
+_TAGS = r"\\(?:1?c&H|fn|fs\d|t\(|fad|fade|bord|be\d|blur|fsc|fr[xyz]?\d|clip|shad)"
+_FILLERS = r"(?i)\b(?:um+|uh+|erm+|hmm+|mm+|ah+|uh-huh)\b[,.]?\s*"
+_NOTE = r"(?i)\s*\((?:TN|T/N|Note|Translator'?s? note)[^)]*\)\s*$"
+_NUMBERED = r"^\s*\[?(\d+)\]?\s*(?:[\t.．:：)）\-–—]|\s)\s*(.*?)\s*$"
 #: A small default; callers pass their own lists, language to words.
 FUNCTION_WORDS = {
     "en": ("the", "of", "and", "to", "that", "with", "was", "this", "for"),
@@ -185,14 +195,14 @@ def copy_through(text: Column, lang: str) -> Column:
     s = F.trim(F.regexp_replace(text, r"\s+", " "))
     if lang != "en":
         return s
-    s = F.trim(F.regexp_replace(s, r"(?i)\b(?:um+|uh+|erm+|hmm+|mm+|ah+|uh-huh)\b[,.]?\s*", ""))
+    s = F.trim(F.regexp_replace(s, _FILLERS, ""))
     return F.regexp_replace(s, r"\s+([,.!?])", "$1")
 
 
 def clean_line(text: Column, target: str = "en") -> Column:
     """A translated line without speaker tags, notes and outer quotes."""
     s = F.regexp_replace(F.trim(text), r"^\s*\[S\d+\]\s*", "")
-    s = F.regexp_replace(s, r"(?i)\s*\((?:TN|T/N|Note|Translator'?s? note)[^)]*\)\s*$", "")
+    s = F.regexp_replace(s, _NOTE, "")
     quoted = (F.length(s) >= 2) & s.rlike("(?s)^[\"“'‘].*[\"”'’]$")
     s = F.when(quoted, F.trim(F.substr(s, F.lit(2), F.length(s) - 2))).otherwise(s)
     s = F.trim(F.regexp_replace(s, r"\s+", " "))
@@ -203,17 +213,11 @@ def _by_line(text: Column, change) -> Column:
     return F.array_join(F.filter(F.transform(F.split(text, r"\r\n|\r|\n"), change), lambda s: s != ""), "\n")
 
 
-_BARE = r"^\s*(?:[\[(（［〔【][^\])）］〕】]*[\])）］〕】]\s*)+$"
-_MUSIC = r"^\s*[♪♫♬～〜\-–—\s]*(?:[\[(（［][^\])）］]*[\])）］])?[♪♫♬～〜\-–—\s]*$"
-
-
 def clean_sdh(text: Column) -> Column:
     """Dialogue of a caption for the deaf: no sounds, no music, no speaker labels."""
-    label = r"^\s*(?:[(（][^)）]{1,12}[)）]\s*|[A-ZÀ-Ý][A-ZÀ-Ý .'\-]{1,24}:\s+|[^\s：:\d]{1,10}[：:]\s*(?=\S))"
-
     def line(s: Column) -> Column:
         s = F.trim(s)
-        return F.when(s.rlike(_BARE) | s.rlike(_MUSIC), "").otherwise(F.trim(F.regexp_replace(s, label, "")))
+        return F.when(s.rlike(_BARE) | s.rlike(_MUSIC), "").otherwise(F.trim(F.regexp_replace(s, _SDH_LABEL, "")))
 
     return _by_line(text, line)
 
@@ -223,8 +227,8 @@ def clean_captions(text: Column) -> Column:
 
     def line(s: Column) -> Column:
         s = F.trim(s)
-        t = F.regexp_replace(s, r"^\s*[A-ZÀ-Ý][A-ZÀ-Ý .'\-]{1,24}:\s+", "")
-        t = F.trim(F.regexp_replace(t, r"\s*[\[(][A-ZÀ-Ý][A-ZÀ-Ý .,'\-]{1,40}[\])]\s*", " "))
+        t = F.regexp_replace(s, _CAP_LABEL, "")
+        t = F.trim(F.regexp_replace(t, _CAP_TAG, " "))
         return F.when(s.rlike(_MUSIC) | t.rlike(_BARE), "").otherwise(t)
 
     return _by_line(text, line)
@@ -245,8 +249,7 @@ def is_sdh(title: Column) -> Column:
 
 def decorated(body: Column) -> Column:
     """Three override blocks or more with typesetting tags."""
-    tags = r"\\(?:1?c&H|fn|fs\d|t\(|fad|fade|bord|be\d|blur|fsc|fr[xyz]?\d|clip|shad)"
-    return F.size(F.filter(F.regexp_extract_all(body, F.lit(r"\{[^}]*\}"), 0), lambda b: b.rlike(tags))) >= 3
+    return F.size(F.filter(F.regexp_extract_all(body, F.lit(r"\{[^}]*\}"), 0), lambda b: b.rlike(_TAGS))) >= 3
 
 
 def symbols(text: Column) -> Column:
@@ -263,7 +266,7 @@ def junk_line(line: Column) -> Column:
 
 def parse_numbered(text: Column) -> Column:
     """map<int, string>: lines "n. text"; the first that is not empty stays."""
-    pattern = r"^\s*\[?(\d+)\]?\s*(?:[\t.．:：)）\-–—]|\s)\s*(.*?)\s*$"
+    pattern = _NUMBERED
     rows = F.filter(F.split(text, r"\r\n|\r|\n"), lambda s: F.trim(s).rlike(pattern))
     pairs = F.transform(rows, lambda s, i: F.struct(F.regexp_extract(F.trim(s), pattern, 1).cast("int").alias("n"), (F.regexp_extract(F.trim(s), pattern, 2) == "").alias("empty"), i.alias("i"), F.regexp_extract(F.trim(s), pattern, 2).alias("text")))
     ranked = F.array_sort(pairs)
@@ -292,7 +295,7 @@ def slug(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", "-"), "^-+|-+$", "")
 
 
-# Register: language, class, value and pattern; the caller's table may replace it. Case counts where the flag is set.
+# Register by language, class, value and pattern; the caller's table may replace it. Case counts where the flag is set.
 REGISTER = [
     ("fr", "tv", "tu", r"\b(?:tu|toi|te)\b|\bt'", False),
     ("fr", "tv", "vous", r"\b(?:vous|votre|vos)\b", False),

@@ -183,6 +183,8 @@ def _sql(body: str) -> str:
 
 
 SQL = {
+    "k2_lidbench": f"select * from ({ti.SQL['c19_switches']}) left join ({ti.SQL['d11_recall']}) using (file_id)",
+    "k6_bench": f"select * from ({ti.SQL['c20_boundary']}) full join ({ti.SQL['c3_pairing']}) using (file_id)",
     "k7_scan": _sql("select lang, count(distinct file_id) as files, count(*) as spans, cast(round(sum(e - s) * 1000) as bigint) as speech_ms from spans group by lang"),
     "k9_why": _sql("select file_id, cast(count(*) as int) as n, cast(count(distinct speaker) as int) as voices, cast(count(*) filter (conf < 0.1) as int) as unsure from spans group by file_id"),
     "j7_routing": "select distinct lang as src, 'th' as tgt, case when lang = 'fr' then 'french-thai' else 'to-thai' end as preset from documents",

@@ -341,6 +341,8 @@ SQL = {
     "d14_candidates": _sql("select lang, term, count(*) as n from (select lang, unnest(regexp_extract_all(text, '[A-ZÀ-Ý][a-zà-ÿ]{2,}')) as term from documents) group by all"),
     "d15_count_in": "select doc_id, " + ", ".join(f"cast((length(text) - length(replace(text, '{x}', ''))) // {len(x)} as bigint) as n_{x}" for x in ("the", "ou", "en")) + " from documents",
     "d16_select_terms": _sql("select term, n from c where n >= 2 and not exists (select 1 from c o where o.term <> c.term and contains(o.term, c.term) and c.n <= o.n) order by n desc, term limit 60", "c as (select term, count(*) as n from (select unnest(regexp_extract_all(text, '[A-ZÀ-Ý][a-zà-ÿ]{2,}')) as term from documents where lang = 'es') group by all)"),
+    "d20_same_time": _sql("select file_id, count(*) as runs, max(n) as longest, cast(sum(chars) as bigint) as chars from (select file_id, run, count(*) as n, sum(length(w)) as chars from (select *, sum(o) over (partition by file_id order by pos) as run from (select *, case when t = lag(t) over (partition by file_id order by pos) then 0 else 1 end as o from x)) group by file_id, run having count(*) > 1) group by file_id",
+        "x as (select file_id, idx * 100 + k as pos, floor(s + (e - s) / len(ws) * k) as t, ws[k + 1] as w from (select *, unnest(generate_series(0, len(ws) - 1)) as k from (select *, list_slice(regexp_split_to_array(src, '\\s+'), 1, 40) as ws from cues)))"),
     "d25_share_metrics": "select lang, round(sum(length(regexp_replace(text, '[^0-9]', '', 'g'))) / sum(length(text)), 8) as digit_share, round(sum(length(regexp_replace(text, '[^#$%&*|]', '', 'g'))) / sum(length(text)), 8) as mark_share from documents group by lang",
     "f1_stable_sort": _sql("select file_id, pos, row_number() over (partition by file_id order by s, e, pos) as place from spans"),
     "f3_worst": "select doc_id, abs(length(text) - 1000) as off from documents order by off desc, doc_id limit 15",

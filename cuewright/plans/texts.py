@@ -341,6 +341,7 @@ SQL = {
     "h36_rms": _sql("select cast(floor(pos / 100) as bigint) as frame, round(sqrt(avg(conf * conf) + 1e-12), 6) as rms from spans group by all"),
     "h35_db_above_floor": _sql("select file_id, round(20 * log10(greatest(quantile_cont(conf, 0.8), 1e-9) / greatest(quantile_cont(conf, 0.05), 1e-9)), 4) as db from spans group by file_id"),
     "h37_rgb": "select y, cb, cr, greatest(0, least(255, (298 * (y - 16) + 409 * (cr - 128) + 128) >> 8)) as r, greatest(0, least(255, (298 * (y - 16) - 100 * (cb - 128) - 208 * (cr - 128) + 128) >> 8)) as g, greatest(0, least(255, (298 * (y - 16) + 516 * (cb - 128) + 128) >> 8)) as b from (select y, y * 7 % 256 as cb, y * 13 % 256 as cr from range(0, 256, 5) v(y))",
+    "h34_junk_lines": _sql(r"""select file_id, count(*) filter (length(body) >= 2 and length(regexp_replace(body, '\P{Nd}', '', 'g')) + length(regexp_replace(regexp_replace(body, '\p{Nd}', '', 'g'), '[\p{L}\p{N}\s.,:;!?''"\-–—…()\[\]「」『』、。！？・“”‘’«»¿¡/&+♪\x{3000}\x{300}-\x{36f}\x{e31}-\x{e4e}\x{3099}-\x{309a}]', '', 'g')) >= 0.4 * length(body)) as junk from (select *, regexp_replace(text, '\s', '', 'g') as body from lines) group by file_id"""),
     "b7_foreign_script": _sql("select id, " + ", ".join(f"cast(length(regexp_replace(text, '[^\\p{{L}}]|[{_LAT}{r}]', '', 'g')) as int) as {k}" for k, r in _OWN.items()) + " from t"),
     "b9_script_matches": _sql("select id, script in ('ja', 'han') as ja, script = 'han' as zh, script in ('latin', 'none') as en, script = 'cyrillic' as ru, script in ('latin', 'none') as bg from s", _S),
     "b10_confident": _sql("select pos from spans where round_even(conf * 1.5, 2) >= 1.0 and round_even(conf, 2) >= 0.4"),

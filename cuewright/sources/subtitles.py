@@ -13,6 +13,7 @@ from ..functions import timefmt as tf
 from ..operators import intervals as iv
 from ..operators import sequence as sq
 
+# Endings of video files.
 VIDEO = ("mkv", "mp4", "avi", "mov", "m4v", "webm", "ts", "wmv", "flv", "mpg", "mpeg")
 
 
@@ -27,6 +28,7 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
+# Fixed value: the time line of a block.
 _TIME = r"(\d+):(\d+):(\d+)[,.](\d+)\s*-->\s*(\d+):(\d+):(\d+)[,.](\d+)"
 
 
@@ -53,6 +55,7 @@ def track_cues(srt: DataFrame, lang: str = "ja", sdh: bool = False) -> DataFrame
     return c.withColumn("idx", F.row_number().over(Window.partitionBy("path").orderBy("n")) - 1).select("path", "idx", "s", "e", "text")
 
 
+# Fixed value: styles that hold no dialogue, by name.
 _SKIP_STYLE = r"(?i)romaji|roman|kanji|karaoke|\bkara\b|sign|title|logo|credit|staff|typeset|note|lyric"
 
 
