@@ -64,7 +64,7 @@ def k8_compare(spark, sf):
     """Two transcripts of a file: ordered texts of both sides and their similarity."""
     c = cues(spark, sf)
     side = lambda who, n: c.filter(F.col("speaker") == who).groupBy("file_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "src"))), lambda x: x["src"]), " ").alias(n))
-    j = side("user", "a").join(side("assistant", "b"), "file_id").select("file_id", F.substring(tx.norm(F.col("a")), 1, 500).alias("a"), F.substring(tx.norm(F.col("b")), 1, 500).alias("b"))
+    j = side("user", "a").join(side("assistant", "b"), "file_id").select("file_id", tx.norm(F.col("a")).alias("a"), tx.norm(F.col("b")).alias("b"))
     return j.select("file_id", sc.agreement("a", "b").alias("similarity"))
 
 

@@ -74,13 +74,14 @@ def h9_decide(spark, sf):
     """Two transcripts agree, one has nothing to say, or they must be reconciled."""
     t = _texts(spark, sf)
     a, b = tx.norm(F.col("text")), tx.norm(F.regexp_replace("text", "the", "a"))
-    p = t.select("id", F.substring(a, 1, 400).alias("a"), F.substring(b, 1, 400).alias("b")).filter("id < 1060").withColumn("sim", sc.agreement("a", "b"))
+    p = t.select("id", a.alias("a"), b.alias("b")).withColumn("sim", sc.agreement("a", "b"))
     na, nb = F.length("a"), F.length("b")
     return p.select("id", F.when((na < 4) & (nb < 4), "agree").when(na < 4, "second").when(nb < 4, "first").when(F.col("sim") >= 0.92, "agree").otherwise("reconcile").alias("verdict"))
 
 
 def h8_agreement(spark, sf):
-    p = _texts(spark, sf).filter("id < 1060").select("id", F.substring("text", 1, 300).alias("a"), F.substring("text", 5, 300).alias("b"))
+    """Each text against itself less its first four characters."""
+    p = _texts(spark, sf).select("id", F.col("text").alias("a"), F.expr("substring(text, 5)").alias("b"))
     return p.select("id", sc.agreement("a", "b").alias("similarity"))
 
 
@@ -133,12 +134,12 @@ def h29_cache_key(spark, sf):
 
 
 def h30_wer(spark, sf):
-    d = read(spark, sf, "documents").select("doc_id", F.substring("text", 1, 200).alias("a"), F.regexp_replace(F.substring("text", 1, 200), "(?i)the", "a").alias("b"))
+    d = read(spark, sf, "documents").select("doc_id", F.col("text").alias("a"), F.regexp_replace("text", "(?i)the", "a").alias("b"))
     return d.select("doc_id", sc.wer("a", "b").alias("wer"))
 
 
 def h31_chrf(spark, sf):
-    d = read(spark, sf, "documents").filter("doc_id < 300").select("doc_id", F.substring("text", 1, 200).alias("a"), F.substring("text", 10, 200).alias("b"))
+    d = read(spark, sf, "documents").select("doc_id", F.col("text").alias("a"), F.expr("substring(text, 10)").alias("b"))
     return d.select("doc_id", sc.chrf_counts("a", "b").alias("c")).select("doc_id", sc.chrf(F.col("c")).alias("chrf"))
 
 
@@ -258,15 +259,15 @@ def b2_assess(spark, sf):
 
 
 def d8_register_agreement(spark, sf):
-    """Lines matched by time whose register shows the same values."""
+    """Texts and a hypothesis that says some words otherwise: those whose registers show a value in common."""
     d = read(spark, sf, "documents").filter("lang = 'fr'")
-    t = d.select("doc_id", tx.register(F.col("text"), "fr", "tv").alias("r"), tx.register(F.substring("text", 1, 300), "fr", "tv").alias("h")).filter("size(r) > 0")
+    t = d.select("doc_id", tx.register(F.col("text"), "fr", "tv").alias("r"), tx.register(F.regexp_replace("text", r"(?i)\b(?:te|toi)\b", "on"), "fr", "tv").alias("h")).filter("size(r) > 0")
     return t.agg(F.count("*").alias("n"), F.count_if(F.arrays_overlap("r", "h")).alias("agree"), F.count_if(F.size("h") == 0).alias("absent"))
 
 
 def _timed_docs(spark, sf):
     d = read(spark, sf, "documents").withColumn("file_id", F.col("doc_id") % 20).withColumn("s", F.col("doc_id") * 10.0)
-    ref = d.select("file_id", F.col("doc_id").alias("pos"), "s", (F.col("s") + 8).alias("e"), F.substring("text", 1, 200).alias("text"))
+    ref = d.select("file_id", F.col("doc_id").alias("pos"), "s", (F.col("s") + 8).alias("e"), "text")
     hyp = ref.withColumn("s", F.col("s") + 1).withColumn("e", F.col("e") + 1).withColumn("text", F.regexp_replace("text", "(?i)the", "a"))
     return ref, hyp
 
@@ -300,6 +301,13 @@ def g6_feature_overlap(spark, sf):
     return d.select("doc_id", F.arrays_overlap(a, b).alias("agree"))
 
 
+def g6_halves_overlap(spark, sf):
+    """Whether the halves of a whole text have a word in common."""
+    half = F.floor(F.length("text") / 2).cast("int")
+    words = lambda x: F.array_distinct(F.split(F.lower(x), " "))
+    return read(spark, sf, "documents").select("doc_id", F.arrays_overlap(words(F.left("text", half)), words(F.substr("text", half + 1))).alias("agree"))
+
+
 def g7_function_words(spark, sf):
     w = F.array_distinct(F.split(F.lower("text"), r"[^a-z]+"))
     return read(spark, sf, "documents").select("doc_id", F.size(F.array_intersect(w, F.array(*map(F.lit, ("the", "of", "and", "to"))))).alias("hits"))
@@ -347,5 +355,6 @@ SQL = {
     "b10_confident": _sql("select pos from spans where round_even(conf * 1.5, 2) >= 1.0 and round_even(conf, 2) >= 0.4"),
     "b17_minimum": _sql("select file_id, count(*) as n from cues group by file_id having count(*) >= 5 and max(e) >= 6"),
     "g6_feature_overlap": "select doc_id, list_has_any(string_split(lower(substring(text, 1, 100)), ' '), string_split(lower(substring(text, 101, 100)), ' ')) as agree from documents",
+    "g6_halves_overlap": "select doc_id, list_has_any(string_split(lower(text[: length(text) // 2]), ' '), string_split(lower(text[length(text) // 2 + 1 :]), ' ')) as agree from documents",
     "g7_function_words": "select doc_id, cast(len(list_intersect(list_distinct(regexp_split_to_array(lower(text), '[^a-z]+')), ['the', 'of', 'and', 'to'])) as int) as hits from documents",
 }
