@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import protocols as pr
 from ..functions import scoring as sc
 from ..functions import text as tx
+from ..functions import typesetting as ty
 from ..operators import intervals as iv
 from ..operators import sequence as sq
 from ..sources.sinks import srt_texts
@@ -99,6 +100,16 @@ def k12_words_to_cues(spark, sf):
     return timed.groupBy("file_id").agg(F.count("*").alias("cues"), F.countDistinct("speaker").alias("voices"), F.round(F.sum(F.col("e") - F.col("s")), 3).alias("seconds"))
 
 
+def split_long(cue: DataFrame, width: int = 42, gap: float = 0.083, least: float = 0.3) -> DataFrame:
+    """cue: file_id, idx, s, e, text. Pieces of the whole text that share the cue's time by their lengths; idx counts them anew."""
+    c = cue.filter("trim(text) != ''").withColumn("parts", ty.fit_parts(F.regexp_replace("text", r"\s+", " "), F.lit(width)))
+    c = c.withColumn("all", F.aggregate("parts", F.lit(0), lambda a, x: a + F.length(x))).withColumn("share", F.col("e") - F.col("s") - gap * (F.size("parts") - 1))
+    p = c.select("file_id", "idx", "s", "share", "all", F.posexplode("parts").alias("part", "text")).withColumn("d", F.greatest(F.lit(least), F.col("share") * F.length("text") / F.col("all")))
+    ahead = F.coalesce(F.sum(F.col("d") + gap).over(Window.partitionBy("file_id", "idx").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    p = p.withColumn("s", F.col("s") + ahead).withColumn("e", F.col("s") + F.col("d"))
+    return p.select("file_id", F.row_number().over(Window.partitionBy("file_id").orderBy("idx", "part")).cast("long").alias("idx"), "s", "e", "text")
+
+
 def typeset(cue: DataFrame, width: int = 42, cps: float = 21.0, least: float = 1.0, most: float = 7.0, gap: float = 0.083) -> DataFrame:
     """cue: file_id, idx, s, e, text. Wrapped lines, ends drawn out to the reading speed, starts pushed apart."""
     c = cue.filter("trim(text) != ''").withColumn("text", F.coalesce(F.array_join(tx.wrap_lines(F.col("text"), width), "\n"), F.trim("text")))
@@ -111,10 +122,10 @@ def typeset(cue: DataFrame, width: int = 42, cps: float = 21.0, least: float = 1
 
 
 def k13_subtitles(spark, sf):
-    """Cues translated by the stand-in, typeset and written as SRT texts."""
-    c = cues(spark, sf).select("file_id", "idx", "s", "e", F.left("src", F.lit(80)).alias("src"))
+    """Cues translated by the stand-in, split into pieces that fit two lines, typeset and written as SRT texts."""
+    c = cues(spark, sf).select("file_id", "idx", "s", "e", "src")
     t = pr.apply_model(c, pr.REGISTRY["translator"], "file_id long, idx long, s double, e double, src string, tgt string")
-    return srt_texts(typeset(t.withColumn("text", F.coalesce(F.nullif("tgt", F.lit("")), F.col("src")))))
+    return srt_texts(typeset(split_long(t.withColumn("text", F.coalesce(F.nullif("tgt", F.lit("")), F.col("src"))))))
 
 
 def k14_terminology(spark, sf):
@@ -155,14 +166,14 @@ def e10_cover_chunks(spark, sf):
 
 def e20_transfer_timing(spark, sf):
     """Merged text's characters timed by interpolation between those that are known."""
-    ch = se.e19_characters(spark, sf)
+    ch = se.e19_all_characters(spark, sf)
     known = F.when((F.col("k") % 3 == 0) | (F.col("k") == 0), F.col("start_ms"))
     x = ch.withColumn("t", known).withColumn("at", F.when(F.col("t").isNotNull(), F.col("k")))
-    w = Window.partitionBy("file_id").orderBy("k")
+    w = Window.partitionBy("file_id", "idx").orderBy("k")
     back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
     a, b, i, j = F.last("t", True).over(back), F.first("t", True).over(ahead), F.last("at", True).over(back), F.first("at", True).over(ahead)
     part = F.coalesce(F.try_divide(F.col("k") - i, j - i), F.lit(0.0))
-    return x.select("file_id", "k", F.round(a + (F.coalesce(b, a) - a) * part).cast("long").alias("ms"))
+    return x.select("file_id", "idx", "k", F.round(a + (F.coalesce(b, a) - a) * part).cast("long").alias("ms"))
 
 
 def s_star_rollup(spark, sf):

@@ -23,7 +23,7 @@ def a4_read_srt(spark, sf):
 def a5_read_ass(spark, sf):
     """Conversations as ASS scripts, read back: braces stripped, repeats merged."""
     t = lambda c: F.format_string("%d:%02d:%02d.%02d", F.floor(c / 3600), F.floor(c / 60) % 60, F.floor(c) % 60, F.floor(c * 100) % 100)
-    c = cues(spark, sf).withColumn("line", F.concat(F.lit("Dialogue: "), t(F.col("s")), F.lit(","), t(F.col("e")), F.lit(",Main,,{\\i1}"), F.translate(F.left("src", F.lit(30)), "\n{}\\", " ")))
+    c = cues(spark, sf).withColumn("line", F.concat(F.lit("Dialogue: "), t(F.col("s")), F.lit(","), t(F.col("e")), F.lit(",Main,,{\\i1}"), F.translate("src", "\n{}\\", " ")))
     g = c.groupBy("file_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "line"))), lambda x: x["line"]), "\n").alias("x"))
     files = g.select(F.col("file_id").cast("string").alias("path"), F.concat(F.lit("[V4+ Styles]\nFormat: Name, Alignment\nStyle: Main,2\n[Events]\nFormat: Start, End, Style, Effect, Text\n"), "x").alias("text"))
     return su.parse_ass(files).groupBy(F.col("path").alias("file_id")).agg(F.count("*").alias("lines"))
@@ -45,7 +45,7 @@ def h14_clean_ja_line(spark, sf):
 
 
 def h22_fit_parts(spark, sf):
-    c = cues(spark, sf).select("file_id", "idx", F.left(F.regexp_replace("src", r"\s+", " "), F.lit(220)).alias("t"))
+    c = cues(spark, sf).select("file_id", "idx", F.regexp_replace("src", r"\s+", " ").alias("t"))
     return c.select("file_id", "idx", ty.fit_parts("t", F.lit(42)).alias("parts")).select("file_id", "idx", F.size("parts").alias("n"), F.length(F.array_join("parts", "")).alias("chars"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import protocols as pr
 from ..functions import text as tx
 from ..functions import timefmt as tf
 from ..operators import sequence as sq
@@ -90,6 +91,25 @@ def e14_context(spark, sf):
     return out.select("file_id", F.col("win").cast("long").alias("win"), "n", "context")
 
 
+def context_windows(df: DataFrame, size: int = 20, before: int = 8, after: int = 3) -> DataFrame:
+    """df: file_id, idx, lang, src, tgt. Windows of up to ``size`` cues, which end where the language changes: file_id, win, lang, n,
+    before (source and translation of those of the ``before`` cues ahead that have one), after (the next ``after`` sources)."""
+    w = _order("idx")
+    runs = sq.islands(df, CUE, ["idx"], lambda w: ~F.col("lang").eqNullSafe(F.lag("lang").over(w)))
+    part = F.floor((F.row_number().over(Window.partitionBy("file_id", "run").orderBy("idx")) - 1) / size)
+    ahead = F.filter(F.collect_list(F.struct("src", "tgt")).over(w.rowsBetween(-before, -1)), lambda x: F.coalesce(x["tgt"], F.lit("")) != "")
+    later = F.collect_list("src").over(w.rowsBetween(1, after))
+    x = runs.withColumn("part", part).withColumn("before", ahead).withColumn("after", later)
+    g = x.groupBy("file_id", "run", "part").agg(F.min("idx").alias("first"), F.first("lang").alias("lang"), F.count("*").alias("n"), F.min_by("before", "idx").alias("before"), F.max_by("after", "idx").alias("after"))
+    return g.select("file_id", (F.row_number().over(_order("first")) - 1).alias("win"), "lang", "n", "before", "after")
+
+
+def e14_windows(spark, sf):
+    """Translation windows of all cues with whole lines; the language is that of the function words."""
+    c = cues(spark, sf).withColumn("lang", tx.text_language(F.col("src"))["lang"]).select("file_id", "idx", "lang", "src")
+    return context_windows(pr.apply_model(c, pr.REGISTRY["translator"], "file_id long, idx long, lang string, src string, tgt string"))
+
+
 def e15_extend(spark, sf):
     """Ends drawn out to a second or the reading speed, to 7 s at most and clear of the next start."""
     nxt = F.lead("s").over(_order("idx"))
@@ -99,11 +119,19 @@ def e15_extend(spark, sf):
     return cues(spark, sf).select("file_id", "idx", ms(F.when(e <= F.col("s"), F.col("s") + 0.5).otherwise(e)).alias("end_ms"))
 
 
+def characters(cue: DataFrame) -> DataFrame:
+    """cue: file_id, idx, s, e, src. Every character of every cue with its time."""
+    x = cue.withColumn("n", F.length("src")).select("file_id", "idx", "s", "e", "n", F.posexplode(F.split("src", "")).alias("k", "ch")).filter("ch != ''")
+    return x.select("file_id", "idx", "k", "ch", ms(F.col("s") + (F.col("e") - F.col("s")) * F.col("k") / F.col("n")).alias("start_ms"))
+
+
 def e19_characters(spark, sf):
-    """Characters of a cue with their times."""
-    c = cues(spark, sf).filter("idx = 0").withColumn("w", F.left("src", F.lit(40))).withColumn("n", F.length("w"))
-    x = c.select("file_id", "s", "e", "n", F.posexplode(F.split("w", "")).alias("k", "ch")).filter("ch != ''")
-    return x.select("file_id", "k", "ch", ms(F.col("s") + (F.col("e") - F.col("s")) * F.col("k") / F.col("n")).alias("start_ms"))
+    """The first 40 characters of each file's first cue; e19_all_characters has the others."""
+    return characters(cues(spark, sf).filter("idx = 0").withColumn("src", F.left("src", F.lit(40)))).drop("idx")
+
+
+def e19_all_characters(spark, sf):
+    return characters(cues(spark, sf))
 
 
 def e22_changes(spark, sf):
@@ -300,7 +328,7 @@ def h20_join_words(spark, sf):
 
 
 def h21_wrap(spark, sf):
-    c = cues(spark, sf).select("file_id", "idx", F.left("src", F.lit(75)).alias("t"))
+    c = cues(spark, sf).select("file_id", "idx", F.col("src").alias("t"))
     return c.select("file_id", "idx", F.coalesce(F.array_join(tx.wrap_lines(F.col("t")), "|"), F.lit("-")).alias("lines"))
 
 
@@ -330,6 +358,7 @@ SQL = {
     "e14_context": _sql("select file_id, win, count(*) as n, arg_min(before, idx) as context from (select file_id, idx, cast((row_number() over (partition by file_id order by idx) - 1) // 3 as bigint) as win, coalesce(array_to_string(list(left(src, 12)) over (partition by file_id order by idx rows between 2 preceding and 1 preceding), '|'), '') as before from cues) group by file_id, win"),
     "e15_extend": _sql("select file_id, idx, cast(round((case when e2 <= s then s + 0.5 else e2 end) * 1000) as bigint) as end_ms from (select *, case when e1 - s > 7 then s + 7 else e1 end as e2 from (select *, case when e - s < need then least(coalesce(nxt, 1e12) - 0.083, s + need) else e end as e1 from (select *, lead(s) over (partition by file_id order by idx) as nxt, greatest(1.0, length(src) / 21.0) as need from cues)))"),
     "e19_characters": _sql("select file_id, cast(k as int) as k, w[k + 1] as ch, cast(round((s + (e - s) * k / length(w)) * 1000) as bigint) as start_ms from (select *, unnest(generate_series(0, length(w) - 1)) as k from (select *, left(src, 40) as w from cues where idx = 0))"),
+    "e19_all_characters": _sql("select file_id, idx, cast(k as int) as k, src[k + 1] as ch, cast(round((s + (e - s) * k / length(src)) * 1000) as bigint) as start_ms from (select *, unnest(generate_series(0, length(src) - 1)) as k from cues)"),
     "e22_changes": _sql("select file_id, count(*) filter (v) as speaker_changes, count(*) filter (t) as language_changes from (select file_id, speaker <> lag(speaker) over w as v, lang <> lag(lang) over w as t from spans window w as (partition by file_id order by s, pos)) group by file_id"),
     "e23_bins": _sql("select file_id, cast(floor((s + e) / 2 / 60) as bigint) as bin, string_agg(cast(length(src) as varchar), ' ' order by idx) as lengths from cues group by all"),
     "e24_minutes": _sql("select file_id, cast(floor(s / 60) as bigint) as bin, string_agg(cast(length(src) as varchar), ' ' order by idx) as lengths from cues group by all"),
