@@ -3,12 +3,13 @@
 The base finds e-mail addresses, IP addresses, card and phone numbers. For the words within ``reach`` words of such an
 entity, the corpus tells how strongly each reveals it: with P(k) the share of all words that stand near an entity of kind
 k, and P(k|t) that share among the occurrences of term t, the disclosure is PMI(t, k) / IC(k) =
-(log P(k|t) - log P(k)) / -log P(k), 1 where the term never stands elsewhere. Terms that stood near at least ``support``
-different entities and disclose ``generalise`` or more are replaced by their kind near an entity; from ``remove`` on they go.
-All counts are over all documents.
+(log P(k|t) - log P(k)) / -log P(k), 1 where the term never stands elsewhere. The same is told of each single entity, with the
+words that stand near it in place of those near its kind, so that a name beside one repeated address counts. Terms that stood
+near at least ``support`` times and disclose ``generalise`` or more are replaced by their kind, wherever they stand in a document
+that holds an entity of the kind, or that entity; from ``remove`` on they go. All counts are over all documents.
 
 Defined results: null or empty texts have no spans; each kind's spans are leftmost and do not overlap, spans of different
-kinds may; repeated rows are judged one by one and copies of an entity count once for support; empty tables give empty
+kinds may; repeated rows are judged one by one and each occurrence counts for support; empty tables give empty
 results; other columns pass through ``sanitise`` and are ignored elsewhere.
 """
 
@@ -19,6 +20,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -74,7 +76,7 @@ def neighbours(text: str, spans: list[tuple[str, int, int]], reach: int) -> list
     """The words around each entity that are not entities themselves."""
     out = []
     for kind, start, end in spans:
-        entity = int.from_bytes(hashlib.blake2b(text[start:end].encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
+        entity = _entity(text[start:end])
         lo = max(0, start - _CLOSE)
         before = [(m.start() + lo, m.end() + lo) for m in _WORD.finditer(text[lo:start].lower() if text.isascii() else re.sub("[A-Z]", lambda m: m[0].lower(), text[lo:start]))]
         if lo and before and before[0][0] == lo:
@@ -89,11 +91,20 @@ def neighbours(text: str, spans: list[tuple[str, int, int]], reach: int) -> list
     return out
 
 
+def _entity(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
+
+
+def _lower(text: str) -> str:
+    return text.lower() if text.isascii() else re.sub("[A-Z]", lambda m: m[0].lower(), text)
+
+
 def find_base(documents: DataFrame, reach: int = 4, kept: list[str] | None = None) -> DataFrame:
-    """row_id, doc (the kept columns of the document; all by default), spans (kind, start, end) and near (the words around them); stored."""
+    """row_id, doc (the kept columns of the document; all by default), spans (kind, start, end), near (the words around them)
+    and held (the text where there are spans); stored."""
     spans = T.ArrayType(T.StructType.fromDDL("kind string, start int, end int"))
     docs = documents.select(F.monotonically_increasing_id().alias("row_id"), F.struct(*[F.col(f"`{c}`") for c in kept or documents.columns]).alias("doc"), "text")
-    schema = T.StructType(docs.schema[:2].fields).add("spans", spans).add("near", T.ArrayType(T.StructType.fromDDL("term string, kind string, entity long, start int, end int")))
+    schema = T.StructType(docs.schema[:2].fields).add("spans", spans).add("near", T.ArrayType(T.StructType.fromDDL("term string, kind string, entity long, start int, end int"))).add("held", T.StringType())
     span_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
     near_type = pa.list_(pa.struct([("term", pa.string()), ("kind", pa.string()), ("entity", pa.int64()), ("start", pa.int32()), ("end", pa.int32())]))
 
@@ -101,12 +112,13 @@ def find_base(documents: DataFrame, reach: int = 4, kept: list[str] | None = Non
         for b in batches:
             for lo in range(0, b.num_rows, 1000):
                 part = b.slice(lo, 1000)
-                found, near = [], []
+                found, near, held = [], [], []
                 for text in part.column("text").to_pylist():
                     x = base_spans(text or "")
                     found.append([{"kind": k, "start": s, "end": e} for k, s, e in x])
                     near.append(neighbours(text, x, reach) if x else [])
-                yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(found, span_type), pa.array(near, near_type)], names=["row_id", "doc", "spans", "near"])
+                    held.append(text if x else None)
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(found, span_type), pa.array(near, near_type), pa.array(held, pa.string())], names=["row_id", "doc", "spans", "near", "held"])
 
     return materialize(docs.mapInArrow(run, schema), "personal")
 
@@ -133,31 +145,61 @@ def word_counts(documents: DataFrame, most: int = 200_000) -> DataFrame:
     return documents.select("text").mapInArrow(run, "term string, n long")
 
 
-def disclosures(found: DataFrame, documents: DataFrame, reach: int = 4, support: int = 3) -> DataFrame:
-    """term, kind, disclosure of every term that stood near at least ``support`` different entities of the kind."""
+def disclosures(found: DataFrame, documents: DataFrame, support: int = 3) -> DataFrame:
+    """term, kind, entity (null: any of the kind), disclosure of every term that stood near at least ``support`` times."""
     near = found.select(F.explode("near").alias("x")).select("x.*")
-    by_entity = near.groupBy("term", "kind", "entity").agg(F.count("*").alias("n"))
-    terms = materialize(by_entity.groupBy("term", "kind").agg(F.sum("n").alias("near"), F.count("*").alias("entities")), "near-terms")
-    kinds = terms.groupBy("kind").agg(F.sum("near").alias("all_near"))
-    known = terms.filter(F.col("entities") >= support)
+    by_entity = materialize(near.groupBy("term", "kind", "entity").agg(F.count("*").alias("near")), "near-entities")
+    by_kind = by_entity.groupBy("term", "kind").agg(F.sum("near").alias("near")).filter(F.col("near") >= support)
+    kinds = by_entity.groupBy("kind").agg(F.sum("near").alias("all_near"))
+    known = by_kind.join(F.broadcast(kinds), "kind").withColumn("entity", F.lit(None).cast("long"))  # one row for each of four kinds
+    entities = by_entity.groupBy("kind", "entity").agg(F.sum("near").alias("all_near"))
+    known = known.unionByName(by_entity.filter(F.col("near") >= support).join(entities, ["kind", "entity"]))
+    known = materialize(known.select("term", "kind", "entity", "near", "all_near"), "near-terms")
     wanted = known.select("term").union(documents.sparkSession.createDataFrame([("",)], "term string")).distinct()
     counts = materialize(word_counts(documents).join(wanted, "term", "left_semi").groupBy("term").agg(F.sum("n").alias("n")), "term-counts")
     total = (counts.filter("term = ''").first() or (None, 0))[1]
     prior = F.least(F.col("all_near") / F.lit(float(max(1, total))), F.lit(0.5))
     p = F.least(F.col("near") / F.col("n"), F.lit(1.0))
-    scored = known.join(counts.filter("term != ''"), "term").join(F.broadcast(kinds), "kind")  # one row for each of four kinds
-    return scored.select("term", "kind", ((F.log(p) - F.log(prior)) / -F.log(prior)).alias("disclosure"))
+    scored = known.join(counts.filter("term != ''"), "term")
+    return scored.select("term", "kind", "entity", ((F.log(p) - F.log(prior)) / -F.log(prior)).alias("disclosure"))
+
+
+#: Up to so many disclosing terms (some 50 bytes each) are broadcast; more are joined by shuffle.
+BROADCAST_ROWS = 500_000
+
+
+def _held_words(found: DataFrame) -> DataFrame:
+    """row_id, term, places (start, end), kinds, entities: the distinct words of rows with spans, outside of these."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+        for b in batches:
+            for row, spans, text in zip(*(b.column(c).to_pylist() for c in ("row_id", "spans", "held")), strict=True):
+                inside = np.zeros(len(text) + 1, bool)
+                for x in spans:
+                    inside[x["start"] : x["end"]] = True
+                words: dict[str, list] = {}
+                for m in _WORD.finditer(_lower(text)):
+                    if not inside[m.start() : m.end()].any():
+                        words.setdefault(m[0].encode("utf-8", "replace").decode("utf-8", "replace"), []).append({"start": m.start(), "end": m.end()})
+                kinds, entities = sorted({x["kind"] for x in spans}), sorted({_entity(text[x["start"] : x["end"]]) for x in spans})
+                n = len(words)
+                yield pa.RecordBatch.from_arrays([pa.array([row] * n, pa.int64()), pa.array(list(words), pa.string()), pa.array(list(words.values()), place), pa.array([kinds] * n, pa.list_(pa.string())), pa.array([entities] * n, pa.list_(pa.int64()))], names=["row_id", "term", "places", "kinds", "entities"])
+
+    return found.filter("held is not null").select("row_id", "spans", "held").mapInArrow(run, "row_id long, term string, places array<struct<start: int, end: int>>, kinds array<string>, entities array<long>")
 
 
 def find(documents: DataFrame, reach: int = 4, support: int = 3, generalise: float = 0.9, remove: float = 0.98, kept: list[str] | None = None) -> DataFrame:
-    """find_base with ``terms``: array of (kind, start, end, action) for the words near entities that disclose them."""
+    """find_base with ``terms``: array of (kind, start, end, action) for the words that disclose an entity of their document."""
     found = find_base(documents, reach, kept)
-    strong = disclosures(found, documents, reach, support).filter(F.col("disclosure") >= generalise)
-    strong = materialize(strong.withColumn("action", F.when(F.col("disclosure") >= remove, "remove").otherwise("generalise")), "disclosing")
-    near = found.select("row_id", F.explode("near").alias("x")).select("row_id", "x.*")
-    hit = near.join(strong, ["term", "kind"]).groupBy("row_id", "start", "end").agg(F.min(F.struct("kind", "action")).alias("x"))
-    hit = hit.groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("start", "end", F.col("x.kind").alias("kind"), F.col("x.action").alias("action")))).alias("terms"))
-    return found.drop("near").join(hit, "row_id", "left")
+    strong = disclosures(found, documents, support).filter(F.col("disclosure") >= generalise)
+    strong = materialize(strong.withColumn("action", F.when(F.col("disclosure") >= remove, "remove").otherwise("generalise")).drop("disclosure"), "disclosing")
+    small = F.broadcast(strong) if strong.count() <= BROADCAST_ROWS else strong
+    hit = _held_words(found).join(small, "term").filter(F.array_contains("kinds", F.col("kind")) & (F.col("entity").isNull() | F.array_contains("entities", F.col("entity"))))
+    hit = hit.groupBy("row_id", "term").agg(F.first("places").alias("places"), F.min(F.struct(F.col("action") != "remove", "kind", "action")).alias("x"))  # removal goes before a kind
+    hit = hit.select("row_id", "x", F.explode("places").alias("at"))
+    hit = hit.groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("at.start", "at.end", F.col("x.kind").alias("kind"), F.col("x.action").alias("action")))).alias("terms"))
+    return found.drop("near", "held").join(hit, "row_id", "left")
 
 
 def digest(documents: DataFrame) -> DataFrame:
