@@ -81,6 +81,12 @@ class Lists:
     def nearest(self, turned: np.ndarray, n: int) -> np.ndarray:
         return np.argsort(-(turned @ self.centres.T), axis=1, kind="stable")[:, :n]
 
+    def probed(self, turned: np.ndarray, probes: int, least: np.ndarray) -> list[list[int]]:
+        """The ``probes`` nearest lists of each query, and as many more as hold ``least`` vectors together, or all."""
+        near = self.nearest(turned, len(self.centres))
+        enough = (np.cumsum(self.sizes[near], axis=1) < least[:, None]).sum(1) + 1
+        return [x[: max(probes, n)].tolist() for x, n in zip(near, enough, strict=True)]
+
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, dim)
@@ -146,6 +152,7 @@ def build(vectors: DataFrame, k: int = 5, sample: int = 20_000, aim: float = 0.9
     put = usable.filter(F.size("embedding") == dim).mapInArrow(assign, "list int, vec_id long, embedding array<double>")
     put = materialize(put, "lists")
     sizes = {r.list: r["count"] for r in put.groupBy("list").count().collect()}  # one row for each list
+    lists.sizes = np.array([sizes.get(i, 0) for i in range(len(lists.centres))])
     parts = F.element_at(F.create_map(*[F.lit(x) for kv in sizes.items() for x in (kv[0], max(1, kv[1] // _PART))]), F.col("list"))
     n = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = put.repartition(n, "list", F.pmod(F.xxhash64("vec_id"), parts)).sortWithinPartitions("list")
@@ -162,7 +169,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, queries_at_once:
     lists, index = built
     dim, probes = lists.dim, probes or lists.probes
     asked = queries.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).filter(F.col("vec_id").isNotNull() & _usable(F.col("embedding")) & (F.size("embedding") == dim))
-    asked = materialize(asked.groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "queries")
+    asked = materialize(asked.groupBy("vec_id").agg(F.min("embedding").alias("embedding"), F.count("*").alias("own")), "queries")
     blocks = max(1, -(-asked.count() // queries_at_once))
     found = []
     for block in range(blocks):
@@ -172,7 +179,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, queries_at_once:
         ids, own = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows])
         turned = lists.rotate(own)
         asking: dict[int, list[int]] = {}
-        for i, near in enumerate(lists.nearest(turned, probes).tolist()):
+        for i, near in enumerate(lists.probed(turned, probes, np.array([k + r.own for r in rows]))):  # its own rows are no candidates
             for c in near:
                 asking.setdefault(c, []).append(i)
         held = spark.sparkContext.broadcast((ids, own, turned, {c: np.array(x) for c, x in asking.items()}))
