@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -37,7 +38,6 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-_CLOSE = 400  # characters on either side in which an entity's neighbours are sought
 
 
 def _luhn(digits: str) -> bool:
@@ -65,7 +65,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     out = [("email", a, b) for a, b in emails(text)] if "@" in text else []
     if first := _DIGIT.search(text):
         at = max(0, first.start() - 1)  # a + may stand before
-        out += [("ip", m.start(), m.end()) for m in _IP.finditer(text, first.start()) if all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in m[0].split("."))]
+        out += [("ip", m.start(), m.end()) for m in _IP.finditer(text, first.start()) if all(len(d := x.lstrip("0")) <= 3 and int(d or "0") <= 255 for x in m[0].split("."))]
         cards = ((m, re.sub("[ -]", "", m[0])) for m in _CARD.finditer(text, first.start()))
         out += [("card", m.start(), m.end()) for m, d in cards if 13 <= len(d) <= 19 and _luhn(d)]
         out += [("phone", m.start(), m.end()) for m in _PHONE.finditer(text, at) if 9 <= len(_DIGIT.findall(m[0])) <= 15]
@@ -73,21 +73,18 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def neighbours(text: str, spans: list[tuple[str, int, int]], reach: int) -> list[dict]:
-    """The words around each entity that are not entities themselves."""
-    out = []
+    """The ``reach`` words before and after each entity, however far, less those that are part of an entity."""
+    words = [(m.start(), m.end(), m[0]) for m in _WORD.finditer(_lower(text))]
+    starts, ends, out = [a for a, _, _ in words], [b for _, b, _ in words], []
+    inside = np.zeros(len(text) + 1, bool)
+    for _, start, end in spans:
+        inside[start:end] = True
     for kind, start, end in spans:
         entity = _entity(text[start:end])
-        lo = max(0, start - _CLOSE)
-        before = [(m.start() + lo, m.end() + lo) for m in _WORD.finditer(text[lo:start].lower() if text.isascii() else re.sub("[A-Z]", lambda m: m[0].lower(), text[lo:start]))]
-        if lo and before and before[0][0] == lo:
-            before = before[1:]  # it may be cut
-        right = text[end : end + _CLOSE]
-        after = [(m.start() + end, m.end() + end) for m in _WORD.finditer(re.sub("[A-Z]", lambda m: m[0].lower(), right))]
-        if len(right) == _CLOSE and after and after[-1][1] == end + _CLOSE:
-            after = after[:-1]
-        for a, b in before[-reach:] + after[:reach]:
-            if not any(a < y and x < b for _, x, y in spans):
-                out.append({"term": words_of(text[a:b])[0].decode("utf-8", "replace"), "kind": kind, "entity": entity, "start": a, "end": b})
+        before, after = bisect_right(ends, start), bisect_left(starts, end)
+        for a, b, word in words[max(0, before - reach) : before] + words[after : after + reach]:
+            if not inside[a:b].any():
+                out.append({"term": word.encode("utf-8", "replace").decode("utf-8", "replace"), "kind": kind, "entity": entity, "start": a, "end": b})
     return out
 
 
