@@ -3,10 +3,11 @@
 A word's input joins a hashed word vector with the mean of hashed vectors of its character n-grams (UTF-8, with word
 ends), so that unseen words are read by their parts. Texts are cut into windows of ``LENGTH`` words that overlap by half;
 every window of the whole text is scored, and the text's score is its highest. Training is multiple-instance: each epoch
-takes every training text's highest windows, besides drawn ones, with the text's label.
+takes every training text's highest windows, besides drawn ones, with the text's label. Clean texts also offer windows of one
+of their words over and over, as junk texts hold them.
 
 The training rows are a bounded sample: the ``sample`` labelled rows with the smallest seeded hash of doc_id among those
-that may be learned from, each with up to ``windows`` evenly spaced windows. Everything else reads all rows.
+that may be learned from, with all their windows. Everything else reads all rows.
 
 Defined results: null or empty texts get the score of an empty window; rows without identifier are scored and never
 learned from; repeated labels of a document count once, as toxic if any is; with no labels of either kind every score is
@@ -15,6 +16,7 @@ that of the prior; repeated rows get a row each; an empty table gives an empty r
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +32,7 @@ GRAMS = (3, 4, 6)
 WORDS = CHARS = 1 << 14
 DIM, HIDDEN = 10, 8
 THRESHOLD = 0.3
+RUNS = 4
 _CACHE = 100_000  # word rows a worker keeps
 _F = np.float32
 
@@ -38,12 +41,6 @@ def window_starts(n: int) -> np.ndarray:
     return np.arange(0, max(1, n - LENGTH + STRIDE), STRIDE) if n > LENGTH else np.zeros(1, np.int64)
 
 
-def read_words(text: str | None) -> list[bytes]:
-    """The words the network reads: a run of one word counts once."""
-    words = words_of(text)
-    return [w for w, before in zip(words, [None, *words[:-1]], strict=True) if w != before] if words else words
-
-
 def features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of the words, of all their n-grams in word order, and where each word's n-grams start."""
     raw = np.frombuffer(b"".join(b"<" + w + b">" for w in words), np.uint8).astype(np.uint32)
@@ -178,17 +175,22 @@ def _adam(p: dict, grads: dict, state: dict, step: int, rate: float) -> None:
 class Sample:
     """Training windows as numbers of the sample's own words; words come in as bytes and are kept once."""
 
-    def __init__(self) -> None:
+    def __init__(self, seed: int = 7) -> None:
+        self.random = np.random.default_rng(seed)
         self.index: dict[bytes, int] = {}
         self.labels: list[int] = []
         self.windows: list[np.ndarray] = []
 
-    def add(self, label: int, windows: list[list[bytes]]) -> None:
-        ids = np.full((len(windows), LENGTH), -1, np.int32)
-        for i, w in enumerate(windows):
-            ids[i, : len(w)] = [self.index.setdefault(x, len(self.index)) for x in w]
+    def add(self, label: int, words: list[bytes]) -> None:
+        """A text: all its windows, and of a clean one RUNS of its words, each alone in a window."""
+        ids = np.array([self.index.setdefault(x, len(self.index)) for x in words], np.int32)
+        starts = window_starts(len(ids))
+        windows = np.concatenate([ids, np.full(LENGTH, -1, np.int32)])[starts[:, None] + np.arange(LENGTH)]
+        if label == 0 and len(ids):
+            drawn = ids[self.random.integers(0, len(ids), RUNS)]
+            windows = np.concatenate([windows, np.repeat(drawn[:, None], LENGTH, axis=1)])
         self.labels.append(label)
-        self.windows.append(ids)
+        self.windows.append(windows)
 
 
 def train(sample: Sample, epochs: int = 5, steps: int = 500, batch: int = 128, rate: float = 0.01, last: float = 0.2, top: int = 2, seed: int = 7) -> dict:
@@ -247,7 +249,7 @@ class Scorer:
             self.rows, self.table = _Rows(), self.table[:0]
         flat, at, n = [], [0], 0
         for text in texts:
-            ids = list(map(self.rows.__getitem__, read_words(text)))
+            ids = list(map(self.rows.__getitem__, words_of(text)))
             flat.append(np.array(ids, np.int64))
             n += len(ids)
             at.append(n)
@@ -268,28 +270,23 @@ class Scorer:
         return 1 / (1 + np.exp(-out))
 
 
-def training_rows(documents: DataFrame, labels: DataFrame, sample: int = 4000, windows: int = 64, folds: int = 4, held_out: int = 2) -> Sample:
+def training_rows(documents: DataFrame, labels: DataFrame, sample: int = 4000, folds: int = 4, held_out: int = 2) -> Sample:
     """The bounded sample, ordered by seeded hash."""
     known = labels.filter("doc_id is not null and toxic is not null").filter(crc_mod(F.col("doc_id"), folds) != held_out)
     known = known.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("label")).withColumn("draw", F.xxhash64("doc_id", F.lit(11)))
     known = known.orderBy("draw", "doc_id").limit(sample)  # the documented bound
     docs = documents.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("draw", "doc_id", "label", "text")
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            told = []
-            for text in b.column("text").to_pylist():
-                words = read_words(text)
-                starts = window_starts(len(words))
-                starts = starts[np.unique(np.linspace(0, len(starts) - 1, min(windows, len(starts))).round().astype(int))]
-                told.append([b" ".join(words[s : s + LENGTH]).decode("utf-8") for s in starts])
-            yield pa.RecordBatch.from_arrays([b.column("draw"), b.column("doc_id"), b.column("label"), pa.array(told, pa.list_(pa.string()))], names=["draw", "doc_id", "label", "windows"])
-
-    schema = T.StructType([T.StructField("draw", T.LongType()), documents.schema["doc_id"], T.StructField("label", T.IntegerType()), T.StructField("windows", T.ArrayType(T.StringType()))])
+            words = pa.array([zlib.compress(b" ".join(words_of(t)), 1) for t in b.column("text").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], words], names=["draw", "doc_id", "label", "words"])
+
+    schema = T.StructType([T.StructField("draw", T.LongType()), documents.schema["doc_id"], T.StructField("label", T.IntegerType()), T.StructField("words", T.BinaryType())])
     out = Sample()
-    rows = docs.mapInArrow(cut, schema).collect()  # at most sample rows of windows windows
-    for _, _, label, ws in sorted({(r.draw, r.doc_id, r.label, tuple(r.windows)) for r in rows})[:sample]:
-        out.add(label, [w.encode().split() for w in ws])
+    rows = docs.mapInArrow(read, schema).collect()  # at most sample rows
+    for _, _, label, words in sorted({(r.draw, r.doc_id, r.label, bytes(r.words)) for r in rows})[:sample]:
+        out.add(label, zlib.decompress(words).split())
     return out
 
 

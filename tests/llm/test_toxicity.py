@@ -1,5 +1,6 @@
 """The recurrent classifier: gradients, windows, and accuracy on held-out rows."""
 
+import math
 import random
 import zlib
 
@@ -7,6 +8,7 @@ import numpy as np
 from fixtures import awkward, prose
 
 from cuewright.llm import toxicity as X
+from cuewright.llm.common import words_of
 
 
 def test_gradients_are_those_of_the_loss(monkeypatch):
@@ -63,3 +65,48 @@ def test_learns_held_out_rows_and_stands_awkward_tables(spark):
     assert sum(got[i].predicted == truth[i] for i in held) >= 0.9 * len(held)
     assert X.digest(docs.limit(0), known).collect() == []
     assert len(X.digest(docs, known.limit(0)).collect()) == docs.count()
+
+
+def plain_logit(p, words):
+    """One window, a word at a time, as the equations have it."""
+    sig = lambda x: 1 / (1 + math.exp(-x))
+    p = {k: v.astype(float) for k, v in p.items()}
+    inputs = []
+    for w in words:
+        own, grams, at = X.features([w])
+        inputs.append(np.concatenate([p["word"][own[0]], sum(p["char"][g] for g in grams) / len(grams)]))
+    states = {"f": [], "b": []}
+    for d, order in (("f", range(len(words))), ("b", range(len(words) - 1, -1, -1))):
+        h, told = np.zeros(X.HIDDEN), {}
+        for t in order:
+            a, new = inputs[t] @ p[f"w{d}"] + p[f"c{d}"], np.zeros(X.HIDDEN)
+            u = h @ p[f"u{d}"]
+            for j in range(X.HIDDEN):
+                z, r = sig(a[j] + u[j]), sig(a[X.HIDDEN + j] + u[X.HIDDEN + j])
+                n = math.tanh(a[2 * X.HIDDEN + j] + r * u[2 * X.HIDDEN + j])
+                new[j] = z * h[j] + (1 - z) * n
+            h = told[t] = new
+        states[d] = [told[t] for t in range(len(words))]
+    both = [np.concatenate(x) for x in zip(states["f"], states["b"], strict=True)]
+    e = [math.exp(np.tanh(h @ p["att"]) @ p["att_v"]) for h in both]
+    pooled = sum(x * h for x, h in zip(e, both, strict=True)) / sum(e) if both else np.zeros(2 * X.HIDDEN)
+    return float(pooled @ p["out"] + p["bias"][0])
+
+
+def test_scores_are_those_of_a_plain_network():
+    p = X.new_model(3)
+    p["att_v"] *= 10
+    texts = [t for t in prose(10, n=6, words=120)] + ["one", "", None, "Same same SAME"]
+    for text, got in zip(texts, X.Scorer(p).scores(texts), strict=True):
+        words = words_of(text)
+        want = max(plain_logit(p, words[s : s + X.LENGTH]) for s in X.window_starts(len(words)))
+        assert abs(got - 1 / (1 + math.exp(-want))) < 1e-5
+
+
+def test_all_windows_of_long_texts_are_learned_from():
+    s = X.Sample()
+    words = [b"w%d" % i for i in range(5000)]
+    s.add(1, words)
+    s.add(0, words)
+    assert len(s.windows[0]) == len(X.window_starts(5000)) > 300 and len(s.windows[1]) == len(s.windows[0]) + X.RUNS
+    assert {i for w in s.windows[0] for i in w if i >= 0} == set(range(5000))
