@@ -8,7 +8,9 @@ Candidates that survive all blocks get their exact cosine on the original vector
 
 Centres are fitted on a bounded sample, the ``sample`` vectors with the smallest seeded hash of vec_id, and so is the
 number of probes: the least that finds ``aim`` of the sample's true neighbours. All vectors are put in the lists. Queries
-run in blocks of ``queries_at_once`` against all rows; each task returns its k best for each query, which are then merged.
+meet the lists they probe, and no others, by co-grouping: long lists are dealt into parts and many queries of one list into
+blocks, so that no task holds more than _PART vectors and _ASKED queries. A first round scans each query's nearest list,
+whose k-th best distance bounds the second round over its other lists; each task returns its k best, which are merged.
 
 Defined results: vectors that are null, zero, of another length than most of the sample, or hold null or non-finite
 components take no part, nor do rows without vec_id; a repeated query counts once, with its smallest vector; repeated
@@ -20,7 +22,6 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from .common import materialize
 
 BLOCK, EPS = 16, 2.1
 _ROWS = 2048
-_PART = 100_000  # rows of a list that share a partition
+_PART, _ASKED = 50_000, 20_000  # vectors of a list, and queries that probe it, that one task holds
 
 
 def _usable(v: Column) -> Column:
@@ -40,12 +41,18 @@ def _usable(v: Column) -> Column:
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
-    x = x / np.abs(x).max(axis=1, keepdims=True)
+    x = _scaled(x)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
 def cosines(rows: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """In double precision; each row is summed in the same order, so that equal vectors tie."""
+    """In double precision; each row is summed in the same order, so that equal vectors tie. Rows are first scaled by powers
+    of two, which changes no digit but keeps squares of very large and very small components in range."""
+    rows, q = _scaled(rows), _scaled(q[None])[0]
     return (rows * q).sum(1) / np.sqrt((rows * rows).sum(1)) / np.sqrt((q * q).sum())
 
 
@@ -92,13 +99,18 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, dim)
 
 
+def _distance(cosine: float) -> float:
+    return max(0.0, 2 - 2 * cosine) + 1e-6
+
+
 class Best:
     """The k best of each query so far."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, turned: np.ndarray, k: int):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, turned: np.ndarray, k: int, limit: np.ndarray | None = None):
         self.ids, self.vectors, self.turned, self.k = ids, vectors, turned, k
         self.found: list[list[tuple[float, int]]] = [[] for _ in ids]
-        self.limit = np.full(len(ids), np.inf, np.float32)  # k-th best squared distance of unit vectors
+        # the k-th best squared distance of unit vectors, or what bounds it from before
+        self.limit = np.full(len(ids), np.inf, np.float32) if limit is None else limit.astype(np.float32)
         self.dims = 0  # dimensions read, against len * dim for a full scan
 
     def scan(self, asking: np.ndarray, ids: np.ndarray, vectors: np.ndarray, turned: np.ndarray) -> None:
@@ -130,11 +142,11 @@ class Best:
             best = sorted([*self.found[i], *((-score[o], int(ids[alive[o]])) for o in order)])[: self.k]
             self.found[i] = best
             if len(best) == self.k:
-                self.limit[i] = max(0.0, 2 + 2 * best[-1][0]) + 1e-6
+                self.limit[i] = min(self.limit[i], _distance(-best[-1][0]))
 
 
 def build(vectors: DataFrame, k: int = 5, sample: int = 20_000, aim: float = 0.97) -> tuple[Lists, DataFrame] | None:
-    """The fitted lists, and the stored index: list, vec_id, embedding, ordered by list within its files."""
+    """The fitted lists, and the stored index: list, vec_id, embedding."""
     usable = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).filter(F.col("vec_id").isNotNull() & _usable(F.col("embedding")))
     drawn = usable.orderBy(F.xxhash64("vec_id", F.lit(23)), "vec_id").limit(sample)  # the documented bound
     rows = [r.embedding for r in drawn.select("embedding").collect()]
@@ -153,54 +165,57 @@ def build(vectors: DataFrame, k: int = 5, sample: int = 20_000, aim: float = 0.9
     put = materialize(put, "lists")
     sizes = {r.list: r["count"] for r in put.groupBy("list").count().collect()}  # one row for each list
     lists.sizes = np.array([sizes.get(i, 0) for i in range(len(lists.centres))])
-    parts = F.element_at(F.create_map(*[F.lit(x) for kv in sizes.items() for x in (kv[0], max(1, kv[1] // _PART))]), F.col("list"))
-    n = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = put.repartition(n, "list", F.pmod(F.xxhash64("vec_id"), parts)).sortWithinPartitions("list")
-    return lists, materialize(dealt, "index")
+    return lists, put
+
 
+def _times(counts: np.ndarray, most: int) -> Column:
+    """By ``list``: in how many parts to deal so many rows."""
+    return F.element_at(F.array(*[F.lit(int(max(1, -(-n // most)))) for n in counts]), F.col("list") + 1)
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 5, queries_at_once: int = 8192, probes: int | None = None, **fit) -> DataFrame:
+
+def search(vectors: DataFrame, queries: DataFrame, k: int = 5, probes: int | None = None, **fit) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each query, which is never its own neighbour."""
-    spark = vectors.sparkSession
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     built = build(vectors, k, **fit)
     if built is None:
-        return empty
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     lists, index = built
     dim, probes = lists.dim, probes or lists.probes
     asked = queries.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).filter(F.col("vec_id").isNotNull() & _usable(F.col("embedding")) & (F.size("embedding") == dim))
-    asked = materialize(asked.groupBy("vec_id").agg(F.min("embedding").alias("embedding"), F.count("*").alias("own")), "queries")
-    blocks = max(1, -(-asked.count() // queries_at_once))
-    found = []
-    for block in range(blocks):
-        rows = asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block).collect()  # about queries_at_once rows
-        if not rows:
-            continue
-        ids, own = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows])
-        turned = lists.rotate(own)
-        asking: dict[int, list[int]] = {}
-        for i, near in enumerate(lists.probed(turned, probes, np.array([k + r.own for r in rows]))):  # its own rows are no candidates
-            for c in near:
-                asking.setdefault(c, []).append(i)
-        held = spark.sparkContext.broadcast((ids, own, turned, {c: np.array(x) for c, x in asking.items()}))
-
-        def scan(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            ids, own, turned, asking = held.value
-            best = Best(ids, own, turned, k)
-            for b in batches:
-                for lo in range(0, b.num_rows, _ROWS):
-                    part = b.slice(lo, _ROWS)
-                    where, rows = part.column("list").to_numpy(), _matrix(part.column("embedding"), dim)
-                    cuts = [0, *(np.flatnonzero(where[1:] != where[:-1]) + 1).tolist(), len(where)]
-                    for a, z in zip(cuts[:-1], cuts[1:], strict=True):
-                        if (some := asking.get(int(where[a]))) is not None:
-                            best.scan(some, part.column("vec_id").to_numpy()[a:z], rows[a:z], lists.rotate(rows[a:z]))
-            told = [(int(q), i, -s) for q, found in zip(ids, best.found, strict=True) for s, i in found]
-            cols = list(zip(*told, strict=True)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], names=["query_id", "vec_id", "score"])
-
-        found.append(index.mapInArrow(scan, "query_id long, vec_id long, score double"))
-    if not found:
-        return empty
+    asked = asked.groupBy("vec_id").agg(F.min("embedding").alias("embedding"), F.count("*").alias("own"))
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, _ROWS):
+                part = b.slice(lo, _ROWS)
+                near = lists.probed(lists.rotate(_matrix(part.column("embedding"), dim)), probes, k + part.column("own").to_numpy())  # its own rows are no candidates
+                yield pa.RecordBatch.from_arrays([part.column("vec_id"), part.column("embedding"), pa.array(near, pa.list_(pa.int32()))], names=["query_id", "embedding", "lists"])
+
+    asked = materialize(asked.mapInArrow(choose, "query_id long, embedding array<double>, lists array<int>"), "queries")
+    probing = asked.select("query_id", "embedding", F.posexplode("lists").alias("place", "list"))
+    asking = {r.list: r["count"] for r in probing.groupBy("list").count().collect()}  # one row for each list
+    blocks = _times(np.array([asking.get(i, 0) for i in range(len(lists.sizes))]), _ASKED)
+    parts = _times(lists.sizes, _PART)
+    key = ["list", "part", "block"]
+    dealt = index.withColumn("part", F.pmod(F.xxhash64("vec_id"), parts)).withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
+
+    def scan(asked: pa.Table, rows: pa.Table) -> pa.Table:
+        n = asked.num_rows if rows.num_rows else 0
+        own = _matrix(asked.column("embedding").combine_chunks(), dim)[:n]
+        best = Best(asked.column("query_id").to_numpy()[:n], own, lists.rotate(own) if n else own, k, asked.column("bound").to_numpy()[:n])
+        ids = rows.column("vec_id").to_numpy()
+        for lo in range(0, len(ids) if n else 0, _ROWS):
+            x = _matrix(rows.column("embedding").slice(lo, _ROWS).combine_chunks(), dim)
+            best.scan(np.arange(n), ids[lo : lo + _ROWS], x, lists.rotate(x))
+        told = [(int(q), i, -s) for q, found in zip(best.ids, best.found, strict=True) for s, i in found]
+        cols = list(zip(*told, strict=True)) or [(), (), ()]
+        return pa.table({"query_id": pa.array(cols[0], pa.int64()), "vec_id": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.float64())})
+
+    def met(probing: DataFrame) -> DataFrame:
+        spread = probing.select("list", "query_id", "embedding", "bound", F.pmod(F.xxhash64("query_id"), blocks).alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"))
+        return spread.groupBy(*key).cogroup(dealt.groupBy(*key)).applyInArrow(scan, "query_id long, vec_id long, score double")
+
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return reduce(DataFrame.unionByName, found).withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    first = materialize(met(probing.filter("place = 0").withColumn("bound", F.lit(float("inf")))).withColumn("rank", rank).filter(F.col("rank") <= k), "nearest-lists")
+    bound = first.filter(F.col("rank") == k).select("query_id", (F.greatest(F.lit(0.0), 2 - 2 * F.col("score")) + 1e-6).alias("bound"))
+    more = met(probing.filter("place > 0").join(bound, "query_id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf")))))
+    return first.drop("rank").unionByName(more).withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

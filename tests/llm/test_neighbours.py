@@ -29,7 +29,7 @@ def test_recall_scores_and_ties(spark):
     rows, df = table(spark)
     want = brute(rows, 5, [i for i in [*range(0, 1500, 50), 5000, 5050, 5100, 5300]])
     got = {}
-    for r in N.search(df, df.filter("vec_id % 50 = 0"), queries_at_once=10).collect():
+    for r in N.search(df, df.filter("vec_id % 50 = 0")).collect():
         got.setdefault(r.query_id, []).append((-r.score, r.vec_id, r["rank"]))
     assert set(got) == set(want)
     hits = sum(len({x[1] for x in got[q]} & {x[1] for x in want[q]}) for q in want)
@@ -66,3 +66,20 @@ def test_small_and_empty_tables(spark):
     assert [tuple(r)[:3] for r in N.search(two, two.filter("vec_id = 0")).collect()] == [(0, 1, 1)]
     assert N.search(df.limit(0), df).collect() == [] and N.search(df, df.limit(0)).collect() == []
     assert N.search(df.filter("vec_id = 0"), df.filter("vec_id = 0")).collect() == []
+
+
+def test_extreme_components_clashing_columns_and_split_lists(spark, monkeypatch):
+    r = np.random.default_rng(5)
+    x = r.normal(size=(300, 16))
+    x[::3] *= 1e200
+    x[1::3] *= 1e-200
+    df = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(300)], "vec_id long, embedding array<double>")
+    df = df.selectExpr("*", "'a' as list", "'b' as part", "'c' as block", "'d' as bound", "'e' as query_id", "'f' as rank")
+    unit = x / np.abs(x).max(1, keepdims=True)
+    sims = unit @ unit.T / np.sqrt((unit * unit).sum(1))[:, None] / np.sqrt((unit * unit).sum(1))
+    monkeypatch.setattr(N, "_PART", 40)
+    monkeypatch.setattr(N, "_ASKED", 7)
+    got = N.search(df, df.filter("vec_id < 60"), probes=1000).collect()
+    assert len(got) == 300 and all(abs(row.score - sims[row.query_id, row.vec_id]) < 1e-12 for row in got)
+    want = {(q, int(i)) for q in range(60) for i in sorted(set(range(300)) - {q}, key=lambda i: -sims[q, i])[:5]}
+    assert len({(row.query_id, row.vec_id) for row in got} & want) >= 0.97 * 300
