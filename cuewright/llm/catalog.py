@@ -16,7 +16,7 @@ def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("row_id")
+    return decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), slack=5).drop("row_id")
 
 
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,11 +88,22 @@ sizes as (select distinct n from windows),
 spots as (select doc_id, s, n, array_to_string(w[s : s + n - 1], ' ') as phrase
   from (select doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) as s from docs, sizes where len(w) >= n)),
 hits as (select distinct doc_id, s, spots.n, item_id from spots join windows using (n, phrase)),
+numbered as (select row_number() over () as item_row, item_id, w from items where len(w) > 0),
+terms as (select item_id, item_row, term, len(w) + 5 as reach, len(list_distinct(w)) as n_terms
+  from (select item_id, item_row, w, unnest(list_distinct(w)) as term from numbered)),
+postings as (select doc_id, pos, unnest(w[pos + 1 : pos + 1]) as term from (select doc_id, w, unnest(generate_series(0, len(w) - 1)) as pos from docs where len(w) > 0)),
+listed as (select doc_id, item_id, item_row, pos, term, reach, n_terms from postings join terms using (term)),
+whole as (select doc_id, item_row from listed group by all having count(distinct term) = any_value(n_terms)),
+kept as (select * from listed semi join whole using (doc_id, item_row)),
+within as (select a.doc_id, a.item_id, a.item_row, a.pos, a.n_terms, count(distinct b.term) as found
+  from kept a join kept b on a.doc_id = b.doc_id and a.item_row = b.item_row and b.pos >= a.pos and b.pos < a.pos + a.reach group by all),
+near as (select doc_id, count(distinct item_id) as n_near, string_agg(distinct item_id, ',' order by item_id) as near_ids from within where found = n_terms group by doc_id),
 words as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(generate_series(s, s + n - 1)) as p from hits) group by doc_id),
 told as (select doc_id, count(distinct item_id) as n_items, string_agg(distinct item_id, ',' order by item_id) as ids from hits group by doc_id)
 select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
-  sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
-from docs left join words using (doc_id) left join told using (doc_id)
+  sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated,
+  coalesce(n_near, 0) as n_near, sha256(coalesce(near_ids, '')) as near_sha256
+from docs left join words using (doc_id) left join told using (doc_id) left join near using (doc_id)
 """.replace("lower(coalesce(text, ''))", "coalesce(text, '')")
 
 

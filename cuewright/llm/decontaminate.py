@@ -3,8 +3,12 @@
 ``build_index`` tokenises every document once and stores the postings (row, term, position) of all terms that any test
 item uses, besides one entry with the document's word count. A test window of ``width`` words occurs where every one of
 its terms has a posting at the same offset-adjusted position. The search starts from the posting list of each window's
-rarest terms, whose lists give the alignments (row, item, diagonal) that both allow, and intersects the other terms' lists
-with them.
+two rarest terms: where they stand at their distance is an alignment (row, item, diagonal), with which the other terms' lists
+are intersected. Proximity matches start likewise from an item's two rarest terms, wherever these stand near each other: an item
+is near where all its distinct terms stand, in any order, within its length plus ``slack`` words.
+
+The lists of anchor terms are read by a broadcast of the anchors while these are few, else by a join that deals each term's
+postings by row, so that a very common term is no single key.
 
 Defined results: null or empty texts have no words and no hits; items without words are ignored; repeated document rows
 are judged one by one; items of equal identifier are told apart inside and count once in the digest; null item
@@ -57,6 +61,19 @@ def rare_first(index: DataFrame, test: DataFrame) -> DataFrame:
     return test.join(df, "term_id", "left").withColumn("df", F.coalesce("df", F.lit(0)))
 
 
+_DEALT = 32
+
+
+def at_terms(index: DataFrame, anchors: DataFrame) -> DataFrame:
+    """The postings of the anchors' terms, with the anchors' columns."""
+    anchors = materialize(anchors, "anchors")
+    posting = index.filter("term_id >= 0").select("row_id", "term_id", "pos")
+    if anchors.count() <= BROADCAST_ROWS:
+        return posting.join(F.broadcast(anchors), "term_id")
+    dealt = anchors.withColumn("deal", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_DEALT - 1).cast("long"))))
+    return posting.withColumn("deal", F.pmod("row_id", F.lit(_DEALT))).join(dealt, ["term_id", "deal"]).drop("deal")
+
+
 def phrase_matches(index: DataFrame, test: DataFrame, width: int = 10) -> DataFrame:
     """Exact matches: row_id, item_row, item_id, pos: each document word inside an occurrence of a window of the item."""
     ranked = materialize(rare_first(index, test), "ranked")
@@ -66,14 +83,14 @@ def phrase_matches(index: DataFrame, test: DataFrame, width: int = 10) -> DataFr
 
     first = F.get("rarest", F.lit(0))
     second = F.coalesce(F.get("rarest", F.lit(1)), first)
-    pairs = starts.filter(first["df"] > 0).select("item_row", first["q"].alias("q0"), first["term_id"].alias("t0"), second["q"].alias("q1"), second["term_id"].alias("t1")).distinct()
-
-    def meet(k: int) -> DataFrame:
-        """Alignments that the k-th term of a window's two rarest offers, by pair."""
-        anchors = pairs.select("item_row", "q0", "q1", F.col(f"t{k}").alias("term_id"))
-        return index.select("row_id", "term_id", "pos").join(anchors, "term_id").select("row_id", "item_row", "q0", "q1", (F.col("pos") - F.col(f"q{k}")).alias("diag"))
-
-    aligned = meet(0).join(meet(1), ["row_id", "item_row", "q0", "q1", "diag"], "left_semi").select("row_id", "item_row", "diag").distinct()
+    pairs = starts.filter(first["df"] > 0).select("item_row", first["q"].alias("q0"), first["term_id"].alias("t0"), second["term_id"].alias("t1"), (second["q"] - first["q"]).alias("apart")).distinct()
+    pairs = pairs.withColumn("pair", F.xxhash64("t0", "t1", "apart"))  # a pair's items and places follow after its postings have met
+    pairs = materialize(pairs, "anchor-pairs")
+
+    one = at_terms(index, pairs.select("pair", F.col("t0").alias("term_id")).distinct()).select("row_id", "pair", "pos")
+    two = at_terms(index, pairs.select("pair", "apart", F.col("t1").alias("term_id")).distinct()).select("row_id", "pair", (F.col("pos") - F.col("apart")).alias("pos"))
+    met = one.join(two, ["row_id", "pair", "pos"], "left_semi")
+    aligned = met.join(_small(pairs.select("pair", "item_row", "q0"), pairs.count()), "pair").select("row_id", "item_row", (F.col("pos") - F.col("q0")).alias("diag")).distinct()
     aligned = materialize(aligned, "alignments")
     wanted = aligned.join(ranked.select("item_row", "item_id", "n", "q", "term_id"), "item_row").withColumn("pos", F.col("diag") + F.col("q"))
     rows = materialize(aligned.select("row_id").distinct(), "candidate-rows")
@@ -86,25 +103,29 @@ def phrase_matches(index: DataFrame, test: DataFrame, width: int = 10) -> DataFr
 
 
 def proximity_matches(index: DataFrame, test: DataFrame, slack: int = 5) -> DataFrame:
-    """row_id, item_row, pos: from pos, all distinct terms of the item stand within its length plus ``slack`` words, in any order."""
-    ranked = rare_first(index, test)
-    terms = ranked.groupBy("item_row", "term_id").agg(F.first("n").alias("n"), F.first("df").alias("df"))
-    whole = terms.groupBy("item_row").agg(F.count("*").alias("distinct"), F.min("df").alias("least"), F.min(F.struct("df", "term_id"))["term_id"].alias("rarest"))
-    terms = terms.join(whole.filter("least > 0"), "item_row").withColumn("reach", F.col("n") + slack)
-    posting = index.select("row_id", "term_id", "pos")
-    near = posting.join(terms.filter("term_id = rarest").select("item_row", "term_id", "reach"), "term_id").select("row_id", "item_row", F.col("pos").alias("at"), "reach")
-    cells = near.select("row_id", "item_row", F.explode(F.sequence(F.floor((F.col("at") - F.col("reach")) / F.col("reach")), F.floor((F.col("at") + F.col("reach")) / F.col("reach")))).alias("cell")).distinct()
-    listed = posting.join(terms.select("item_row", "term_id", "reach", "distinct"), "term_id").withColumn("cell", F.floor(F.col("pos") / F.col("reach")))
-    listed = listed.join(cells, ["row_id", "item_row", "cell"], "left_semi")
-    most = test.agg(F.max("n")).first()[0] or 0
-    ahead = Window.partitionBy("row_id", "item_row").orderBy("pos").rangeBetween(0, most + slack)  # a position has one posting
+    """row_id, item_row, item_id, pos: from pos, all distinct terms of the item stand within its length plus ``slack`` words, in any order."""
+    terms = rare_first(index, test).groupBy("item_row", "item_id", "term_id").agg(F.first("n").alias("n"), F.first("df").alias("df"))
+    whole = terms.groupBy("item_row", "item_id").agg(F.count("*").alias("distinct"), F.min("df").alias("least"), F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "term_id"))).alias("by_df"))
+    whole = materialize(whole.filter("least > 0").select("item_row", "item_id", "distinct", (F.col("n") + slack).alias("reach"), F.col("by_df")[0]["term_id"].alias("t0"), F.coalesce(F.get("by_df", F.lit(1)), F.col("by_df")[0])["term_id"].alias("t1")), "near-items")
+    cell = F.floor(F.col("pos") / F.col("reach"))
+    one = at_terms(index, whole.select("item_row", "reach", F.col("t0").alias("term_id"))).select("row_id", "item_row", F.explode(F.sequence(cell - 1, cell + 1)).alias("cell")).distinct()
+    two = at_terms(index, whole.select("item_row", "reach", F.col("t1").alias("term_id"))).select("row_id", "item_row", cell.alias("cell"))
+    near = one.join(two, ["row_id", "item_row", "cell"], "left_semi")
+    cells = materialize(near.select("row_id", "item_row", F.explode(F.sequence(F.col("cell") - 2, F.col("cell") + 2)).alias("cell")).distinct(), "near-cells")
+    rows = materialize(cells.select("row_id").distinct(), "near-rows")
+    held = index.filter("term_id >= 0").join(_small(rows, rows.count()), "row_id", "left_semi")
+    wanted = terms.join(whole.select("item_row", "distinct", "reach"), "item_row").select("item_row", "item_id", "term_id", "distinct", "reach")
+    listed = at_terms(held, wanted).withColumn("cell", cell).join(cells, ["row_id", "item_row", "cell"], "left_semi")
+    most = whole.agg(F.max("reach")).first()[0] or 1
+    ahead = Window.partitionBy("row_id", "item_row").orderBy("pos").rangeBetween(0, most - 1)  # a position has one posting
     inside = F.array_distinct(F.transform(F.filter(F.col("ahead"), lambda x: x["pos"] < F.col("pos") + F.col("reach")), lambda x: x["term_id"]))
     listed = listed.withColumn("ahead", F.collect_list(F.struct("pos", "term_id")).over(ahead))
-    return listed.withColumn("found", F.size(inside)).filter("found = distinct").select("row_id", "item_row", "pos")
+    return listed.withColumn("found", F.size(inside)).filter("found = distinct").select("row_id", "item_row", "item_id", "pos")
 
 
-def contamination(documents: DataFrame, items: DataFrame, width: int = 10) -> DataFrame:
-    """One row for each document row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, row_id."""
+def contamination(documents: DataFrame, items: DataFrame, width: int = 10, slack: int | None = None) -> DataFrame:
+    """One row for each document row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, row_id; with ``slack`` also
+    n_near and near_sha256, of the items that are near somewhere in the document."""
     terms, test = _with_term_ids(test_terms(items))
     index = build_index(documents, terms)
     hits = phrase_matches(index, test, width)
@@ -113,7 +134,11 @@ def contamination(documents: DataFrame, items: DataFrame, width: int = 10) -> Da
         F.size(F.array_distinct(F.flatten(F.collect_list("pos")))).cast("long").alias("n_hit"), F.sort_array(F.collect_set("item_id")).alias("items")
     )
     words = index.filter("term_id = -1").select("row_id", "doc_id", F.col("pos").cast("long").alias("n_words"))
-    none = F.array().cast("array<string>")
+    none, more = F.array().cast("array<string>"), []
+    if slack is not None:
+        near = proximity_matches(index, test, slack).groupBy("row_id").agg(F.sort_array(F.collect_set("item_id")).alias("near"))
+        words = words.join(near, "row_id", "left")
+        more = [F.when(F.col("near").isNull(), 0).otherwise(F.size("near")).cast("long").alias("n_near"), F.sha2(F.array_join(F.coalesce("near", none), ","), 256).alias("near_sha256")]
     return words.join(told, "row_id", "left").select(
         "doc_id",
         "n_words",
@@ -122,6 +147,7 @@ def contamination(documents: DataFrame, items: DataFrame, width: int = 10) -> Da
         F.sha2(F.array_join(F.coalesce("items", none), ","), 256).alias("items_sha256"),
         (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
         "row_id",
+        *more,
     )
 
 

@@ -62,13 +62,36 @@ def test_contamination_of_empty_tables(spark):
     assert [r.n_hit for r in decontaminate.contamination(awkward(spark, ["a b c"]), none).collect()] == [0] * 6
 
 
-def test_proximity(spark):
-    docs = spark.createDataFrame([(1, "alpha x x beta y gamma"), (2, "alpha x x x x x x x x x x x beta gamma"), (3, "gamma beta alpha")], "doc_id long, text string")
-    terms, test = decontaminate._with_term_ids(decontaminate.test_terms(spark.createDataFrame([(7, "alpha beta gamma")], "item_id long, text string")))
-    index = decontaminate.build_index(docs, terms)
-    ids = {r.row_id: r.doc_id for r in index.filter("term_id = -1").collect()}
-    assert {ids[r.row_id] for r in decontaminate.proximity_matches(index, test, slack=3).collect()} == {1, 3}
-    assert {ids[r.row_id] for r in decontaminate.phrase_matches(index, test).collect()} == set()
+def brute_near(docs, items, slack):
+    out = []
+    for doc_id, text in docs:
+        w, ids = words_of(text), set()
+        for item_id, t in items:
+            item = words_of(t)
+            if item and any(set(item) <= set(w[i : i + len(item) + slack]) for i in range(len(w))):
+                ids.add("null" if item_id is None else str(item_id))
+        out.append((doc_id, len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()))
+    return out
+
+
+@pytest.mark.parametrize(("slack", "broadcast"), [(0, 500_000), (5, 500_000), (5, 0)])
+def test_proximity_against_brute_force(spark, monkeypatch, slack, broadcast):
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", broadcast)
+    texts = prose(11, vocabulary=40) + ["alpha x x beta y gamma", "alpha x x x x x x x x x x x beta gamma", "gamma beta alpha", "alpha beta alpha beta"]
+    items = [(7, "alpha beta gamma"), (7, "alpha alpha"), (8, " ".join(texts[2].split()[:6])), (9, " ".join(reversed(texts[5].split()[2:9]))), (10, ""), (None, texts[4].split()[0]), (11, "never here")]
+    docs = awkward(spark, texts)
+    plain = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    got = decontaminate.contamination(docs, spark.createDataFrame(items, "item_id long, text string"), slack=slack)
+    near = [tuple(r) for r in got.select("doc_id", "n_near", "near_sha256").collect()]
+    assert sorted(near, key=str) == sorted(brute_near(plain, items, slack), key=str)
+    assert sorted(map(tuple, got.drop("row_id", "n_near", "near_sha256").collect()), key=str) == sorted(brute_contamination(plain, items), key=str)
+
+
+def test_one_word_inserted_is_near_and_no_phrase(spark):
+    item = "one two three four five six seven eight nine ten eleven twelve"
+    docs = spark.createDataFrame([(1, item.replace("seven", "seven and"))], "doc_id long, text string")
+    row = decontaminate.contamination(docs, spark.createDataFrame([(3, item)], "item_id long, text string"), slack=5).first()
+    assert (row.n_hit, row.contaminated, row.n_near) == (0, False, 1)
 
 
 def test_sql_agrees(spark, tmp_path):
