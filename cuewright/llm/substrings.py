@@ -3,10 +3,15 @@
 Every byte inside a string of ``LENGTH`` bytes that also starts elsewhere is removed. Suffixes are sampled: a position is
 an anchor if the hash of its ``GRAM`` bytes is the least of some LENGTH-byte window, so that equal windows have anchors at
 equal offsets. Anchors are put in buckets by that q-gram. Buckets of one anchor are done. Within a bucket, anchors whose
-whole surroundings (all windows they can stand in) are equal are repeats; where surroundings differ, one text piece for
-each distinct surrounding is brought together and all its suffixes are refined: buckets of 8 bytes are split by the bucket
-identifiers 8 bytes on, the new ones by those 16 bytes on, and so on up to LENGTH bytes. Suffixes alone in their bucket
-drop out. The buckets that are left are sets of equal strings.
+whole surroundings (all windows they can stand in) have one 128-bit BLAKE2 digest are repeats; where surroundings differ, one
+text piece for each distinct surrounding is brought together and all its suffixes are refined: initial buckets of FIRST bytes
+are taken in turn and each is split by the bucket identifiers of its suffixes' offsets, the deepest that all its suffixes have;
+the new identifiers stand at once for the buckets still to come, and so on until LENGTH bytes are told apart. Suffixes
+alone in their bucket drop out. The buckets that are left are verified byte by byte to be sets of equal strings.
+
+A bucket of more than SPLIT anchors is no key of a shuffle: its anchors stay where they are and the bucket is broadcast.
+Pieces of one q-gram beyond HEAVY are not refined in one task: each of their windows becomes a row and equal windows meet
+by a grouping, which gives the same result.
 
 Texts are known by the first 16 bytes of their SHA-256, so equal texts are looked at once. The pieces of one q-gram's
 distinct surroundings (at most 360 bytes each) are refined in one task.
@@ -37,6 +42,9 @@ _BASE = 0x9E3779B97F4A7C15
 #: Up to so many text keys (16 bytes each) are broadcast to filter the documents; more are joined by shuffle.
 BROADCAST_KEYS = 500_000
 HEAVY = 20_000
+#: A bucket of more rows is joined by broadcast: there are at most rows / SPLIT of them.
+SPLIT = 20_000
+_TURNS = 4  # parts of a pass over all buckets; each part reads what the parts before it found
 _CHUNK = 500_000  # bytes of pieces refined at a time, whole buckets
 
 
@@ -71,7 +79,7 @@ def _sliding(x: np.ndarray, n: int, best) -> np.ndarray:
 
 
 def anchors(texts: list[bytes], hasher: _Hash) -> dict[str, np.ndarray]:
-    """text (number), pos, left and right (reach of the surroundings), gram and whole (hashes of q-gram and surroundings) of the anchors."""
+    """text (number), pos, left and right (reach of the surroundings), gram (hash of the q-gram), w1 and w2 (digest of the surroundings) of the anchors."""
     pieces, out, piece = [], [], hasher.piece
     for i, t in enumerate(texts):
         if len(t) >= LENGTH:
@@ -102,17 +110,20 @@ def anchors(texts: list[bytes], hasher: _Hash) -> dict[str, np.ndarray]:
         text = np.array([i for i, *_ in some])[who]
         total = np.array([len(t) for t in texts])[text]
         left, right = np.minimum(SIDE, pos), np.minimum(SIDE, total - pos - GRAM)
-        whole = hasher.of(sums, at - left, at + GRAM + right) ^ (left * 512 + right).astype(np.uint64)
-        out.append((text, pos, left, right, gram[at], whole))
-    names = ("text", "pos", "left", "right", "gram", "whole")
+        flat = raw.tobytes()
+        cells = zip((at - left).tolist(), (at + GRAM + right).tolist(), left.tolist(), right.tolist(), strict=True)
+        digests = b"".join([hashlib.blake2b(flat[a:b], digest_size=16, salt=bytes((x, y))).digest() for a, b, x, y in cells])
+        whole = np.frombuffer(digests, np.uint64).reshape(-1, 2)
+        out.append((text, pos, left, right, gram[at], whole[:, 0], whole[:, 1]))
+    names = ("text", "pos", "left", "right", "gram", "w1", "w2")
     return {n: np.concatenate([np.zeros(0, np.int64 if j < 4 else np.uint64), *[x[j] for x in out]]) for j, n in enumerate(names)}
 
 
 def survey(documents: DataFrame, piece: int = _PIECE) -> DataFrame:
-    """Stored rows of two kinds: texts (text_id, doc_id, key, n_bytes, sha256) and their anchors (text_id, place, gram, whole).
+    """Stored rows of two kinds: texts (text_id, doc_id, key, n_bytes, sha256) and their anchors (text_id, place, gram, w1, w2).
 
     place packs an anchor's position and how far its surroundings reach to the left and right."""
-    schema = T.StructType([T.StructField("doc_id", documents.schema["doc_id"].dataType), *T.StructType.fromDDL("text_id long, key binary, n_bytes long, sha256 string, place long, gram long, whole long")])
+    schema = T.StructType([T.StructField("doc_id", documents.schema["doc_id"].dataType), *T.StructType.fromDDL("text_id long, key binary, n_bytes long, sha256 string, place long, gram long, w1 long, w2 long")])
     names = [f.name for f in schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,10 +137,10 @@ def survey(documents: DataFrame, piece: int = _PIECE) -> DataFrame:
                 digests = [hashlib.sha256(t) for t in texts]
                 key, size = pa.array([d.digest()[:16] for d in digests], pa.binary()), pa.array([len(t) for t in texts], pa.int64())
                 none = pa.nulls(len(texts), pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.arange(seen, seen + len(texts))), key, size, pa.array([d.hexdigest() for d in digests]), none, none, none], names=names)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.arange(seen, seen + len(texts))), key, size, pa.array([d.hexdigest() for d in digests]), none, none, none, none], names=names)
                 a = anchors(texts, hasher)
                 n, place = len(a["text"]), a["pos"] << 18 | a["left"] << 9 | a["right"]
-                yield pa.RecordBatch.from_arrays([pa.nulls(n, part.column("doc_id").type), pa.array(a["text"] + seen), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.string()), pa.array(place), pa.array(a["gram"].view(np.int64)), pa.array(a["whole"].view(np.int64))], names=names)
+                yield pa.RecordBatch.from_arrays([pa.nulls(n, part.column("doc_id").type), pa.array(a["text"] + seen), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.string()), pa.array(place), *[pa.array(a[c].view(np.int64)) for c in ("gram", "w1", "w2")]], names=names)
                 seen += len(texts)
 
     return materialize(documents.select("doc_id", "text").mapInArrow(run, schema), "anchors")
@@ -144,24 +155,11 @@ def refine(pieces: list[bytes], text: np.ndarray, first: np.ndarray, twice: np.n
     begin = np.cumsum(size) - size
     raw = np.frombuffer(b"".join(pieces), np.uint8)
     owner = np.repeat(np.arange(len(pieces)), size)
-    end = (begin + size)[owner]
-    n, q = len(owner), FIRST
-    at = np.flatnonzero(np.arange(n) + q <= end)
-    value = hasher.of(hasher.sums(raw), at, at + q)
-    bucket = np.full(n, -1, np.int64)  # -1: alone, or the string would leave its piece
-    kept, bucket[at] = _split(at, value)
-    at = kept
-    while q < LENGTH:
-        step = min(q, LENGTH - q)
-        at = at[at + q + step <= end[at]]
-        later = bucket[at + step]
-        at, later = at[later >= 0], later[later >= 0]
-        value = bucket[at].astype(np.uint64) << np.uint64(32) | later.astype(np.uint64)
-        kept, bucket_at = _split(at, value)
-        bucket = np.full(n, -1, np.int64)
-        bucket[at] = bucket_at
-        at, q = kept, q + step
-    ids = bucket[at]
+    n = len(owner)
+    room = ((begin + size)[owner] - np.arange(n)) // FIRST  # whole steps of FIRST bytes from here to the piece's end
+    at = np.flatnonzero(room >= 1)
+    value = hasher.of(hasher.sums(raw), at, at + FIRST)
+    at, ids = _equal(_refined(at, value, room), raw)
     place = first[owner[at]] + at - begin[owner[at]]
     order = np.lexsort((place, text[owner[at]], ids))
     ids, place, who = ids[order], place[order], owner[at][order]
@@ -172,6 +170,82 @@ def refine(pieces: list[bytes], text: np.ndarray, first: np.ndarray, twice: np.n
     return np.sort(at[order][places[ids] >= 2])
 
 
+_UNKNOWN, _ALONE, _SHORT = -1, -2, -3
+
+
+def _refined(at: np.ndarray, value: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(positions, bucket) of the suffixes that share their LENGTH bytes with others; at, value: the initial buckets.
+
+    pointers[l] holds, of each position, its bucket by (l + 1) * FIRST bytes, where that is known."""
+    levels = LENGTH // FIRST
+    pointers = [np.where(room > l, _UNKNOWN, _SHORT).astype(np.int32) for l in range(levels)]
+    level, bucket = np.zeros(len(room), np.int8), np.zeros(len(room), np.int32)
+
+    def settle(at: np.ndarray, depth: np.ndarray, number: np.ndarray, fresh: int) -> None:
+        """New buckets (number, -1: alone) by depth steps."""
+        alone, some = number < 0, number >= 0
+        for l in range(levels):
+            lone = at[alone & (depth <= l + 1)]
+            pointers[l][lone] = np.where(pointers[l][lone] == _SHORT, _SHORT, _ALONE)
+            own = some & (depth == l + 1)
+            pointers[l][at[own]] = fresh + number[own]
+        level[at[some]] = depth[some]
+        bucket[at[some]] = fresh + number[some]
+
+    open_, number = _split(at, value)
+    settle(at, np.ones(len(at), np.int64), number, 0)
+    fresh, done = int(number.max(initial=-1)) + 1, []
+    while len(open_):
+        open_ = open_[np.argsort(bucket[open_], kind="stable")]
+        edges = np.flatnonzero(np.diff(bucket[open_])) + 1
+        cuts = edges[np.searchsorted(edges, np.arange(1, _TURNS) * len(open_) // _TURNS).clip(0, len(edges) - 1)] if len(edges) else []
+        going = []
+        for some in np.split(open_, np.unique(cuts).astype(np.int64)):
+            some = some[room[some] > level[some]]  # the others' strings end with their piece
+            if not len(some):
+                continue
+            own = np.append(0, np.cumsum(np.diff(bucket[some]) != 0))
+            depth = level[some].astype(np.int64)
+            later = some + FIRST * depth
+            step, pointer = np.ones(len(some), np.int64), pointers[0][later]
+            for l in range(2, levels):
+                reads = pointers[l - 1][np.minimum(later, len(room) - 1)]
+                lacks = (depth + l > levels) | (reads == _UNKNOWN) | (reads == _SHORT)
+                deeper = np.bincount(own, lacks)[own] == 0
+                step[deeper], pointer[deeper] = l, reads[deeper]
+            live = pointer >= 0
+            number = np.full(len(some), -1)
+            number[live] = _split(some[live], own[live].astype(np.uint64) << np.uint64(32) | pointer[live].astype(np.uint64))[1]
+            settle(some, depth + step, number, fresh)
+            fresh += int(number.max(initial=-1)) + 1
+            some = some[number >= 0]
+            done.append(some[level[some] == levels])
+            going.append(some[level[some] < levels])
+        open_ = np.concatenate([np.zeros(0, np.int64), *going])
+    done = np.concatenate([np.zeros(0, np.int64), *done])
+    return done, np.unique(bucket[done], return_inverse=True)[1]
+
+
+def _equal(found: tuple[np.ndarray, np.ndarray], raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets verified: positions whose bytes are not those of their bucket's first get buckets by their bytes."""
+    at, ids = found
+    if not len(at):
+        return at, ids
+    order = np.argsort(ids, kind="stable")
+    at, ids = at[order], ids[order]
+    head = at[np.searchsorted(ids, ids)]
+    words = np.lib.stride_tricks.sliding_window_view(np.append(raw, np.zeros(8, np.uint8)), 8)
+    same = np.ones(len(at), bool)
+    for k in range(0, LENGTH, 8):
+        same &= (words[at + k] == words[head + k]).all(1)
+    if not same.all():
+        seen: dict[bytes, int] = {}
+        top = int(ids.max()) + 1
+        for i in np.flatnonzero(~same):
+            ids[i] = top + seen.setdefault(raw[at[i] : at[i] + LENGTH].tobytes(), len(seen))
+    return at, ids
+
+
 def _split(at: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The positions whose value is not alone, and for all positions a dense number of their value, -1 for those alone."""
     # Most that are alone are told by a count of slots, before anything is sorted.
@@ -205,17 +279,27 @@ def _texts(documents: DataFrame, keys: DataFrame) -> DataFrame:
     return wanted.groupBy("key").agg(F.any_value("text").alias("text"))
 
 
+def _meet(rows: DataFrame, counted: DataFrame, on: list[str]) -> DataFrame:
+    """rows joined with counted (unique in ``on``; n: their rows), less n; keys of more than SPLIT rows by broadcast."""
+    hot = counted.filter(F.col("n") > SPLIT).drop("n")
+    k = hot.count()
+    if not 0 < k <= BROADCAST_KEYS:
+        return rows.join(counted.drop("n"), on)
+    cold = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(counted.filter(F.col("n") <= SPLIT).drop("n"), on)
+    return cold.unionByName(rows.join(F.broadcast(hot), on))
+
+
 def repeated_runs(documents: DataFrame, surveyed: DataFrame, chunk: int = _CHUNK, heavy_from: int = HEAVY) -> DataFrame:
     """key, start, end: intervals of bytes to remove, which may overlap; equal texts have the same."""
-    found = surveyed.filter("place is not null").select("text_id", "place", "gram", "whole")
+    found = surveyed.filter("place is not null").select("text_id", "place", "gram", "w1", "w2")
     keys = surveyed.filter("place is null").select("text_id", "key")
-    buckets = found.groupBy("gram").agg(F.count("*").alias("n"), (F.min("whole") != F.max("whole")).alias("mixed")).filter("n > 1").drop("n")
-    met = materialize(found.join(buckets, "gram"), "met")
-    same = materialize(met.groupBy("gram", "whole", "mixed").agg(F.count("*").alias("n"), F.min(F.struct("text_id", "place")).alias("one")), "surroundings")
+    buckets = found.groupBy("gram").agg(F.count("*").alias("n"), (F.min(F.struct("w1", "w2")) != F.max(F.struct("w1", "w2"))).alias("mixed")).filter("n > 1")
+    met = materialize(_meet(found, materialize(buckets, "buckets"), ["gram"]), "met")
+    same = materialize(met.groupBy("gram", "w1", "w2", "mixed").agg(F.count("*").alias("n"), F.min(F.struct("text_id", "place")).alias("one")), "surroundings")
     pos = F.shiftright("place", 18)
     start = (pos - F.shiftright("place", 9).bitwiseAND(511)).alias("start")
     end = (pos + GRAM + F.col("place").bitwiseAND(511)).alias("end")
-    copied = met.join(same.filter("n > 1").select("gram", "whole"), ["gram", "whole"])
+    copied = _meet(met, same.filter("n > 1").select("gram", "w1", "w2", "n"), ["gram", "w1", "w2"])
     whole = copied.select("text_id", start, end)
     mixed = same.filter("mixed")
     heavy = materialize(mixed.groupBy("gram").agg(F.count("*").alias("pieces")).filter(F.col("pieces") > heavy_from).select("gram", F.lit(True).alias("heavy")), "heavy-grams")

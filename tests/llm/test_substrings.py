@@ -73,3 +73,37 @@ def test_equal_windows_share_an_anchor():
         a = S.anchors(texts, h)
         inside = [{int(p) - texts[i].index(shared) for p, t in zip(a["pos"], a["text"], strict=True) if t == i} & set(range(S.SIDE + 1)) for i in range(2)]
         assert inside[0] & inside[1]
+
+
+@pytest.mark.parametrize("turns", [1, 4, 50])
+def test_refinement_against_brute_force(monkeypatch, turns):
+    monkeypatch.setattr(S, "_TURNS", turns)
+    r, hasher = random.Random(turns), S._Hash()
+    for _ in range(30):
+        blocks = [bytes(r.randrange(97, 99) for _ in range(r.choice([40, 80, 110, 200, 7]))) for _ in range(4)] + [b"z" * 90]
+        pieces = [b"".join(r.choice(blocks) for _ in range(r.randint(0, 7))) for _ in range(8)]
+        places = {}
+        for p, piece in enumerate(pieces):
+            for i in range(len(piece) - S.LENGTH + 1):
+                places.setdefault(piece[i : i + S.LENGTH], []).append(sum(map(len, pieces[:p])) + i)
+        want = sorted(x for at in places.values() if len(at) > 1 for x in at)
+        got = S.refine(pieces, np.arange(8), np.zeros(8, np.int64), np.zeros(8, bool), hasher)
+        assert got.tolist() == want
+
+
+def test_buckets_of_one_hash_are_told_apart_by_their_bytes(monkeypatch):
+    r = random.Random(9)
+    shared = bytes(r.randrange(256) for _ in range(300))
+    pieces = [bytes(r.randrange(256) for _ in range(300)), shared, bytes(r.randrange(256) for _ in range(300)), shared[20:]]
+    class One(S._Hash):
+        def of(self, sums, start, end):
+            return super().of(sums, start, end) % np.uint64(2)
+    got = S.refine(pieces, np.arange(4), np.zeros(4, np.int64), np.zeros(4, bool), One())
+    assert got.tolist() == [*range(320, 401), *range(900, 981)]
+
+
+def test_hot_buckets_are_broadcast(spark, monkeypatch):
+    docs = awkward(spark, corpus())
+    want = sorted((str(r.doc_id), r.kept_sha256) for r in S.remove_repeats(docs).collect())
+    monkeypatch.setattr(S, "SPLIT", 4)
+    assert sorted((str(r.doc_id), r.kept_sha256) for r in S.remove_repeats(docs).collect()) == want
