@@ -3,9 +3,12 @@
 A document's size is its number of words. Sources in code point order (null last) weigh 5, 2, 1, repeating; together they
 may take ``share`` times all words, but none over ``most`` times its own, the excess being reshared by weight. A source
 takes all its documents as often as its target holds its size, and fits the rest of the budget with a subset of them:
-documents are counted by exact length, every length first gives its proportional number of documents, and what is left
-of the budget is filled from the longest length down to ``exact`` words and below that by bounded-knapsack dynamic
-programming over the lengths still open. Which documents of a length are taken is decided by a seeded hash.
+documents are counted by exact length, every length gives its proportional number of documents, rounded down, the longest
+lengths give more until ``reserve`` words are left, and these, at every size, are fitted by bounded-knapsack dynamic programming
+over the documents still open, of which the short lengths keep some.
+Which documents of a length are taken is decided by a seeded hash.
+
+Sources are numbered by a range sort and their common level is found by repeated sums, so that there may be any number.
 
 Defined results: null and empty texts have size 0 and are never short of their (zero) words; sources of size 0 have target
 0; repeated rows count and are taken one by one; equal hashes fall back on doc_id; empty tables give empty results; other
@@ -21,10 +24,10 @@ from pyspark.sql import functions as F
 from .common import TOKEN, materialize
 
 WEIGHTS = (5, 2, 1)
-_SHARDS = 256
+_SHARDS, _SHARD = 256, 100_000  # at least so many shards, and more to hold about so many documents each
 
 
-def fit(counts: dict[int, int], budget: int, exact: int = 20_000) -> dict[int, int]:
+def fit(counts: dict[int, int], budget: int, reserve: int = 20_000) -> dict[int, int]:
     """How many documents of each length to take, so that their words come as near below budget as the method finds."""
     counts = {n: c for n, c in counts.items() if n > 0 and c > 0}
     total = sum(n * c for n, c in counts.items())
@@ -36,9 +39,7 @@ def fit(counts: dict[int, int], budget: int, exact: int = 20_000) -> dict[int, i
     left = budget - sum(n * c for n, c in taken.items())
     lengths = sorted(counts, reverse=True)
     for n in lengths:
-        if left <= exact:
-            break
-        k = min(counts[n] - taken[n], (left - exact + n - 1) // n, left // n)
+        k = min(counts[n] - taken[n], max(0, left - reserve + n - 1) // n, left // n)
         taken[n] += k
         left -= k * n
     # Sums reachable with the open documents, by binary splitting; came[s] is the item that first reached s.
@@ -65,32 +66,44 @@ def fit(counts: dict[int, int], budget: int, exact: int = 20_000) -> dict[int, i
     return {n: c for n, c in taken.items() if c}
 
 
+def numbered(sources: DataFrame) -> DataFrame:
+    """sources with their number (from 0) in code point order, null last; stored."""
+    key = [F.col("source").isNull(), F.col("source").cast("binary")]
+    parts = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = materialize(sources.repartitionByRange(parts, *key).sortWithinPartitions(*key).withColumn("at", F.monotonically_increasing_id()), "sources")
+    part = F.shiftright("at", 33)  # what the identifier is made of: the partition, and the row in it
+    before, offsets = 0, {0: 0}
+    for r in dealt.groupBy(part.alias("part")).count().orderBy("part").collect():  # one row for each partition
+        offsets[r.part] = before
+        before += r["count"]
+    offset = F.element_at(F.create_map(*[F.lit(x).cast("long") for kv in offsets.items() for x in kv]), part)
+    return dealt.withColumn("number", offset + F.col("at").bitwiseAND((1 << 33) - 1)).drop("at")
+
+
 def targets(sources: DataFrame, share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """sources: source, source_size. Adds target: min(most * source_size, weight * level), where level spends the budget.
-
-    The table has one row for each source."""
-    order = Window.orderBy(F.col("source").isNull(), F.col("source").cast("binary"))
-    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), ((F.row_number().over(order) - 1) % len(WEIGHTS) + 1).cast("int"))
-    w = sources.withColumn("weight", weight.cast("double")).withColumn("cap", most * F.col("source_size"))
-    full = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").isNull(), "source")
-    everything = Window.partitionBy()
-    before = F.coalesce(F.sum("cap").over(full.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    open_weight = F.sum("weight").over(full.rowsBetween(0, Window.unboundedFollowing))
-    level = (share * F.sum("source_size").over(everything) - before) / open_weight
-    # The first source, by cap per weight, that its level does not fill sets the level of all later ones.
-    w = w.withColumn("level", level).withColumn("under", F.col("level") <= F.col("cap") / F.col("weight"))
-    w = w.withColumn("level", F.min(F.when(F.col("under"), F.struct(F.col("cap") / F.col("weight"), "level"))).over(everything)["level"])
-    return w.select("source", "source_size", F.coalesce(F.least("cap", F.col("weight") * F.col("level")), "cap").alias("target"))
-
-
-def mix(documents: DataFrame, seed: int = 42, share: float = 1.5, most: float = 2.0, exact: int = 20_000, kept: list[str] | None = None) -> DataFrame:
+    """sources: source, source_size. Adds target: min(most * source_size, weight * level), where level spends the budget."""
+    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.col("number") % len(WEIGHTS) + 1).cast("int"))
+    w = numbered(sources).withColumn("weight", weight.cast("double")).withColumn("cap", most * F.col("source_size"))
+    budget = share * (w.agg(F.sum("source_size")).first()[0] or 0)
+    level = -1.0
+    while True:  # the level only rises, until no further source is full
+        full = F.col("cap") <= F.col("weight") * level
+        spent, open_ = w.agg(F.sum(F.when(full, F.col("cap"))), F.sum(F.when(~full, F.col("weight")))).first()
+        new = (budget - (spent or 0.0)) / open_ if open_ else float("inf")
+        if new <= level or not open_:
+            level = max(new, level)
+            break
+        level = new
+    return w.select("source", "source_size", F.least("cap", F.col("weight") * level).alias("target"))
+
+
+def mix(documents: DataFrame, seed: int = 42, share: float = 1.5, most: float = 2.0, reserve: int = 20_000, kept: list[str] | None = None) -> DataFrame:
     """doc_id (or, if columns are to be kept, doc with them), size, source_size, target, taken (words taken, repeats counted), times, source."""
     size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(TOKEN)).cast("long")
     carried = F.struct(*[F.col(f"`{c}`") for c in kept or ["doc_id"]]).alias("doc")
     docs = documents.select(F.monotonically_increasing_id().alias("row_id"), carried, "doc_id", "source", size.alias("size"))
-    docs = docs.withColumn("draw", F.xxhash64(F.lit(seed), "doc_id"))
-    stored = materialize(docs.withColumn("shard", F.pmod("draw", F.lit(_SHARDS)).cast("int")), "sizes")
-    docs = stored.drop("doc")
+    stored = materialize(docs.withColumn("draw", F.xxhash64(F.lit(seed), "doc_id")), "sizes")
+    docs = stored.drop("doc").withColumn("shard", F.pmod("draw", F.lit(max(_SHARDS, stored.count() // _SHARD))).cast("int"))
     shards = materialize(docs.groupBy("source", "size", "shard").agg(F.count("*").alias("n")), "lengths")
     lengths = shards.groupBy("source", "size").agg(F.sum("n").alias("n"))
     sized = materialize(targets(lengths.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), share, most), "targets")
@@ -98,7 +111,7 @@ def mix(documents: DataFrame, seed: int = 42, share: float = 1.5, most: float =
     plan = plan.withColumn("budget", F.floor(F.col("target") - F.col("whole") * F.col("source_size")).cast("long"))
 
     def chosen(pdf: pd.DataFrame) -> pd.DataFrame:
-        k = fit(dict(zip(pdf["size"].tolist(), pdf["n"].tolist(), strict=True)), int(pdf["budget"].iloc[0]), exact)
+        k = fit(dict(zip(pdf["size"].tolist(), pdf["n"].tolist(), strict=True)), int(pdf["budget"].iloc[0]), reserve)
         return pdf[["source", "size"]].assign(extra=[k.get(n, 0) for n in pdf["size"].tolist()])
 
     known = lengths.join(F.broadcast(plan.select("source", "budget")) if sized.count() < 100_000 else plan.select("source", "budget"), lengths["source"].eqNullSafe(plan["source"])).select(lengths["source"], "size", "n", "budget")

@@ -1,6 +1,7 @@
 """Chat formatting, decontamination and mixing."""
 
 import hashlib
+import random
 import re
 
 import duckdb
@@ -112,7 +113,7 @@ def test_fit_meets_the_budget():
     assert mixing.fit({10: 1}, 9) == {} and mixing.fit({}, 9) == {} and mixing.fit({3: 4}, 0) == {}
     counts = {n: 1 + n % 7 for n in range(3, 900)}
     for budget in (1, 2, 3, 1234, 77_777, sum(n * c for n, c in counts.items()) - 4):
-        taken = mixing.fit(counts, budget, exact=2000)
+        taken = mixing.fit(counts, budget, reserve=2000)
         assert all(c <= counts[n] for n, c in taken.items())
         total = sum(n * c for n, c in taken.items())
         assert total == budget or budget < 3 and total == 0
@@ -134,6 +135,22 @@ def brute_targets(sizes):
     return full
 
 
+def test_fit_follows_every_length_in_proportion():
+    counts = {n: 400 for n in range(50, 1050, 10)}
+    total = sum(n * c for n, c in counts.items())
+    taken = mixing.fit(counts, total // 2)
+    assert sum(n * c for n, c in taken.items()) == total // 2
+    assert all(abs(taken[n] - 200) < 40 for n in counts)
+
+
+def test_targets_of_many_sources(spark):
+    r = random.Random(2)
+    sizes = {f"host{r.randrange(10**6)}.{'é' * r.randrange(3)}": r.choice([0, 3, r.randrange(10**r.randint(1, 6))]) for _ in range(3000)} | {None: 77, "": 12}
+    got = mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()
+    want = brute_targets(sizes)
+    assert len(got) == len(sizes) and all(abs(x.target - want[x.source]) < 1e-6 * max(1, want[x.source]) for x in got)
+
+
 def test_mix(spark):
     texts = prose(5, n=200) + ["same size"] * 50
     docs = awkward(spark, texts)
