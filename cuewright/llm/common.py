@@ -56,6 +56,22 @@ def release(*frames: DataFrame) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: A key of more rows than SPLIT is joined by broadcast: there are at most rows / SPLIT of them, and their size is summed first.
+SPLIT, BROADCAST_BYTES = 20_000, 64 << 20
+
+
+def meet(rows: DataFrame, counted: DataFrame, on: list[str], size: Column | int = 64) -> DataFrame:
+    """rows joined with counted (unique in ``on``; n: how many rows have the key), less n; hot keys are no keys of the shuffle.
+
+    size: about how many bytes a row of counted has."""
+    hot = counted.filter(F.col("n") > SPLIT).drop("n")
+    total = hot.agg(F.sum(F.lit(size) if isinstance(size, int) else size)).first()[0]
+    if not total or total > BROADCAST_BYTES:
+        return rows.join(counted.drop("n"), on)
+    cold = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(counted.filter(F.col("n") <= SPLIT).drop("n"), on)
+    return cold.unionByName(rows.join(F.broadcast(hot), on))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -5,23 +5,27 @@ searched: their 64 bits are dealt into partitions that keep correlated bits toge
 threshold t_i (-1: not probed) with the sum ``distance - partitions + 1``; two fingerprints within ``distance`` then differ
 in at most t_i bits of some partition. Dynamic programming picks the thresholds of least estimated cost from collision
 counts over all fingerprints. A probe clears every set of t_i bits of the partition's value; fingerprints that meet under
-a probe are verified over all 64 bits. A key shared by more than ``HEAVY`` fingerprints is not compared in one task: for
+a probe are verified over all bits. A key shared by more than ``HEAVY`` fingerprints is not compared in one task: for
 small distances its members are keyed again by all 64 bits less every set of ``distance`` bits, which groups at most
-2^distance of them, and for larger ones they are dealt into blocks, each pair of which is compared in a task of its own.
-
-``wide`` gives fingerprints of 256 bits, the first 64 of which are probed; links then hold over all 256 bits as well, which
-tells apart similarities that 64 bits cannot. ``one_of_each`` dedups documents so, with five-word shingles, up to 12 of
-64 bits (a similarity of 0.8) and 40 of 256 bits (a Jaccard similarity of about 0.8).
-
-Defined results: null or empty texts have fingerprint 0 and link as any other; repeated rows get a row each; a component
-of null identifiers only has a null component_id; empty tables give empty results; other columns are ignored.
+2^distance of them, and else they are dealt into blocks, each pair of which is compared in a task of its own.
+
+``one_of_each`` dedups documents by the Jaccard similarity of their sets of five-word shingles. Their fingerprints have 512
+bits; two texts of similarity s differ in about acos(2s / (1 + s)) / pi of these. The same dynamic programme picks the
+thresholds of least cost by which a pair at the similarity meets in some partition with probability ``aim``; as the number of
+documents grows, it picks larger partitions. Fingerprints that meet and lie within four deviations of that share of bits are
+candidates (within a key of many, those that connect what meets), and each candidate becomes a link only if the exact similarity
+of the two texts reaches ``similarity``.
+
+Defined results: null or empty texts have fingerprint 0 and link as any other; texts of equal fingerprint are one node;
+repeated rows get a row each; a component of null identifiers only has a null component_id; empty tables give empty results;
+other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from math import comb
+from math import acos, comb, log, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, tokens_of
+from .common import materialize, meet, tokens_of
 from .components import components
 
 SEED = 42
@@ -40,47 +44,61 @@ _CHUNK = 1 << 16
 
 
 def _words(h: np.ndarray, words: int) -> np.ndarray:
-    """The hashes and words - 1 further mixes of them, side by side."""
+    """The hashes and words - 1 further mixes of them, one below the other."""
     out = [h]
     for k in range(1, words):
         x = h + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
         x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
         x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
         out.append(x ^ x >> np.uint64(31))
-    return np.stack(out, axis=1)
+    return np.stack(out)
 
 
-def fingerprints_of(texts: list[str | None], shingle: int, words: int = 1) -> np.ndarray:
-    """uint64 fingerprints, (texts, words)."""
+_ONES = np.uint64(0x0101010101010101)
+
+
+def _bit_counts(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """(words, hashes) to (runs, 64 * words): how many hashes of each run set each bit. A run has up to 255 hashes: eight counters share a word."""
+    out = np.empty((len(starts), len(h), 8, 8), np.uint8)
+    for b in range(8):
+        sums = np.add.reduceat(h >> np.uint64(b) & _ONES, starts, axis=1)
+        out[:, :, :, b] = sums.T.astype("<u8", order="C").view(np.uint8).reshape(len(starts), len(h), 8)
+    return out.reshape(len(starts), -1)
+
+
+def shingle_hashes(tokens: list[bytes], shingle: int) -> Iterator[list[int]]:
+    """XXH64 of the shingles, up to 255 at a time."""
     import xxhash
 
     digest = xxhash.xxh64_intdigest
+    joined, at = b" ".join(tokens), np.cumsum([0] + [len(w) + 1 for w in tokens]).tolist()
+    if 0 < len(tokens) <= shingle:
+        yield [digest(joined, SEED)]
+        return
+    n = len(tokens) - shingle + 1
+    for lo in range(0, n, 255):
+        yield [digest(joined[a : b - 1], SEED) for a, b in zip(at[lo : min(n, lo + 255)], at[lo + shingle : lo + 255 + shingle], strict=False)]
+
+
+def fingerprints_of(texts: list[str | None], shingle: int, words: int = 1) -> np.ndarray:
+    """uint64 fingerprints, (texts, words)."""
     counts, totals = np.zeros((len(texts), 64 * words), np.int64), np.zeros(len(texts), np.int64)
     hashes: list[int] = []
-    owners: list[tuple[int, int]] = []
+    owners: list[int] = []
+    starts: list[int] = []
 
     def flush() -> None:
         if hashes:
-            bits = np.unpackbits(_words(np.array(hashes, np.uint64), words).astype("<u8").view(np.uint8), axis=1, bitorder="little")
-            at = np.cumsum([0] + [n for _, n in owners[:-1]])
-            np.add.at(counts, [d for d, _ in owners], np.add.reduceat(bits, at, axis=0, dtype=np.int32))
-            hashes.clear()
-            owners.clear()
+            np.add.at(counts, owners, _bit_counts(_words(np.array(hashes, np.uint64), words), np.array(starts)))
+            for x in (hashes, owners, starts):
+                x.clear()
 
     for d, text in enumerate(texts):
-        tokens = tokens_of(text)
-        if not tokens:
-            continue
-        joined, at = b" ".join(tokens), np.cumsum([0] + [len(w) + 1 for w in tokens]).tolist()
-        n = max(1, len(tokens) - shingle + 1)
-        totals[d] = n
-        for lo in range(0, n, _CHUNK):
-            hi = min(n, lo + _CHUNK)
-            if len(tokens) <= shingle:
-                hashes.append(digest(joined, SEED))
-            else:
-                hashes += [digest(joined[a : b - 1], SEED) for a, b in zip(at[lo:hi], at[lo + shingle : hi + shingle], strict=True)]
-            owners.append((d, hi - lo))
+        for some in shingle_hashes(tokens_of(text), shingle):
+            owners.append(d)
+            starts.append(len(hashes))
+            hashes += some
+            totals[d] += len(some)
             if len(hashes) >= _CHUNK:
                 flush()
     flush()
@@ -88,18 +106,18 @@ def fingerprints_of(texts: list[str | None], shingle: int, words: int = 1) -> np
 
 
 def fingerprints(documents: DataFrame, shingle: int = 3, words: int = 1, kept: list[str] | None = None) -> DataFrame:
-    """row_id, doc (the kept columns), fp (the first 64 bits as a signed long), wide (all bits, as bytes)."""
+    """row_id, doc (the kept columns), bits (the fingerprint as signed longs)."""
     docs = documents.select(F.monotonically_increasing_id().alias("row_id"), F.struct(*[F.col(f"`{c}`") for c in kept or documents.columns]).alias("doc"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, 500):
                 part = b.slice(lo, 500)
-                fp = fingerprints_of(part.column("text").to_pylist(), shingle, words)
-                wide = pa.array([x.tobytes() for x in fp.astype("<u8")], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column("row_id"), part.column("doc"), pa.array(fp[:, 0].view(np.int64)), wide], names=["row_id", "doc", "fp", "wide"])
+                fp = fingerprints_of(part.column("text").to_pylist(), shingle, words).view(np.int64)
+                bits = pa.ListArray.from_arrays(pa.array(np.arange(len(fp) + 1) * words, pa.int32()), pa.array(fp.ravel()))
+                yield pa.RecordBatch.from_arrays([part.column("row_id"), part.column("doc"), bits], names=["row_id", "doc", "bits"])
 
-    schema = T.StructType(docs.schema[:2].fields).add("fp", T.LongType()).add("wide", T.BinaryType())
+    schema = T.StructType(docs.schema[:2].fields).add("bits", T.ArrayType(T.LongType()))
     return docs.mapInArrow(run, schema)
 
 
@@ -107,30 +125,37 @@ def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def bit_correlations(fps: DataFrame) -> np.ndarray:
-    """Absolute correlations of the 64 bits over all fingerprints."""
+def _matrix(bits: pa.Array) -> np.ndarray:
+    flat = bits.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+    return flat.reshape(len(bits), -1)
+
+
+def bit_correlations(fps: DataFrame, words: int = 1) -> np.ndarray:
+    """(words, 64, 64): absolute correlations of the bits of each word over all fingerprints."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gram, n = np.zeros((65, 65), np.int64), 0
+        gram, n = np.zeros((words, 65, 65), np.int64), 0
         for b in batches:
-            fp = b.column(0).to_numpy(zero_copy_only=False).astype("<i8")
-            for lo in range(0, len(fp), _CHUNK):
-                bits = np.unpackbits(fp[lo : lo + _CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.float32)
-                ones = np.hstack([bits, np.ones((len(bits), 1), np.float32)])
-                gram += (ones.T @ ones).round().astype(np.int64)
+            fp = _matrix(b.column(0)) if b.num_rows else np.zeros((0, words), np.uint64)
+            for lo in range(0, len(fp), _CHUNK // 8):
+                bits = np.unpackbits(fp[lo : lo + _CHUNK // 8].astype("<u8").view(np.uint8), axis=1, bitorder="little").astype(np.float32)
+                for w in range(words):
+                    ones = np.hstack([bits[:, 64 * w : 64 * w + 64], np.ones((len(bits), 1), np.float32)])
+                    gram[w] += (ones.T @ ones).round().astype(np.int64)
                 n += len(bits)
         if n:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(65 * 65)), pa.array(gram.ravel())], names=["cell", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(gram.size)), pa.array(gram.ravel())], names=["cell", "n"])
 
-    rows = fps.select("fp").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n")).collect()  # 65 * 65 rows
-    gram = np.zeros(65 * 65)
+    rows = fps.select("bits").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n")).collect()  # words * 65 * 65 rows
+    gram = np.zeros(words * 65 * 65)
     for cell, n in rows:
         gram[cell] = n
-    gram = gram.reshape(65, 65)
-    n, p = max(1.0, gram[64, 64]), gram[64, :64] / max(1.0, gram[64, 64])
-    cov = gram[:64, :64] / n - np.outer(p, p)
-    sd = np.sqrt(np.maximum(p * (1 - p), 1e-12))
-    return np.abs(cov / np.outer(sd, sd))
+    out = []
+    for g in gram.reshape(words, 65, 65):
+        n, p = max(1.0, g[64, 64]), g[64, :64] / max(1.0, g[64, 64])
+        sd = np.sqrt(np.maximum(p * (1 - p), 1e-12))
+        out.append(np.abs((g[:64, :64] / n - np.outer(p, p)) / np.outer(sd, sd)))
+    return np.array(out)
 
 
 def group_bits(corr: np.ndarray, parts: int) -> list[int]:
@@ -167,19 +192,65 @@ def allocate(masks: list[int], pairs: list[float], n: int, distance: int) -> tup
     return best.get(aim, (float("inf"), []))
 
 
-def plan_probes(fps: DataFrame, distance: int) -> list[tuple[int, int]]:
-    """(mask, threshold) of every partition that is probed."""
-    corr = bit_correlations(fps)
-    options = {m: group_bits(corr, m) for m in range(max(2, distance // 2), max(4, distance // 2 + 4) + 1)}
-    masks = [mask for m in options.values() for mask in m]
-    value = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col("fp").bitwiseAND(F.lit(_signed(mask))).alias("v")) for i, mask in enumerate(masks)])).alias("x")
+Probe = tuple[int, int, int]  # word, mask, threshold
+
+
+def _collisions(fps: DataFrame, masks: list[tuple[int, int]]) -> tuple[list[float], int]:
+    """Pairs of fingerprints with equal bits under each (word, mask), and the number of fingerprints; counted over all of them."""
+    value = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.get("bits", F.lit(w)).bitwiseAND(F.lit(_signed(mask))).alias("v")) for i, (w, mask) in enumerate(masks)])).alias("x")
     sizes = fps.select(value).groupBy("x.i", "x.v").agg(F.count("*").alias("n"))
     rows = {i: (pairs, n) for i, pairs, n in sizes.groupBy("i").agg(F.sum(F.col("n").cast("double") * (F.col("n") - 1) / 2), F.sum("n")).collect()}
-    n = rows[0][1] if rows else 0
-    found = []
-    for m in options.values():
-        cost, ts = allocate(m, [rows.get(masks.index(x), (0.0, 0))[0] for x in m], n, distance)
-        found.append((cost, [(x, t) for x, t in zip(m, ts, strict=True) if t >= 0]))
+    return [rows.get(i, (0.0, 0))[0] for i in range(len(masks))], rows[0][1] if rows else 0
+
+
+def plan_probes(fps: DataFrame, distance: int) -> list[Probe]:
+    """The partitions that are probed so that no pair within ``distance`` of 64 bits is missed."""
+    corr = bit_correlations(fps)[0]
+    options = [group_bits(corr, m) for m in range(max(2, distance // 2), max(4, distance // 2 + 4) + 1)]
+    pairs, n = _collisions(fps, [(0, mask) for masks in options for mask in masks])
+    found, at = [], 0
+    for masks in options:
+        cost, ts = allocate(masks, pairs[at : at + len(masks)], n, distance)
+        at += len(masks)
+        found.append((cost, [(0, x, t) for x, t in zip(masks, ts, strict=True) if t >= 0]))
+    return min(found, key=lambda x: x[0])[1]
+
+
+def share_of_bits(similarity: float) -> float:
+    """The expected share of differing bits of two texts of a Jaccard similarity."""
+    return acos(2 * similarity / (1 + similarity)) / pi
+
+
+_UNIT = 0.02
+
+
+def allocate_chances(widths: list[int], pairs: list[float], n: int, share: float, aim: float) -> tuple[float, list[int]]:
+    """The thresholds (up to 1) of least cost with which a pair that differs in ``share`` of its bits meets with probability ``aim``."""
+    goal = int(np.ceil(-log(1 - aim) / _UNIT))
+    best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
+    for w, same in zip(widths, pairs, strict=True):
+        new: dict[int, tuple[float, list[int]]] = {}
+        for won, (cost, ts) in best.items():
+            for t in (-1, 0, 1):
+                chance = sum(comb(w, k) * share**k * (1 - share) ** (w - k) for k in range(t + 1))
+                units = min(goal, won + int(-log(1 - chance) / _UNIT))
+                near = max(same, n * n / 2.0 ** (w + 1)) * 2**t * comb(w, t) + PROBE_COST * n * comb(w, t) if t >= 0 else 0.0
+                if units not in new or cost + near < new[units][0]:
+                    new[units] = (cost + near, [*ts, t])
+        best = new
+    return best.get(goal, (float("inf"), []))
+
+
+def plan_similar(fps: DataFrame, words: int, similarity: float, aim: float) -> list[Probe]:
+    """The partitions by which pairs at ``similarity`` meet with probability ``aim``."""
+    corr = bit_correlations(fps, words)
+    options = [[(w, mask) for w in range(words) for mask in group_bits(corr[w], m)] for m in range(2, 9)]
+    pairs, n = _collisions(fps, [x for masks in options for x in masks])
+    found, at = [], 0
+    for masks in options:
+        cost, ts = allocate_chances([mask.bit_count() for _, mask in masks], pairs[at : at + len(masks)], n, share_of_bits(similarity), aim)
+        at += len(masks)
+        found.append((cost, [(w, x, t) for (w, x), t in zip(masks, ts, strict=False) if t >= 0]))
     return min(found, key=lambda x: x[0])[1]
 
 
@@ -236,26 +307,25 @@ def _verify(part: np.ndarray, key: np.ndarray, fp: np.ndarray, distance: int, wi
     return np.concatenate(us), np.concatenate(vs)
 
 
-def links(fps: DataFrame, distance: int = 2, widest: int = 0) -> DataFrame:
-    """u, v: edges between distinct fingerprints (``wide``) that connect all that link: within ``distance`` bits of ``fp`` and, if
-    they have more than 64 bits, within ``widest`` over all."""
-    probes = plan_probes(fps, distance)
-    clear = [m for mask, t in probes for m in _cleared(mask, t)]
-    keys = F.explode(F.array(*[F.struct(F.lit(k).alias("part"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for k, m in enumerate(clear)])).alias("x")
-    keyed = fps.select("wide", "fp", keys).select("x.part", "x.key", "fp", "wide")
+def links(fps: DataFrame, probes: list[Probe], distance: int, widest: int = 0) -> DataFrame:
+    """u, v: edges between nodes (node, bits) that connect all that meet under a probe and lie within ``distance`` bits of the
+    first word and, if they have more than one, within ``widest`` over all."""
+    clear = [(w, m) for w, mask, t in probes for m in _cleared(mask, t)]
+    keys = F.explode(F.array(*[F.struct(F.lit(k).alias("part"), F.get("bits", F.lit(w)).bitwiseAND(F.lit(m)).alias("key")) for k, (w, m) in enumerate(clear)])).alias("x")
+    keyed = fps.select("node", "bits", keys).select("x.part", "x.key", "node", "bits")
     heavy = materialize(keyed.groupBy("part", "key").agg(F.count("*").alias("n")).filter(F.col("n") > HEAVY), "heavy-keys")
     if heavy.count():
         light = keyed.join(heavy, ["part", "key"], "left_anti")
-        if comb(64, distance) <= 5000:
-            again = keyed.join(heavy, ["part", "key"], "left_semi").select("fp", "wide").distinct()
+        if not widest and comb(64, distance) <= 5000:
+            again = keyed.join(heavy, ["part", "key"], "left_semi").select("node", "bits").distinct()
             masks = F.array(*map(F.lit, _cleared((1 << 64) - 1, distance)))
-            again = again.select("fp", "wide", F.posexplode(F.transform(masks, lambda m: F.col("fp").bitwiseAND(m))).alias("part", "key"))
+            again = again.select("node", "bits", F.posexplode(F.transform(masks, lambda m: F.get("bits", F.lit(0)).bitwiseAND(m))).alias("part", "key"))
         else:
             blocks = F.ceil(2 * F.col("n") / HEAVY).cast("long")
-            own = keyed.join(heavy, ["part", "key"]).withColumn("b", F.pmod(F.xxhash64("wide"), blocks))
-            own = own.select("part", "key", "fp", "wide", "b", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("o"))
-            again = own.select("fp", "wide", "part", F.xxhash64("part", "key", F.least("b", "o"), F.greatest("b", "o")).alias("key"))
-        keyed = light.unionByName(again.select((-1 - F.col("part")).alias("part"), "key", "fp", "wide"))
+            own = keyed.join(heavy, ["part", "key"]).withColumn("b", F.pmod(F.xxhash64("node"), blocks))
+            own = own.select("part", "key", "node", "bits", "b", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("o"))
+            again = own.select("node", "bits", "part", F.xxhash64("part", "key", F.least("b", "o"), F.greatest("b", "o")).alias("key"))
+        keyed = light.unionByName(again.select((-1 - F.col("part")).alias("part"), "key", "node", "bits"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = None
@@ -270,41 +340,90 @@ def links(fps: DataFrame, distance: int = 2, widest: int = 0) -> DataFrame:
             yield edges(kept)
 
     def edges(t: pa.Table) -> pa.RecordBatch:
-        wide = t.column("wide").combine_chunks()
-        fp = np.frombuffer(b"".join(wide.to_pylist()), "<u8").astype(np.uint64).reshape(len(wide), -1)
+        node, fp = t.column("node").to_numpy(), _matrix(t.column("bits").combine_chunks())
         u, v = _verify(t.column("part").to_numpy(), t.column("key").to_numpy(), fp, distance, widest)
-        return pa.RecordBatch.from_arrays([wide.take(pa.array(x)) for x in (u, v)], names=["u", "v"])
+        return pa.RecordBatch.from_arrays([pa.array(node[x]) for x in (u, v)], names=["u", "v"])
 
     n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return keyed.repartition(n, "part", "key").sortWithinPartitions("part", "key").mapInArrow(run, "u binary, v binary")
+    return keyed.repartition(n, "part", "key").sortWithinPartitions("part", "key").mapInArrow(run, "u long, v long")
 
 
-def near_duplicates(documents: DataFrame, shingle: int = 3, distance: int = 2, widest: int = 0, kept: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """The stored fingerprints of the rows, and for each distinct one: wide, root (of its component), component_id (the
-    smallest doc_id reachable over links)."""
-    docs = materialize(fingerprints(documents, shingle, 4 if widest else 1, kept), "fingerprints")
-    fps = materialize(docs.groupBy("fp", "wide").agg(F.min("doc.doc_id").alias("least")), "distinct-fingerprints")
-    roots = components(links(fps, distance, widest))
-    linked = fps.join(roots, fps["wide"] == roots["node"], "left").select("wide", "least", F.coalesce("root", "wide").alias("root"))
-    ids = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    return docs, materialize(linked.join(ids, "root").select("wide", "root", "component_id"), "components")
+#: Up to so many row numbers (16 bytes each) are broadcast to filter the documents; more are joined by shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def _nodes(docs: DataFrame) -> DataFrame:
+    """The stored distinct fingerprints: node, bits, least (doc_id), n (rows), best (the row that stands for them)."""
+    best = F.min(F.struct(F.col("doc.doc_id").isNull().alias("null"), F.col("doc.doc_id").alias("doc_id"), "row_id"))
+    fps = docs.groupBy("bits").agg(F.min("doc.doc_id").alias("least"), F.count("*").alias("n"), best.alias("best"))
+    return materialize(fps.withColumn("node", F.monotonically_increasing_id()), "distinct-fingerprints")
+
+
+def _rooted(fps: DataFrame, edges: DataFrame) -> DataFrame:
+    """fps with root, the smallest node of their component."""
+    return fps.join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
 def labelled(documents: DataFrame, shingle: int = 3, distance: int = 2) -> DataFrame:
-    """row_id, doc_id, fp, component_id of every row."""
-    docs, named = near_duplicates(documents, shingle, distance, kept=["doc_id"])
-    return docs.join(named, "wide").select("row_id", "doc.doc_id", "fp", "component_id")
+    """row_id, doc_id, fp, component_id (the smallest doc_id reachable over links) of every row."""
+    docs = materialize(fingerprints(documents, shingle, kept=["doc_id"]), "fingerprints")
+    fps = _nodes(docs)
+    linked = materialize(_rooted(fps, links(fps, plan_probes(fps, distance), distance)), "rooted")
+    ids = linked.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    named = materialize(meet(linked.select("bits", "root", F.col("n").alias("rows")), ids, ["root"]).select("bits", "component_id", F.col("rows").alias("n")), "components")
+    return meet(docs, named, ["bits"]).select("row_id", "doc.doc_id", F.get("bits", F.lit(0)).alias("fp"), "component_id")
 
 
-#: Up to so many row numbers (8 bytes each) are broadcast to filter the documents; more are joined by shuffle.
-BROADCAST_ROWS = 1_000_000
+def _shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """node, hashes (of the text's distinct shingles, sorted, eight bytes each)."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 200):
+                part = b.slice(lo, 200)
+                told = [np.unique(np.array([h for some in shingle_hashes(tokens_of(t), shingle) for h in some], np.uint64)).tobytes() for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(told, pa.binary())], names=["node", "hashes"])
+
+    return texts.mapInArrow(run, "node long, hashes binary")
+
+
+def jaccard(a: bytes, b: bytes) -> float:
+    """Of two sorted sets of eight-byte hashes; 1 for two empty ones."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both) if len(x) or len(y) else 1.0
 
-def one_of_each(documents: DataFrame, shingle: int = 5, distance: int = 12, widest: int = 40) -> DataFrame:
-    """The documents less all but one row of each component: the row of the smallest doc_id stays."""
-    docs, named = near_duplicates(documents, shingle, distance, widest)
-    rows = docs.select("row_id", "doc.doc_id", "wide").join(named.select("wide", "root"), "wide")
-    best = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "row_id")).alias("best")).select("best.row_id")
-    gone = materialize(rows.select("row_id").join(best, "row_id", "left_anti"), "dropped-rows")
+
+def similar(docs: DataFrame, fps: DataFrame, edges: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The edges whose texts have at least that Jaccard similarity of shingles. docs: row_id, doc; fps: node, best."""
+    edges = materialize(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "candidate-links")
+    degrees = [edges.groupBy(F.col(c).alias("node")).agg(F.count("*").alias(f"n{c}")) for c in "uv"]
+    ends = materialize(degrees[0].join(degrees[1], "node", "full").join(fps.select("node", "best.row_id"), "node"), "link-ends")
+    small = ends.select("row_id", "node")
+    texts = docs.select("row_id", "doc.text").join(F.broadcast(small) if ends.count() <= BROADCAST_ROWS else small, "row_id")
+    sets = materialize(_shingle_sets(texts.select("node", "text"), shingle), "shingle-sets").join(ends, "node")
+
+    def end(c: str) -> DataFrame:
+        return sets.filter(F.col(f"n{c}").isNotNull()).select(F.col("node").alias(c), F.col("hashes").alias(f"h{c}"), F.col(f"n{c}").alias("n"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            held = [jaccard(x, y) >= similarity for x, y in zip(b.column("hu").to_pylist(), b.column("hv").to_pylist(), strict=True)]
+            yield b.select(["u", "v"]).filter(pa.array(held, pa.bool_()))
+
+    met = meet(meet(edges, end("u"), ["u"], F.length("hu")), end("v"), ["v"], F.length("hv"))
+    return met.select("u", "v", "hu", "hv").mapInArrow(run, "u long, v long")
+
+
+def one_of_each(documents: DataFrame, shingle: int = 5, similarity: float = 0.8, aim: float = 0.97, words: int = 8) -> DataFrame:
+    """The documents less all but one row of each group of near-duplicates: the row of the smallest doc_id stays."""
+    docs = materialize(fingerprints(documents, shingle, words), "fingerprints")
+    fps = _nodes(docs)
+    share, bits = share_of_bits(similarity), 64 * words
+    most = [int(n * share + 4 * sqrt(n * share * (1 - share))) for n in (64, bits)]
+    edges = links(fps, plan_similar(fps, words, similarity, aim), *most)
+    rooted = _rooted(fps, similar(docs, fps, edges, shingle, similarity))
+    best = rooted.groupBy("root").agg(F.min("best").alias("best")).select("best.row_id")
+    gone = materialize(docs.select("row_id").join(best, "row_id", "left_anti"), "dropped-rows")
     small = gone.count() <= BROADCAST_ROWS
     return docs.join(F.broadcast(gone) if small else gone, "row_id", "left_anti").select("doc.*")

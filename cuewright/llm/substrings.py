@@ -9,7 +9,7 @@ are taken in turn and each is split by the bucket identifiers of its suffixes' o
 the new identifiers stand at once for the buckets still to come, and so on until LENGTH bytes are told apart. Suffixes
 alone in their bucket drop out. The buckets that are left are verified byte by byte to be sets of equal strings.
 
-A bucket of more than SPLIT anchors is no key of a shuffle: its anchors stay where they are and the bucket is broadcast.
+A bucket of very many anchors is no key of a shuffle: its anchors stay where they are and the bucket is broadcast.
 Pieces of one q-gram beyond HEAVY are not refined in one task: each of their windows becomes a row and equal windows meet
 by a grouping, which gives the same result.
 
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import materialize, meet
 
 LENGTH, GRAM = 200, 80
 SIDE = LENGTH - GRAM
@@ -42,8 +42,6 @@ _BASE = 0x9E3779B97F4A7C15
 #: Up to so many text keys (16 bytes each) are broadcast to filter the documents; more are joined by shuffle.
 BROADCAST_KEYS = 500_000
 HEAVY = 20_000
-#: A bucket of more rows is joined by broadcast: there are at most rows / SPLIT of them.
-SPLIT = 20_000
 _TURNS = 4  # parts of a pass over all buckets; each part reads what the parts before it found
 _CHUNK = 500_000  # bytes of pieces refined at a time, whole buckets
 
@@ -279,27 +277,17 @@ def _texts(documents: DataFrame, keys: DataFrame) -> DataFrame:
     return wanted.groupBy("key").agg(F.any_value("text").alias("text"))
 
 
-def _meet(rows: DataFrame, counted: DataFrame, on: list[str]) -> DataFrame:
-    """rows joined with counted (unique in ``on``; n: their rows), less n; keys of more than SPLIT rows by broadcast."""
-    hot = counted.filter(F.col("n") > SPLIT).drop("n")
-    k = hot.count()
-    if not 0 < k <= BROADCAST_KEYS:
-        return rows.join(counted.drop("n"), on)
-    cold = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(counted.filter(F.col("n") <= SPLIT).drop("n"), on)
-    return cold.unionByName(rows.join(F.broadcast(hot), on))
-
-
 def repeated_runs(documents: DataFrame, surveyed: DataFrame, chunk: int = _CHUNK, heavy_from: int = HEAVY) -> DataFrame:
     """key, start, end: intervals of bytes to remove, which may overlap; equal texts have the same."""
     found = surveyed.filter("place is not null").select("text_id", "place", "gram", "w1", "w2")
     keys = surveyed.filter("place is null").select("text_id", "key")
     buckets = found.groupBy("gram").agg(F.count("*").alias("n"), (F.min(F.struct("w1", "w2")) != F.max(F.struct("w1", "w2"))).alias("mixed")).filter("n > 1")
-    met = materialize(_meet(found, materialize(buckets, "buckets"), ["gram"]), "met")
+    met = materialize(meet(found, materialize(buckets, "buckets"), ["gram"]), "met")
     same = materialize(met.groupBy("gram", "w1", "w2", "mixed").agg(F.count("*").alias("n"), F.min(F.struct("text_id", "place")).alias("one")), "surroundings")
     pos = F.shiftright("place", 18)
     start = (pos - F.shiftright("place", 9).bitwiseAND(511)).alias("start")
     end = (pos + GRAM + F.col("place").bitwiseAND(511)).alias("end")
-    copied = _meet(met, same.filter("n > 1").select("gram", "w1", "w2", "n"), ["gram", "w1", "w2"])
+    copied = meet(met, same.filter("n > 1").select("gram", "w1", "w2", "n"), ["gram", "w1", "w2"])
     whole = copied.select("text_id", start, end)
     mixed = same.filter("mixed")
     heavy = materialize(mixed.groupBy("gram").agg(F.count("*").alias("pieces")).filter(F.col("pieces") > heavy_from).select("gram", F.lit(True).alias("heavy")), "heavy-grams")

@@ -1,6 +1,7 @@
 """SimHash, licences and personal data against brute force."""
 
 import hashlib
+import math
 import random
 import re
 import sys
@@ -9,7 +10,7 @@ import numpy as np
 import xxhash
 from fixtures import awkward, prose
 
-from cuewright.llm import licenses, pii, simhash
+from cuewright.llm import common, licenses, pii, simhash
 from cuewright.llm.components import components
 
 sys.set_int_max_str_digits(0)  # the brute-force reader takes numbers of any length
@@ -70,11 +71,10 @@ def test_links_lose_nothing_in_large_groups(spark, monkeypatch):
     fps |= set(map(int, r.integers(0, 1 << 63, 300)))
     fps = sorted(fps)
     want = brute_components(fps, fps, 2)
-    table = spark.createDataFrame([(f, f.to_bytes(8, "little")) for f in fps], "fp long, wide binary")
+    table = spark.createDataFrame([(f, [f]) for f in fps], "node long, bits array<long>")
     for heavy in (simhash.HEAVY, 40):
         monkeypatch.setattr(simhash, "HEAVY", heavy)
-        name = lambda x: int.from_bytes(x, "little")
-        got = [(name(x.u), name(x.v)) for x in simhash.links(table, 2).collect()]
+        got = [(x.u, x.v) for x in simhash.links(table, simhash.plan_probes(table, 2), 2).collect()]
         root = {f: f for f in fps}
         for _ in range(len(fps)):
             new = dict(root)
@@ -108,6 +108,56 @@ def test_one_of_each_keeps_one_row_of_each_group(spark, monkeypatch):
     assert simhash.one_of_each(docs.limit(0)).collect() == []
 
 
+def near_copy(words, k, r, whole):
+    """words with k of them changed, apart from each other, or, if whole, one passage put in."""
+    w = list(words)
+    if whole:
+        at = r.randrange(len(w))
+        return w[:at] + [f"in{r.random()}" for _ in range(k)] + w[at:]
+    for i in r.sample(range(0, len(w), 6), k):
+        w[i] = f"new{r.random()}"
+    return w
+
+
+def true_jaccard(a, b):
+    x, y = ({" ".join(t[i : i + 5]) for i in range(len(t) - 4)} for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_pairs_about_the_bound(spark, monkeypatch):
+    """Pairs of similarity 0.8 and more are found, others are left alone, whether words change or a passage is put in."""
+    r = random.Random(8)
+    texts, pairs = [], []
+    for n in range(240):
+        base = [f"w{r.randrange(5000)}" for _ in range(240)]
+        other = near_copy(base, r.randint(1, 7) if n % 2 else r.randint(10, 80), r, n % 2 == 0)
+        pairs.append((len(texts), len(texts) + 1, true_jaccard(base, other)))
+        texts += [" ".join(base), " ".join(other)]
+    docs = awkward(spark, texts)
+    kept = {x.doc_id for x in simhash.one_of_each(docs).collect()}
+    found = {a: b not in kept for a, b, _ in pairs}
+    true = [found[a] for a, _, j in pairs if j >= 0.8]
+    at_bound = [found[a] for a, _, j in pairs if 0.8 <= j < 0.85]
+    assert all(a in kept for a, _, _ in pairs) and not any(found[a] for a, _, j in pairs if j < 0.8)
+    assert min(j for *_, j in pairs) < 0.76 and len(at_bound) > 20 and sum(at_bound) >= 0.9 * len(at_bound) and sum(true) >= 0.95 * len(true)
+    monkeypatch.setattr(simhash, "HEAVY", 8)
+    monkeypatch.setattr(common, "SPLIT", 1)
+    again = {x.doc_id for x in simhash.one_of_each(docs).collect()}
+    assert len(again ^ kept) <= 4
+
+
+def test_chances_meet_the_aim():
+    share = simhash.share_of_bits(0.8)
+    assert abs(share - 0.1515) < 1e-3
+    for n in (1000, 10**6, 10**8):
+        cost, ts = simhash.allocate_chances([16] * 32, [0.0] * 32, n, share, 0.95)
+        miss = 1.0
+        for t in ts:
+            miss *= 1 - sum(math.comb(16, k) * share**k * (1 - share) ** (16 - k) for k in range(t + 1))
+        assert miss <= 0.05 and cost < float("inf")
+    assert simhash.allocate_chances([32] * 2, [0.0] * 2, 10, share, 0.95)[0] == float("inf")
+
+
 def test_components_of_paths_and_hubs(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 150)] + [(7, 7), (200, 199), (199, 200), (None, 3)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}

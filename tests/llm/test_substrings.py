@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from fixtures import awkward, prose
 
+from cuewright.llm import common
 from cuewright.llm import substrings as S
 
 
@@ -105,5 +106,5 @@ def test_buckets_of_one_hash_are_told_apart_by_their_bytes(monkeypatch):
 def test_hot_buckets_are_broadcast(spark, monkeypatch):
     docs = awkward(spark, corpus())
     want = sorted((str(r.doc_id), r.kept_sha256) for r in S.remove_repeats(docs).collect())
-    monkeypatch.setattr(S, "SPLIT", 4)
+    monkeypatch.setattr(common, "SPLIT", 4)
     assert sorted((str(r.doc_id), r.kept_sha256) for r in S.remove_repeats(docs).collect()) == want
