@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import languages
+
 # Scripts by character class, in the order that breaks ties.
 SCRIPTS = {
     "ja": "[ぁ-ゖァ-ヺー]",
@@ -59,13 +61,10 @@ _TAGS = r"\\(?:1?c&H|fn|fs\d|t\(|fad|fade|bord|be\d|blur|fsc|fr[xyz]?\d|clip|sha
 _FILLERS = r"(?i)\b(?:um+|uh+|erm+|hmm+|mm+|ah+|uh-huh)\b[,.]?\s*"
 _NOTE = r"(?i)\s*\((?:TN|T/N|Note|Translator'?s? note)[^)]*\)\s*$"
 _NUMBERED = r"^\s*\[?(\d+)\]?\s*(?:[\t.．:：)）\-–—]|\s)\s*(.*?)\s*$"
-#: A small default; callers pass their own lists, language to words.
-FUNCTION_WORDS = {
-    "en": ("the", "of", "and", "to", "that", "with", "was", "this", "for"),
-    "de": ("der", "die", "und", "das", "nicht", "mit", "von", "ist"),
-    "fr": ("le", "la", "et", "les", "des", "dans", "que", "pour"),
-    "es": ("el", "los", "que", "por", "una", "con", "para", "del"),
-}
+FUNCTION_WORDS, REGISTER = languages.FUNCTION_WORDS, languages.REGISTER
+# Words that are no sign of dialogue, and small words a line should not end with.
+NO_WORDS = ("hmm", "mmm", "ahh", "ooh", "aah")
+SMALL_WORDS = ("the", "a", "an", "to", "of", "and", "or", "in", "on", "at", "for", "with")
 
 
 def norm(text: Column) -> Column:
@@ -111,15 +110,18 @@ def text_language(text: Column, function_words: dict | None = None) -> Column:
 
     def rank(w: Column) -> Column:
         hits = [F.struct((-F.size(F.array_intersect(w, F.array(*map(F.lit, ws))))).alias("n"), F.lit(i).alias("i"), F.lit(k).alias("lang")) for i, (k, ws) in enumerate(table.items())]
-        return F.struct(F.size(w).alias("words"), F.array_sort(F.array(*hits)).alias("ranked"))
+        return F.array_sort(F.array(*hits))
 
     def judge(x: Column) -> Column:
-        ranked = x["ranked"]
+        return let(rank(x["known"]), lambda ranked: verdict(x["words"], ranked))
+
+    def verdict(n_words: Column, ranked: Column) -> Column:
         n, second = -ranked[0]["n"], -ranked[1]["n"] if len(table) > 1 else F.lit(0)
-        sure = (x["words"] >= 3) & (n >= 3) & (n >= 1.5 * second)
+        sure = (n_words >= 3) & (n >= 3) & (n >= 1.5 * second)
         return F.struct(F.when(sure, ranked[0]["lang"]).alias("lang"), F.when(sure, n).otherwise(0).alias("hits"))
 
-    return let(let(words(text), rank), judge)
+    every = F.array(*[F.lit(w) for w in sorted({w for ws in table.values() for w in ws})])
+    return let(let(words(text), lambda w: F.struct(F.size(w).alias("words"), F.array_intersect(w, every).alias("known"))), judge)
 
 
 def script_vote(text: Column, function_words: dict | None = None) -> Column:
@@ -136,7 +138,7 @@ def script_vote(text: Column, function_words: dict | None = None) -> Column:
 
 
 def lexical(text: Column) -> Column:
-    latin = F.filter(F.regexp_extract_all(text, F.lit("[A-Za-zÀ-ɏ]{3,}"), 0), lambda w: ~F.lower(w).isin("hmm", "mmm", "ahh", "ooh", "aah"))
+    latin = F.filter(F.regexp_extract_all(text, F.lit("[A-Za-zÀ-ɏ]{3,}"), 0), lambda w: ~F.lower(w).isin(*NO_WORDS))
     core = F.length(F.regexp_replace(norm(text), f"[{MOANS}]", ""))
     return F.when(script_of(text) == "latin", F.size(latin) >= 2).otherwise(core >= 4)
 
@@ -282,7 +284,7 @@ def wrap_lines(text: Column, width: int = 42) -> Column:
 
     def scored(k: Column) -> Column:
         a, b = F.array_join(F.slice(w, 1, k), " "), F.array_join(F.slice(w, k + 1, F.size(w)), " ")
-        small = F.lower(F.get(w, k - 1)).isin("the", "a", "an", "to", "of", "and", "or", "in", "on", "at", "for", "with")
+        small = F.lower(F.get(w, k - 1)).isin(*SMALL_WORDS)
         score = F.abs(F.length(a) - F.length(b)) - F.when(a.rlike("[,.;:!?—]$"), 6).otherwise(0) + F.when(small, 8).otherwise(0)
         return F.struct(score.alias("score"), k.alias("k"), F.array(a, b).alias("lines"))
 
@@ -291,28 +293,57 @@ def wrap_lines(text: Column, width: int = 42) -> Column:
     return F.when(F.length(t) <= width, F.array(t)).otherwise(F.array_min(fitting)["lines"])
 
 
-def slug(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", "-"), "^-+|-+$", "")
+def language_of_text(text: Column, least: int = 200, hits: int = 10) -> Column:
+    """The language of a subtitle text by its lines of dialogue: by script, or by ``hits`` function words; null if it says too little."""
+    lines = F.filter(F.split(text, r"\r\n|\r|\n"), lambda x: (F.trim(x) != "") & ~F.trim(x).rlike(r"^\d+$") & ~x.contains("-->"))
+
+    def judge(body: Column) -> Column:
+        return let(F.struct(script_of(body).alias("s"), F.length(body).alias("n"), text_language(body).alias("t")), lambda x: F.when(x["n"] < least, F.lit(None).cast("string")).when(x["s"].isin("ja", "th", "ko"), x["s"]).when(x["s"] == "han", "zh").when(x["s"] == "greek", "el").when((x["s"] == "latin") & (x["t"]["hits"] >= hits), x["t"]["lang"]))
+
+    return let(F.array_join(lines, " "), judge)
+
+
+def code_from_name(name: Column) -> Column:
+    """The code of a language's English name or code; null for others."""
+    table = {v.lower(): k for k, v in languages.NAMES.items()} | {"mandarin": "zh", "cantonese": "yue", "chinese": "zh"}
+    s = F.lower(F.trim(name))
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), s), F.when(s.isin(*languages.NAMES), s))
 
 
-# Register by language, class, value and pattern; the caller's table may replace it. Case counts where the flag is set.
-REGISTER = [
-    ("fr", "tv", "tu", r"\b(?:tu|toi|te)\b|\bt'", False),
-    ("fr", "tv", "vous", r"\b(?:vous|votre|vos)\b", False),
-    ("de", "tv", "du", r"\b(?:du|dich|dir|dein|deine|deinen|deiner|deinem|deines)\b", True),
-    ("de", "tv", "sie", r"\b(?:Sie|Ihnen|Ihr|Ihre|Ihren|Ihrer|Ihrem)\b", True),
-    ("es", "tv", "tu", r"\b(?:tú|te|ti|contigo)\b", False),
-    ("es", "tv", "usted", r"\b(?:usted|ustedes)\b", False),
-]
+def safe_stem(name: Column, most: int = 150) -> Column:
+    """A name for files: letters, digits, - _ . and _ for all others, up to ``most`` bytes of whole characters."""
+    safe = F.regexp_replace(name, r"[^\p{L}\p{N}_.-]", "_")
+    cut = F.substring(safe.cast("binary"), 1, most)
+    return F.when(F.octet_length(safe) <= most, safe).otherwise(_whole(safe, cut))
+
+
+def _whole(safe: Column, cut: Column) -> Column:
+    """The longest start of safe whose bytes are within cut: a start of as many characters, or of up to three fewer."""
+    n = F.length(F.regexp_replace(F.hex(cut), "[89AB][0-9A-F]|([0-7C-F][0-9A-F])", "$1")) / 2  # the first bytes of characters
+    return F.when(F.octet_length(F.left(safe, n.cast("int"))) <= F.octet_length(cut), F.left(safe, n.cast("int"))).otherwise(F.left(safe, n.cast("int") - 1))
+
+
+def slug(text: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", "-"), "^-+|-+$", "")
 
 
 def register(text: Column, lang: str, cls: str, table=REGISTER) -> Column:
-    """array<string>: the values of the class that a line shows."""
+    """array<string>: the values of the class that a line shows; politeness is read off what is behind the last slash."""
     flat = F.trim(F.replace(text, F.lit("\n"), F.lit(" ")))
+    flat = F.trim(F.element_at(F.split(flat, "/"), -1)) if cls == "polite" else flat
     shown = [F.when(flat.rlike(("(?U)" if case else "(?iU)") + p), v) for la, c, v, p, case in table if (la, c) == (lang, cls)]
     return F.array_compact(F.array(*shown)) if shown else F.array().cast("array<string>")
 
 
+def features(text: Column, lang: Column, table=REGISTER) -> Column:
+    """map<class, values>: what a line in its language shows; null for languages without register."""
+    out = None
+    for la in dict.fromkeys(x[0] for x in table):
+        shown = F.map_from_entries(F.filter(F.array(*[F.struct(F.lit(c).alias("class"), register(text, la, c, table).alias("values")) for c in dict.fromkeys(x[1] for x in table if x[0] == la)]), lambda e: F.size(e["values"]) > 0))
+        out = F.when(lang == la, shown) if out is None else out.when(lang == la, shown)
+    return out
+
+
 def clean_reply(text: Column, labels: tuple[str, ...] = ("reconciled transcript", "transcript")) -> Column:
     """A model's reply without thoughts, label, outer quotes, and spaces between CJK characters."""
     s = F.trim(F.regexp_replace(text, r"(?s)<think>.*?</think>\s*", ""))

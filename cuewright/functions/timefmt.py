@@ -18,6 +18,12 @@ def clock(sec: Column) -> Column:
     return F.format_string("%d:%02d:%02d", F.floor(s / 3600), F.floor(s / 60) % 60, s % 60)
 
 
+def minutes(sec: Column) -> Column:
+    """MM:SS, whole seconds downwards; minutes may pass 59."""
+    s = F.floor(sec).cast("long")
+    return F.format_string("%02d:%02d", F.floor(s / 60), s % 60)
+
+
 def parse_time(text: Column) -> Column:
     """Seconds of [[h:]m:]s."""
     return F.aggregate(F.split(text, ":"), F.lit(0.0), lambda a, x: a * 60 + x.cast("double"))

@@ -83,10 +83,60 @@ def k10_gate_report(spark, sf):
     return a.join(b, ["file_id", "idx"]).groupBy("before", "after").agg(F.count("*").alias("cues"))
 
 
+def two_engines(spark, sf) -> DataFrame:
+    """Cues as chunks heard by two engines: file_id, chunk, start, end, primary and secondary (words), a and b (their texts).
+
+    The second engine says some words otherwise and is a tenth of a second late; in some chunks one of them hears nothing."""
+    c = cues(spark, sf)
+    w = F.filter(F.split("src", r"\s+"), lambda x: x != "")
+    d = (F.col("e") - F.col("s")) / F.greatest(F.size(w), F.lit(1))
+    told = lambda late, change: F.transform(w, lambda x, k: F.struct(change(x).alias("text"), (F.col("s") + d * k + late).alias("s"), (F.col("s") + d * (k + 1) + late).alias("e")))
+    none = F.array().cast("array<struct<text:string,s:double,e:double>>")
+    other = lambda x: F.when(F.pmod(F.xxhash64(x), F.lit(5)) == 0, F.concat(F.lit("x"), x)).otherwise(x)
+    c = c.withColumn("primary", F.when(F.col("idx") % 11 == 4, none).otherwise(told(0.0, lambda x: x))).withColumn("secondary", F.when(F.col("idx") % 11 == 7, none).otherwise(told(0.1, other)))
+    text = lambda x: F.array_join(F.transform(x, lambda r: r["text"]), " ")
+    return c.select("file_id", F.col("idx").alias("chunk"), F.col("s").alias("start"), F.col("e").alias("end"), "primary", "secondary", text("primary").alias("a"), text("secondary").alias("b"))
+
+
+def transferred(df: DataFrame, lang: str = "en") -> DataFrame:
+    """df: file_id, chunk, start, end, primary, secondary, merged. file_id, chunk, pos, text, s, e of the merged texts' words."""
+
+    def step(rows: list[dict]):
+        for r in rows:
+            for k, w in enumerate(sq.transfer_timing(r["merged"] or "", r["primary"], r["secondary"], r["start"], r["end"], lang)):
+                yield w | {"file_id": r["file_id"], "chunk": r["chunk"], "pos": k}
+
+    return sq.fold(df, ["file_id", "chunk"], [], step, "file_id long, chunk long, pos long, text string, s double, e double")
+
+
+def e20_transfer_timing(spark, sf):
+    """The second engine's text, timed by the first engine's words where they agree and its own elsewhere."""
+    return transferred(two_engines(spark, sf).withColumn("merged", F.col("b")))
+
+
+def merge_chunks(df: DataFrame, model=None) -> DataFrame:
+    """df: as two_engines gives. The verdict on each chunk with the merged text: the first engine's where they agree or it alone
+    speaks, the second's where that alone does, else the reconciling model's reply, which is dropped if it is empty or three times
+    as long as both."""
+    n = lambda c: F.length(tx.norm(F.col(c)))
+    judged = te.decide(df)
+    open_ = judged.filter("verdict = 'reconcile'").withColumn("src", F.concat_ws(" ", "a", "b"))
+    reply = pr.apply_model(open_.select("file_id", "chunk", "a", "b", "src"), model or pr.REGISTRY["reconciler"], "file_id long, chunk long, a string, b string, src string, tgt string")
+    good = (n("tgt") > 0) & (n("tgt") <= 3 * F.greatest(n("a"), n("b")))
+    reply = reply.select("file_id", "chunk", F.when(good, tx.clean_reply(F.col("tgt"))).alias("reply"))
+    out = judged.join(reply, ["file_id", "chunk"], "left")
+    merged = F.when(F.col("verdict") == "second", F.col("b")).otherwise(F.coalesce("reply", "a"))
+    first = F.col("verdict") != "second"
+    side = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
+    return out.select("file_id", "chunk", "start", "end", "verdict", merged.alias("merged"), side("primary", "secondary").alias("primary"), side("secondary", "primary").alias("secondary"))
+
+
 def k11_merge(spark, sf):
-    """Two engines' texts by chunk, the verdict, and the evidence lines that a reconciling model would see."""
-    d = te.h9_decide(spark, sf)
-    return d.groupBy("verdict").agg(F.count("*").alias("chunks"))
+    """Two engines' chunks merged and timed: the words of each file, and how its chunks were decided."""
+    merged = merge_chunks(two_engines(spark, sf))
+    words = transferred(merged).groupBy("file_id").agg(F.count("*").alias("words"), F.round(F.sum(F.col("e") - F.col("s")), 3).alias("seconds"))
+    verdicts = merged.groupBy("file_id").agg(*[F.count_if(F.col("verdict") == v).alias(v) for v in ("agree", "first", "second", "reconcile")])
+    return verdicts.join(words, "file_id", "left")
 
 
 def k12_words_to_cues(spark, sf):
@@ -95,7 +145,7 @@ def k12_words_to_cues(spark, sf):
     turns = cues(spark, sf).select("file_id", F.col("idx").alias("pos"), "s", "e", "speaker")
     labelled = ti.label_words(w.drop("speaker"), turns, ["file_id"]).withColumnRenamed("label", "speaker").drop("verdict")
     built = sq.fold(labelled.select("file_id", "pos", "s", "e", "text", "lang", "speaker"), ["file_id"], ["pos"], sq.words_to_cues, "file_id long, idx long, s double, e double, text string, lang string, speaker string")
-    kept = te.gate(built.withColumnRenamed("text", "src").withColumn("speech", F.lit(0.6))).filter("verdict = 'kept'")
+    kept = te.gate(built.withColumnRenamed("text", "src").withColumn("speech", F.lit(0.6))).filter("new_idx is not null").drop("idx").withColumn("idx", F.col("new_idx").cast("long"))
     timed = sq.fold(kept.select("file_id", "idx", "s", "e", "src", "speaker"), ["file_id"], ["idx"], sq.normal_timing, "file_id long, idx long, s double, e double, src string, speaker string")
     return timed.groupBy("file_id").agg(F.count("*").alias("cues"), F.countDistinct("speaker").alias("voices"), F.round(F.sum(F.col("e") - F.col("s")), 3).alias("seconds"))
 
@@ -153,27 +203,36 @@ def c6_split_labels(spark, sf):
     return pieces.join(best, ["file_id", "pos"], "left").groupBy("file_id").agg(F.count("*").alias("pieces"), F.count("who").alias("voiced"))
 
 
+def covered_chunks(frames: DataFrame, spans_: DataFrame, **rules) -> DataFrame:
+    """frames: file_id, frame (dense from 0), level; spans_: file_id, s, e, lang. file_id, chunk, s, e, lang: the chunks of each file."""
+    import numpy as np
+
+    told = F.array_sort(F.collect_list(F.struct("s", "e", F.coalesce("lang", F.lit("")).alias("lang")))).alias("spans")
+    level = F.transform(F.array_sort(F.collect_list(F.struct("frame", "level"))), lambda x: x["level"]).alias("level")
+    j = frames.groupBy("file_id").agg(level).join(spans_.groupBy("file_id").agg(told), "file_id", "left")
+
+    def step(rows: list[dict]):
+        for r in rows:
+            frame = rules.get("frame", 0.1)
+            for c in sq.cover_chunks(np.array(r["level"]), r["spans"] or [], len(r["level"]) * frame, **rules):
+                yield c | {"file_id": r["file_id"]}
+
+    return sq.fold(j, ["file_id"], [], step, "file_id long, chunk long, s double, e double, lang string")
+
+
 def e10_cover_chunks(spark, sf):
-    """Quiet runs of frames split the time line into active stretches, cut to ten minutes."""
-    f = spans(spark, sf).select("file_id", F.floor(F.col("s") / 600).alias("frame"), "conf").groupBy("file_id", "frame").agg(F.max("conf").alias("level"))
-    w = Window.partitionBy("file_id").orderBy("frame")
-    runs = sq.islands(f.filter("level >= 0.2"), ["file_id"], ["frame"], lambda w: F.col("frame") - F.lag("frame").over(w) > 3)
-    del w
-    a = runs.groupBy("file_id", "run").agg(F.min("frame").alias("a"), (F.max("frame") + 1).alias("z"))
-    cut = a.select("file_id", F.posexplode(F.sequence("a", F.col("z") - 1, F.lit(6))).alias("k", "start"), "z")
-    return cut.select("file_id", "start", F.least(F.col("start") + 6, "z").alias("end"))
+    """Each file's first day in frames of a minute (loudness by the spans that are on), covered in chunks of up to two hours."""
+    s = spans(spark, sf)
+    s = s.withColumn("first", F.min("s").over(Window.partitionBy("file_id"))).withColumn("s", F.col("s") - F.col("first")).withColumn("e", F.col("e") - F.col("first")).filter("s < 86400")
+    on = s.select("file_id", F.explode(F.sequence(F.floor(F.col("s") / 60), F.floor(F.col("e") / 60))).alias("frame"), "conf").groupBy("file_id", "frame").agg(F.max("conf").alias("level"))
+    every = s.groupBy("file_id").agg(F.floor(F.max("e") / 60).alias("last")).select("file_id", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("frame"))
+    frames = every.join(on, ["file_id", "frame"], "left").withColumn("level", F.coalesce("level", F.lit(0.0)) + 0.01)
+    return covered_chunks(frames, s, frame=60.0, longest=7200.0, quiet_sec=1800.0, pad=15.0)
 
 
-def e20_transfer_timing(spark, sf):
-    """Merged text's characters timed by interpolation between those that are known."""
-    ch = se.e19_all_characters(spark, sf)
-    known = F.when((F.col("k") % 3 == 0) | (F.col("k") == 0), F.col("start_ms"))
-    x = ch.withColumn("t", known).withColumn("at", F.when(F.col("t").isNotNull(), F.col("k")))
-    w = Window.partitionBy("file_id", "idx").orderBy("k")
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-    a, b, i, j = F.last("t", True).over(back), F.first("t", True).over(ahead), F.last("at", True).over(back), F.first("at", True).over(ahead)
-    part = F.coalesce(F.try_divide(F.col("k") - i, j - i), F.lit(0.0))
-    return x.select("file_id", "idx", "k", F.round(a + (F.coalesce(b, a) - a) * part).cast("long").alias("ms"))
+def e17_split_long(spark, sf):
+    """Cues cut into parts that fit two lines, which share the time by their characters."""
+    return split_long(cues(spark, sf).withColumnRenamed("src", "text")).select("file_id", "idx", ti.ms("s").alias("start_ms"), ti.ms("e").alias("end_ms"), "text")
 
 
 def s_star_rollup(spark, sf):
@@ -199,7 +258,6 @@ SQL = {
     "k7_scan": _sql("select lang, count(distinct file_id) as files, count(*) as spans, cast(round(sum(e - s) * 1000) as bigint) as speech_ms from spans group by lang"),
     "k9_why": _sql("select file_id, cast(count(*) as int) as n, cast(count(distinct speaker) as int) as voices, cast(count(*) filter (conf < 0.1) as int) as unsure from spans group by file_id"),
     "j7_routing": "select distinct lang as src, 'th' as tgt, case when lang = 'fr' then 'french-thai' else 'to-thai' end as preset from documents",
-    "e10_cover_chunks": _sql("select file_id, st as start, least(st + 6, z) as end from (select file_id, z, unnest(generate_series(a, z - 1, 6)) as st from (select file_id, run, min(frame) as a, max(frame) + 1 as z from (select *, sum(o) over (partition by file_id order by frame) as run from (select *, case when frame - lag(frame) over (partition by file_id order by frame) <= 3 then 0 else 1 end as o from (select file_id, cast(floor(s / 600) as bigint) as frame, max(conf) as level from spans group by all) where level >= 0.2)) group by file_id, run))"),
     "s_star_rollup": "select l_returnflag, l_linestatus, count(*) as n, cast(round(sum(l_extendedprice * (1 - l_discount)), 0) as bigint) as revenue from lineitem group by rollup (l_returnflag, l_linestatus)",
     "s_star_join": "select n_name, count(*) as orders, cast(round(sum(o_totalprice), 0) as bigint) as total from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey group by n_name",
 }

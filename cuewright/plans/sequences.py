@@ -34,8 +34,9 @@ def e7_repeat_run(spark, sf):
     return kept.select("file_id", "pos", (F.row_number().over(_order("s", "pos")) - 1).alias("idx"))
 
 
-def smooth(df: DataFrame, strong: float = 0.6, least: int = 2, reach: int = 6) -> DataFrame:
-    """df: file_id, i, lang, confident, margin, speaker. Weak short runs of a minor language become the dominant one; then
+def smooth(df: DataFrame, strong: float = 0.6, least: int = 2, reach: int = 6, seconds: tuple[float, float] | None = None) -> DataFrame:
+    """df: file_id, i, lang, confident, margin, speaker, and with ``seconds`` speech. A run stays if it has ``least`` rows or is strong
+    throughout; with ``seconds`` if it has so much speech, or the second number where it is strong. Weak short runs of a minor language become the dominant one; then
     unsure rows take the nearest sure row of their voice within reach, else the nearest; ties go to the earlier. Dominance
     ties go to the language seen first."""
     w = sq.ordered(CUE, ["i"])
@@ -44,7 +45,11 @@ def smooth(df: DataFrame, strong: float = 0.6, least: int = 2, reach: int = 6) -
     dominant = by.groupBy("file_id").agg(F.min(F.struct(-F.col("n"), "first", "lang"))["lang"].alias("dominant"))
     df = sq.islands(df.withColumn("sure", sure).join(dominant, "file_id", "left"), CUE, ["i"], lambda w: ~(F.col("sure") & F.lag("sure").over(w) & F.col("lang").eqNullSafe(F.lag("lang").over(w))))
     run = Window.partitionBy("file_id", "run")
-    keep = (F.count("*").over(run) >= least) | (F.min("margin").over(run) >= strong)
+    sure_of = F.min("margin").over(run) >= strong
+    keep = (F.count("*").over(run) >= least) | sure_of
+    if seconds:
+        have = F.sum("speech").over(run)
+        keep = (have >= seconds[0]) | sure_of & (have >= seconds[1])
     df = df.withColumn("new", F.when(~F.col("sure"), None).when((F.col("lang") != F.col("dominant")) & ~keep, F.col("dominant")).otherwise(F.col("lang")))
     anchor = F.when(F.col("sure"), F.struct("i", "new"))
 
@@ -81,16 +86,6 @@ def e13_fill(spark, sf):
     return df.select("file_id", "pos", sq.fill(F.col("known"), _order("s", "pos")).alias("lang"))
 
 
-def e14_context(spark, sf):
-    """Tumbling windows of three cues of one speaker role with up to two earlier lines as context."""
-    w = _order("idx")
-    df = cues(spark, sf).withColumn("line", F.left("src", F.lit(12))).withColumn("win", F.floor((F.row_number().over(w) - 1) / 3))
-    before = F.collect_list("line").over(w.rowsBetween(-2, -1))
-    df = df.withColumn("before", F.array_join(before, "|"))
-    out = df.groupBy("file_id", "win").agg(F.count("*").alias("n"), F.min(F.struct("idx", "before"))["before"].alias("context"))
-    return out.select("file_id", F.col("win").cast("long").alias("win"), "n", "context")
-
-
 def context_windows(df: DataFrame, size: int = 20, before: int = 8, after: int = 3) -> DataFrame:
     """df: file_id, idx, lang, src, tgt. Windows of up to ``size`` cues, which end where the language changes: file_id, win, lang, n,
     before (source and translation of those of the ``before`` cues ahead that have one), after (the next ``after`` sources)."""
@@ -104,6 +99,13 @@ def context_windows(df: DataFrame, size: int = 20, before: int = 8, after: int =
     return g.select("file_id", (F.row_number().over(_order("first")) - 1).alias("win"), "lang", "n", "before", "after")
 
 
+def e14_context(spark, sf):
+    """Windows of up to 20 cues of one role, with the eight lines before (those that have a translation) and the three after."""
+    c = cues(spark, sf).select("file_id", "idx", F.when(F.col("idx") % 7 < 5, F.lit("a")).otherwise("b").alias("lang"), "src", F.when(F.col("idx") % 4 != 0, F.col("src")).alias("tgt"))
+    x = context_windows(c, 4)
+    return x.select("file_id", "win", "lang", "n", F.array_join(F.transform("before", lambda b: F.md5(b["tgt"])), "|").alias("before"), F.array_join(F.transform("after", F.md5), "|").alias("after"))
+
+
 def e14_windows(spark, sf):
     """Translation windows of all cues with whole lines; the language is that of the function words."""
     c = cues(spark, sf).withColumn("lang", tx.text_language(F.col("src"))["lang"]).select("file_id", "idx", "lang", "src")
@@ -126,11 +128,6 @@ def characters(cue: DataFrame) -> DataFrame:
 
 
 def e19_characters(spark, sf):
-    """The first 40 characters of each file's first cue; e19_all_characters has the others."""
-    return characters(cues(spark, sf).filter("idx = 0").withColumn("src", F.left("src", F.lit(40)))).drop("idx")
-
-
-def e19_all_characters(spark, sf):
     return characters(cues(spark, sf))
 
 
@@ -160,11 +157,11 @@ def e25_stretches(spark, sf):
 
 
 def words(spark: SparkSession, sf: str) -> DataFrame:
-    """The first 40 words of each cue with linear times."""
-    c = cues(spark, sf).select("file_id", "s", "e", "idx", "speaker", F.slice(F.split("src", r"\s+"), 1, 40).alias("w"))
+    """All words of each cue with linear times; lo and hi are the cue's bounds."""
+    c = cues(spark, sf).select("file_id", "s", "e", "idx", "speaker", F.filter(F.split("src", r"\s+"), lambda x: x != "").alias("w"))
     x = c.select("file_id", "idx", "s", "e", "speaker", F.size("w").alias("n"), F.posexplode("w").alias("k", "text"))
     d = (F.col("e") - F.col("s")) / F.col("n")
-    return x.select("file_id", (F.col("idx") * 100 + F.col("k")).alias("pos"), (F.col("s") + d * F.col("k")).alias("s"), (F.col("s") + d * (F.col("k") + 1)).alias("e"), "text", F.lit("en").alias("lang"), "speaker")
+    return x.select("file_id", (F.col("idx") * 1_000_000 + F.col("k")).alias("pos"), (F.col("s") + d * F.col("k")).alias("s"), (F.col("s") + d * (F.col("k") + 1)).alias("e"), "text", F.lit("en").alias("lang"), "speaker", F.col("s").alias("lo"), F.col("e").alias("hi"))
 
 
 def e4_build_cues(spark, sf):
@@ -179,7 +176,7 @@ def e16_push(spark, sf):
     return sq.fold(spans(spark, sf).select("file_id", "pos", "s", "e"), CUE, ["s", "pos"], sq.pushed_starts, "file_id long, pos long, s double, e double")
 
 
-def e17_split_long(spark, sf):
+def e17_sentences(spark, sf):
     """Sentences of a cue share its time by their lengths."""
     c = cues(spark, sf).select("file_id", "idx", "s", "e", F.filter(F.transform(F.split("src", r"[.\n]"), lambda x: F.trim(x)), lambda x: x != "").alias("parts"))
     total = F.aggregate("parts", F.lit(0), lambda a, x: a + F.length(x))
@@ -191,8 +188,9 @@ def e17_split_long(spark, sf):
 
 
 def e18_repair(spark, sf):
+    """Words of each cue, every seventh of which has lost its length, put right within the cue."""
     bad = words(spark, sf).withColumn("e", F.when(F.col("pos") % 7 == 0, F.col("s")).otherwise(F.col("e")))
-    return sq.fold(bad, CUE, ["pos"], sq.spread_runs, "file_id long, pos long, s double, e double, text string")
+    return sq.fold(bad, [*CUE, "lo"], ["pos"], sq.spread_runs, "file_id long, pos long, s double, e double, text string, moved boolean")
 
 
 def e26_chunks(spark, sf):
@@ -215,10 +213,18 @@ def d13_repeat_share(spark, sf):
 CAPITALS = "[A-ZÀ-Ý][a-zà-ÿ]{2,}"
 
 
+KATAKANA = "[ァ-ヴー・]{3,}"  # fixed value: runs that may be names
+
+
+def candidates(df: DataFrame, key: str = "lang") -> DataFrame:
+    """df: key, text. Capitalised words and runs of katakana, and how often they stand under each key."""
+    found = F.concat(F.regexp_extract_all("text", F.lit(CAPITALS), 0), F.regexp_extract_all("text", F.lit(KATAKANA), 0))
+    return df.select(key, F.explode(found).alias("term")).groupBy(key, "term").agg(F.count("*").alias("n"))
+
+
 def d14_candidates(spark, sf):
-    """Capitalised words and how often they stand in each language's documents."""
-    t = read(spark, sf, "documents").select("lang", F.explode(F.regexp_extract_all("text", F.lit(CAPITALS), 0)).alias("term"))
-    return t.groupBy("lang", "term").agg(F.count("*").alias("n"))
+    ja = spark.createDataFrame([("ja", "ルパンはカリオストロ・シロへ行く。ルパン。アイ")], "lang string, text string")
+    return candidates(read(spark, sf, "documents").select("lang", "text").unionByName(ja))
 
 
 def d15_count_in(spark, sf):
@@ -226,14 +232,20 @@ def d15_count_in(spark, sf):
     return read(spark, sf, "documents").select("doc_id", *[((F.length(t) - F.length(F.replace(t, F.lit(x), F.lit("")))) / len(x)).cast("long").alias(f"n_{x}") for x in ("the", "ou", "en")])
 
 
+def select_terms(c: DataFrame, key: str = "lang", most: int = 60) -> DataFrame:
+    """c: key, term, n. Terms seen twice at least that are no fragment of a longer one as frequent; the ``most`` most frequent of each key."""
+    o = c.select(F.col(key).alias("_key"), F.col("term").alias("longer"), F.col("n").alias("m"))
+    # A fragment's first three letters are some three letters of the longer term.
+    grams = o.select("_key", "longer", "m", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("longer") - 2), lambda i: F.substr(F.col("longer"), i, F.lit(3))))).alias("g"))
+    met = c.filter("n >= 2").withColumn("g", F.left("term", F.lit(3))).join(grams.withColumnRenamed("g", "_g"), (F.col("g") == F.col("_g")) & (F.col(key) == F.col("_key")))
+    inside = met.filter((F.col("term") != F.col("longer")) & F.col("longer").contains(F.col("term")) & (F.col("n") <= F.col("m"))).select(key, "term").distinct()
+    kept = c.filter("n >= 2").join(inside, [key, "term"], "left_anti")
+    place = F.row_number().over(Window.partitionBy(key).orderBy(F.col("n").desc(), "term"))
+    return kept.withColumn("place", place).filter(F.col("place") <= most).drop("place")
+
+
 def d16_select_terms(spark, sf):
-    """Terms seen twice at least that are no fragment of a longer one as frequent; the sixty most frequent."""
-    c = d14_candidates(spark, sf).filter("lang = 'es'").select("term", "n")
-    o = c.select(F.col("term").alias("longer"), F.col("n").alias("m"))
-    # Fragments share a start of three letters with the longer term or stand inside it: candidates are few, one language's names.
-    grams = o.select("longer", "m", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("longer") - 2), lambda i: F.substr(F.col("longer"), i, F.lit(3))))).alias("g"))
-    inside = c.withColumn("g", F.left("term", F.lit(3))).join(grams, "g").filter((F.col("term") != F.col("longer")) & F.col("longer").contains(F.col("term")) & (F.col("n") <= F.col("m"))).select("term").distinct()
-    return c.filter("n >= 2").join(inside, "term", "left_anti").orderBy(F.col("n").desc(), "term").limit(60)
+    return select_terms(d14_candidates(spark, sf))
 
 
 def d20_same_time(spark, sf):
@@ -348,6 +360,7 @@ _SMOOTH = """d as (select file_id, i, lang, conf, speaker, conf >= 0.4 as sure f
 dom as (select file_id, lang as dominant from (select file_id, lang, row_number() over (partition by file_id order by count(*) desc, min(i)) as k from d where sure group by file_id, lang) where k = 1),
 r as (select *, sum(o) over (partition by file_id order by i) as run from (select d.*, dominant, case when sure and lag(sure) over w and lang is not distinct from lag(lang) over w then 0 else 1 end as o from d left join dom using (file_id) window w as (partition by file_id order by i))),
 k as (select *, case when not sure then null when lang <> dominant and not (count(*) over (partition by file_id, run) >= 2 or min(conf) over (partition by file_id, run) >= 0.6) then dominant else lang end as new from r)"""
+_TERMS = "c as (select lang, term, count(*) as n from (select lang, unnest(list_concat(regexp_extract_all(text, '[A-ZÀ-Ý][a-zà-ÿ]{2,}'), regexp_extract_all(text, '[ァ-ヴー・]{3,}'))) as term from (select lang, text from documents union all select 'ja', 'ルパンはカリオストロ・シロへ行く。ルパン。アイ')) group by all)"
 SQL = {
     "e6_identical_merge": _sql("select file_id, run, min(lang) as lang, cast(round(min(s) * 1000) as bigint) as start_ms, cast(round(max(e) * 1000) as bigint) as end_ms from (select *, sum(o) over (partition by file_id order by s, pos) as run from (select *, case when lang = lag(lang) over w and s <= lag(e) over w + 1800 then 0 else 1 end as o from spans window w as (partition by file_id order by s, pos))) group by file_id, run"),
     "e7_repeat_run": _sql("select file_id, pos, row_number() over (partition by file_id order by s, pos) - 1 as idx from (select *, row_number() over (partition by file_id, run order by s, pos) as k from (select *, sum(o) over (partition by file_id order by s, pos) as run from (select *, case when speaker = lag(speaker) over (partition by file_id order by s, pos) then 0 else 1 end as o from spans))) where k <= 2"),
@@ -355,23 +368,25 @@ SQL = {
     "e12_refine": _sql("select file_id, split, score from (select *, row_number() over (partition by file_id order by score desc, split) as k from (select file_id, i as split, cast(sum(pa) over (partition by file_id order by i) + coalesce(sum(pb) over (partition by file_id order by i rows between 1 following and unbounded following), 0) as bigint) as score from x union all select file_id, 0, cast(sum(pb) as bigint) from x group by file_id)) where k = 1",
         "x as (select file_id, row_number() over (partition by file_id order by s, pos) as i, case when lang = 'view' then floor(conf * 100) else 0 end as pa, case when lang = 'click' then floor(conf * 100) else 0 end as pb from spans)"),
     "e13_fill": _sql("select file_id, pos, coalesce(last_value(k ignore nulls) over (partition by file_id order by s, pos rows unbounded preceding), first_value(k ignore nulls) over (partition by file_id order by s, pos rows between current row and unbounded following)) as lang from (select *, case when conf >= 0.4 then lang end as k from spans)"),
-    "e14_context": _sql("select file_id, win, count(*) as n, arg_min(before, idx) as context from (select file_id, idx, cast((row_number() over (partition by file_id order by idx) - 1) // 3 as bigint) as win, coalesce(array_to_string(list(left(src, 12)) over (partition by file_id order by idx rows between 2 preceding and 1 preceding), '|'), '') as before from cues) group by file_id, win"),
+    "e14_context": _sql("""select file_id, row_number() over (partition by file_id order by min(idx)) - 1 as win, min(lang) as lang, count(*) as n, arg_min(before, idx) as before, arg_max(after, idx) as after from (
+      select *, (row_number() over (partition by file_id, run order by idx) - 1) // 4 as part from (select *, sum(o) over (partition by file_id order by idx) as run from m)) group by file_id, run, part""",
+        """m as (select *, case when lang = lag(lang) over w then 0 else 1 end as o, coalesce(array_to_string(list_transform(list_filter(list(tgt) over (w rows between 8 preceding and 1 preceding), lambda x: x <> ''), lambda x: md5(x)), '|'), '') as before,
+      coalesce(array_to_string(list_transform(list(src) over (w rows between 1 following and 3 following), lambda x: md5(x)), '|'), '') as after from (select *, case when idx % 7 < 5 then 'a' else 'b' end as lang, case when idx % 4 <> 0 then src end as tgt from cues) window w as (partition by file_id order by idx))"""),
     "e15_extend": _sql("select file_id, idx, cast(round((case when e2 <= s then s + 0.5 else e2 end) * 1000) as bigint) as end_ms from (select *, case when e1 - s > 7 then s + 7 else e1 end as e2 from (select *, case when e - s < need then least(coalesce(nxt, 1e12) - 0.083, s + need) else e end as e1 from (select *, lead(s) over (partition by file_id order by idx) as nxt, greatest(1.0, length(src) / 21.0) as need from cues)))"),
-    "e19_characters": _sql("select file_id, cast(k as int) as k, w[k + 1] as ch, cast(round((s + (e - s) * k / length(w)) * 1000) as bigint) as start_ms from (select *, unnest(generate_series(0, length(w) - 1)) as k from (select *, left(src, 40) as w from cues where idx = 0))"),
-    "e19_all_characters": _sql("select file_id, idx, cast(k as int) as k, src[k + 1] as ch, cast(round((s + (e - s) * k / length(src)) * 1000) as bigint) as start_ms from (select *, unnest(generate_series(0, length(src) - 1)) as k from cues)"),
+    "e19_characters": _sql("select file_id, idx, cast(k as int) as k, src[k + 1] as ch, cast(round((s + (e - s) * k / length(src)) * 1000) as bigint) as start_ms from (select *, unnest(generate_series(0, length(src) - 1)) as k from cues)"),
     "e22_changes": _sql("select file_id, count(*) filter (v) as speaker_changes, count(*) filter (t) as language_changes from (select file_id, speaker <> lag(speaker) over w as v, lang <> lag(lang) over w as t from spans window w as (partition by file_id order by s, pos)) group by file_id"),
     "e23_bins": _sql("select file_id, cast(floor((s + e) / 2 / 60) as bigint) as bin, string_agg(cast(length(src) as varchar), ' ' order by idx) as lengths from cues group by all"),
     "e24_minutes": _sql("select file_id, cast(floor(s / 60) as bigint) as bin, string_agg(cast(length(src) as varchar), ' ' order by idx) as lengths from cues group by all"),
     "e25_stretches": _sql("select file_id, count(*) as n, string_agg(cast(pos as varchar), ' ' order by s, pos) as members from (select *, sum(o) over (partition by file_id order by s, pos) as run from (select *, case when s - lag(e) over (partition by file_id order by s, pos) < 1200 then 0 else 1 end as o from spans where conf < 0.3)) group by file_id, run"),
-    "e17_split_long": _sql("select file_id, idx, cast(part as int) as part, cast(round((s + coalesce(sum(d + 0.083) over (partition by file_id, idx order by part rows between unbounded preceding and 1 preceding), 0)) * 1000) as bigint) as start_ms, cast(round(d * 1000) as bigint) as length_ms from (select *, greatest(0.3, (e - s - 0.083 * (len(parts) - 1)) * length(parts[part + 1]) / list_sum(list_transform(parts, lambda x: length(x)))) as d from (select *, unnest(generate_series(0, len(parts) - 1)) as part from (select *, list_filter(list_transform(regexp_split_to_array(src, '[.\\n]'), lambda x: trim(x, ' ')), lambda x: x <> '') as parts from cues)))"),
+    "e17_sentences": _sql("select file_id, idx, cast(part as int) as part, cast(round((s + coalesce(sum(d + 0.083) over (partition by file_id, idx order by part rows between unbounded preceding and 1 preceding), 0)) * 1000) as bigint) as start_ms, cast(round(d * 1000) as bigint) as length_ms from (select *, greatest(0.3, (e - s - 0.083 * (len(parts) - 1)) * length(parts[part + 1]) / list_sum(list_transform(parts, lambda x: length(x)))) as d from (select *, unnest(generate_series(0, len(parts) - 1)) as part from (select *, list_filter(list_transform(regexp_split_to_array(src, '[.\\n]'), lambda x: trim(x, ' ')), lambda x: x <> '') as parts from cues)))"),
     "d2_cues_per_role": _sql("select speaker, count(*) as cues, cast(sum(length(src)) as bigint) as chars from cues group by speaker"),
     "d12_noise_floor": _sql("select file_id, round(quantile_cont(conf, 0.05), 6) as p5, round(quantile_cont(conf, 0.8), 6) as p80 from spans group by file_id"),
     "d13_repeat_share": _sql("select lang, round(max(n) / sum(n), 6) as repeat from (select lang, text, count(*) as n from lines where text <> '' group by all) group by lang"),
-    "d14_candidates": _sql("select lang, term, count(*) as n from (select lang, unnest(regexp_extract_all(text, '[A-ZÀ-Ý][a-zà-ÿ]{2,}')) as term from documents) group by all"),
+    "d14_candidates": _sql("select * from c", _TERMS),
     "d15_count_in": "select doc_id, " + ", ".join(f"cast((length(text) - length(replace(text, '{x}', ''))) // {len(x)} as bigint) as n_{x}" for x in ("the", "ou", "en")) + " from documents",
-    "d16_select_terms": _sql("select term, n from c where n >= 2 and not exists (select 1 from c o where o.term <> c.term and contains(o.term, c.term) and c.n <= o.n) order by n desc, term limit 60", "c as (select term, count(*) as n from (select unnest(regexp_extract_all(text, '[A-ZÀ-Ý][a-zà-ÿ]{2,}')) as term from documents where lang = 'es') group by all)"),
+    "d16_select_terms": _sql("select lang, term, n from c where n >= 2 and not exists (select 1 from c o where o.lang = c.lang and o.term <> c.term and contains(o.term, c.term) and c.n <= o.n) qualify row_number() over (partition by lang order by n desc, term) <= 60", _TERMS),
     "d20_same_time": _sql("select file_id, count(*) as runs, max(n) as longest, cast(sum(chars) as bigint) as chars from (select file_id, run, count(*) as n, sum(length(w)) as chars from (select *, sum(o) over (partition by file_id order by pos) as run from (select *, case when t = lag(t) over (partition by file_id order by pos) then 0 else 1 end as o from x)) group by file_id, run having count(*) > 1) group by file_id",
-        "x as (select file_id, idx * 100 + k as pos, floor(s + (e - s) / len(ws) * k) as t, ws[k + 1] as w from (select *, unnest(generate_series(0, len(ws) - 1)) as k from (select *, list_slice(regexp_split_to_array(src, '\\s+'), 1, 40) as ws from cues)))"),
+        "x as (select file_id, idx * 1000000 + k as pos, floor(s + (e - s) / len(ws) * k) as t, ws[k + 1] as w from (select *, unnest(generate_series(0, len(ws) - 1)) as k from (select *, list_filter(regexp_split_to_array(src, '\\s+'), lambda y: y <> '') as ws from cues)))"),
     "d25_share_metrics": "select lang, round(sum(length(regexp_replace(text, '[^0-9]', '', 'g'))) / sum(length(text)), 8) as digit_share, round(sum(length(regexp_replace(text, '[^#$%&*|]', '', 'g'))) / sum(length(text)), 8) as mark_share from documents group by lang",
     "f1_stable_sort": _sql("select file_id, pos, row_number() over (partition by file_id order by s, e, pos) as place from spans"),
     "f3_worst": "select doc_id, abs(length(text) - 1000) as off from documents order by off desc, doc_id limit 15",

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -102,72 +99,6 @@ def log_state(lines: DataFrame, name: Column, state: Column) -> DataFrame:
     return cur.groupBy("file").agg(F.max(F.struct("n", "state"))["state"].alias("state"), F.count("*").alias("events"))
 
 
-def _runs(data: bytes, width: int, height: int) -> list[int]:
-    """Palette indices of a run-length coded bitmap."""
-    out: list[int] = []
-    i = 0
-    while i < len(data):
-        c, i = data[i], i + 1
-        if c:
-            out.append(c)
-            continue
-        if i >= len(data):
-            break
-        f, i = data[i], i + 1
-        if f == 0:
-            out += [0] * (-len(out) % width)
-            continue
-        n = f & 0x3F
-        if f & 0x40:
-            n, i = n << 8 | data[i], i + 1
-        colour = 0
-        if f & 0x80:
-            colour, i = data[i], i + 1
-        out += [colour] * n
-    return (out + [0] * (width * height))[: width * height]
-
-
-def pgs_sets(data: bytes) -> Iterator[dict]:
-    """Composition by composition: time, whether something shows, its size and indices."""
-    i, palette, objects = 0, {}, {}
-    now: dict = {}
-    while i + 13 <= len(data) and data[i : i + 2] == b"PG":
-        pts, kind, size = int.from_bytes(data[i + 2 : i + 6], "big") / 90000, data[i + 10], int.from_bytes(data[i + 11 : i + 13], "big")
-        body, i = data[i + 13 : i + 13 + size], i + 13 + size
-        if kind == 0x16:
-            now = {"t": pts, "objects": body[10] if len(body) > 10 else 0, "ids": [int.from_bytes(body[11 + 8 * k : 13 + 8 * k], "big") for k in range(body[10] if len(body) > 10 else 0)]}
-        elif kind == 0x14:
-            for k in range(2, len(body) - 4, 5):
-                palette[body[k]] = tuple(body[k + 1 : k + 5])
-        elif kind == 0x15 and len(body) >= 4:
-            ident, last = int.from_bytes(body[:2], "big"), body[3]
-            if last & 0x80:
-                objects[ident] = {"w": int.from_bytes(body[7:9], "big"), "h": int.from_bytes(body[9:11], "big"), "data": body[11:]}
-            elif ident in objects:
-                objects[ident]["data"] += body[4:]
-        elif kind == 0x80 and now:
-            first = next((objects[x] for x in now["ids"] if x in objects), None)
-            yield {"t": now["t"], "shows": now["objects"] > 0, "width": first["w"] if first else 0, "height": first["h"] if first else 0, "pixels": sum(palette.get(p, (0, 0, 0, 0))[3] > 0 for p in _runs(first["data"], first["w"], first["h"])) if first and now["objects"] else 0}
-            now = {}
-
-
-def decode_pgs(files: DataFrame, most: int | None = None) -> DataFrame:
-    """files: path, content. path, n, s, e, width, height, pixels (visible) of each bitmap; one that replaces another ends it,
-    as does an empty composition; a stream's last bitmap without an end lasts three seconds. most: so many sets are read."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for path, content in zip(pdf["path"], pdf["content"], strict=True):
-                sets = [x for k, x in enumerate(pgs_sets(content)) if most is None or k < most]
-                for k, x in enumerate(sets):
-                    if x["shows"]:
-                        rows.append((path, k, x["t"], sets[k + 1]["t"] if k + 1 < len(sets) else x["t"] + 3.0, x["width"], x["height"], x["pixels"]))
-            yield pd.DataFrame(rows, columns=["path", "n", "s", "e", "width", "height", "pixels"])
-
-    return files.select("path", "content").mapInPandas(run, "path string, n long, s double, e double, width long, height long, pixels long")
-
-
 def ycbcr_to_rgb(y: Column, cb: Column, cr: Column) -> Column:
     """struct<r, g, b> in integers, BT.601 limited range."""
     c, d, e = 298 * (y - 16), cb - 128, cr - 128

@@ -5,6 +5,7 @@ import struct
 from cuewright.functions import protocols as pr
 from cuewright.plans import composites
 from cuewright.sources import sinks
+from cuewright.sources import pgs
 from cuewright.sources import subtitles as su
 
 
@@ -56,8 +57,32 @@ def test_pgs_stream(spark):
     obj = struct.pack(">HBB", 7, 0, 0xC0) + (len(run) + 4).to_bytes(3, "big") + struct.pack(">HH", 4, 2) + run
     data = _segment(1, 0x16, pcs(1)) + _segment(1, 0x14, palette) + _segment(1, 0x15, obj) + _segment(1, 0x80, b"") + _segment(3, 0x16, pcs(0)) + _segment(3, 0x80, b"")
     files = spark.createDataFrame([("x", bytearray(data))], "path string, content binary")
-    assert [(r.s, r.e, r.width, r.height, r.pixels) for r in su.decode_pgs(files).collect()] == [(1.0, 3.0, 4, 2, 6)]
-    assert su.decode_pgs(files, most=0).collect() == []
+    rows = pgs.decode_pgs(files).collect()
+    white, none = (255, 255, 255, 255), (0, 0, 0, 0)
+    assert [(r.s, r.e, r.width, r.height, r.pixels) for r in rows] == [(1.0, 3.0, 4, 2, 6)]
+    assert [tuple(rows[0].rgba[4 * k : 4 * k + 4]) for k in range(8)] == [white, white, none, none, *[white] * 4]
+    assert [(r.s, r.e) for r in pgs.pgs_intervals(files).collect()] == [(1.0, 3.0)]
+
+
+def test_pgs_crops_palettes_stacks_junk_and_cuts():
+    refs = lambda *objs: b"".join(struct.pack(">HBBHH", o, 0, 0x80 if crop else 0, x, y) + b"\0" * (8 if crop else 0) for o, x, y, crop in objs)
+    pcs = lambda pal, *objs: struct.pack(">HHBHBBBB", 1920, 1080, 16, 1, 0x80, 0, pal, len(objs)) + refs(*objs)
+    obj = lambda o, w, h, code: struct.pack(">HBB", o, 0, 0x80) + (len(code) + 4).to_bytes(3, "big") + struct.pack(">HH", w, h) + code
+    line = lambda w, c: bytes([0, 0x80 | w, c, 0, 0])
+    more = struct.pack(">HBB", 2, 0, 0x40) + line(2, 1)
+    first = [_segment(1, 0x16, pcs(3, (2, 30, 900, True), (1, 20, 50, False))), _segment(1, 0x14, bytes([3, 0, 1, 235, 128, 128, 255, 2, 16, 128, 128, 9])), _segment(1, 0x15, obj(1, 3, 1, line(3, 2))), _segment(1, 0x15, obj(2, 2, 2, line(1, 1))), _segment(1, 0x15, more), _segment(1, 0x80, b"")]
+    second = [_segment(2, 0x16, pcs(9, (1, 0, 0, False))), _segment(2, 0x80, b""), _segment(4, 0x16, pcs(3)), _segment(4, 0x80, b"")]
+    data = b"junk" + b"".join(first) + b"P?" + b"".join(second)
+    a, b = pgs.shown(data)
+    assert (a.start, a.end, b.start, b.end) == (1.0, 2.0, 2.0, 4.0)
+    assert a.image.shape == (1 + 8 + 2, 12, 4) and (a.image[0, :3] == (0, 0, 0, 9)).all() and (a.image[0, 3:] == 0).all()
+    assert (a.image[9, 10] == 255).all() and (a.image[9, 11] == 0).all() and (a.image[10, 10:] == 255).all()
+    assert not b.image[:, :, 3].any()  # its palette was never told
+    assert list(pgs.intervals(data)) == [(1.0, 4.0)]
+    cut = pgs.trimmed(data, 1)
+    assert len(list(pgs.shown(cut))) == 1 and len(cut) < len(data) and pgs.trimmed(data, 5) == data
+    assert (pgs.bitmap(bytes([0, 0x41, 0x02, 7]), 300, 1)[0, 256:260] == (0, 0, 7, 0)).all()
+    assert (pgs.bitmap(bytes([5, 0, 0xC1]), 4, 2) == [[5, 0, 0, 0], [0, 0, 0, 0]]).all() and list(pgs.shown(b"PG" + b"\0" * 20)) == []
 
 
 def test_routes_and_stand_ins(spark):

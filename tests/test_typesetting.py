@@ -12,7 +12,7 @@ def test_parts_fit_and_keep_the_text():
 
 def test_clusters_stay_whole():
     assert ty.slices("กำกำ", 2) == ["กำ", "กำ"] and "".join(ty.slices("สวัสดีครับ", 3)) == "สวัสดีครับ"
-    assert all(not s.startswith("ั") for s in ty.slices("สวัสดีครับ", 3)) and ty.safe_cut("เก", 1) == 2
+    assert all(not s.startswith("ั") for s in ty.slices("สวัสดีครับ", 3)) and ty.slices("เก", 1) == ["เก"] and ty.slices("กเกก", 2) == ["ก", "เก", "ก"]
 
 
 def test_greedy_lines():

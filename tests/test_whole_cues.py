@@ -18,11 +18,13 @@ def folder(spark, tmp_path):
 
 def test_characters_of_every_cue(spark, folder):
     path, text = folder
-    for query in (se.e19_all_characters, composites.e20_transfer_timing):
-        rows = query(spark, path).collect()
-        assert sorted((r.file_id, r.idx, r.k) for r in rows) == sorted((f, i, k) for (f, i), t in text.items() for k in range(len(t)))
-    at = {(r.file_id, r.idx): 0 for r in rows}
-    assert all(r.ms is not None for r in rows) and len(at) == len(text)
+    rows = se.e19_characters(spark, path).collect()
+    assert sorted((r.file_id, r.idx, r.k) for r in rows) == sorted((f, i, k) for (f, i), t in text.items() for k in range(len(t)))
+    timed = composites.e20_transfer_timing(spark, path).collect()
+    assert {(f, i): sum((r.file_id, r.chunk) == (f, i) for r in timed) for f, i in text} == {k: len(t.split()) for k, t in text.items()}
+    assert all(r.e > r.s for r in timed)
+    assert {(r.file_id, r.pos // 1_000_000) for r in se.e18_repair(spark, path).collect()} == set(text)
+    assert se.words(spark, path).count() == sum(len(t.split()) for t in text.values())
 
 
 def test_whole_texts_are_typeset(spark, folder):

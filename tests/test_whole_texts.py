@@ -53,7 +53,8 @@ def test_agreement_of_all_rows_and_whole_texts(spark, folder):
     verdicts = {r.id - 1000: r.verdict for r in texts.h9_decide(spark, path).filter("id >= 1000").collect()}
     want = {i: "agree" if ratio(norm(t), norm(t.replace("the", "a"))) >= 0.92 else "reconcile" for i, t in docs.items()}
     assert verdicts == want
-    assert sum(r.chunks for r in composites.k11_merge(spark, path).collect()) == len(docs) + len(texts.LITERAL)
+    merged = composites.k11_merge(spark, path).collect()
+    assert sum(r.agree + r.first + r.second + r.reconcile for r in merged) == len(talk)
     k8 = {r.file_id: r.similarity for r in composites.k8_compare(spark, path).collect()}
     assert k8 == {i: pytest.approx(ratio(*[norm(x[3]) for x in talk if x[0] == i])) for i in (1, 2)}
 
@@ -74,6 +75,8 @@ def test_scores_of_whole_texts(spark, folder):
 
 def test_registers_and_halves_of_whole_texts(spark, folder):
     path, docs, _ = folder
-    assert texts.d8_register_agreement(spark, path).first().asDict() == {"n": len(docs), "agree": len(docs), "absent": 0}
+    pairs = spark.createDataFrame([("fr", "Tu viens", "tu vas"), ("fr", "toi", "vous"), ("fr", "te", "rien"), ("ko", "갑니다", "가자"), ("xx", "tu", "tu")], "lang string, ref string, hyp string")
+    got = {(r.lang, r["class"]): (r.n, r.agree, r.absent, r.rate) for r in texts.register_agreement(pairs).collect()}
+    assert got == {("fr", "tv"): (3, 1, 1, 33.3), ("ko", "polite"): (1, 0, 0, 0.0)}
     want = {i: bool(set(t[: len(t) // 2].lower().split(" ")) & set(t[len(t) // 2 :].lower().split(" "))) for i, t in docs.items()}
-    assert {r.doc_id: r.agree for r in texts.g6_halves_overlap(spark, path).collect()} == want
+    assert {r.doc_id: r.agree for r in texts.g6_feature_overlap(spark, path).collect()} == want
