@@ -324,3 +324,25 @@ def job_states(events: DataFrame, start: str = "queued") -> DataFrame:
         return F.struct(F.coalesce(to, acc["state"]).alias("state"), (acc["moved"] + to.isNotNull().cast("int")).alias("moved"))
 
     return listed.select("job", F.aggregate("actions", first, step).alias("x")).select("job", "x.state", "x.moved")
+
+
+def describe(tracks: DataFrame) -> DataFrame:
+    """file, text: a file's tracks, one line each, in order: number, language, title, codec, and what marks them."""
+    marks = F.concat_ws(", ", F.when(_flag("forced"), "forced"), F.when(_flag("is_default"), "default"), F.when(~_flag("is_text"), "bitmap"))
+    name = F.coalesce(language_name(code_for_tag(F.col("language"))), F.lit("unknown"))
+    line = F.concat(F.lit("#"), F.col("idx").cast("string"), F.lit(" "), name, F.when(_text("title") != "", F.concat(F.lit(" '"), "title", F.lit("'"))).otherwise(""), F.lit(" "), F.col("codec"), F.when(marks != "", F.concat(F.lit(" ["), marks, F.lit("]"))).otherwise(""))
+    g = tracks.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("idx", line.alias("t")))).alias("x"))
+    return g.select("file", F.array_join(F.transform("x", lambda r: r["t"]), "\n").alias("text"))
+
+
+def language_name(code: Column) -> Column:
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in L.NAMES.items() for x in kv]), code), code)
+
+
+def has_japanese(text: Column) -> Column:
+    return text.rlike("[ぁ-ゖァ-ヺ一-鿿]")
+
+
+def subtitle_path(video: Column, target: Column) -> Column:
+    """Beside the video: its name without the ending, the target, srt."""
+    return F.concat(F.regexp_replace(video, r"\.[^./]*$", ""), F.lit("."), target, F.lit(".srt"))

@@ -76,11 +76,11 @@ def k9_why(spark, sf):
 
 
 def k10_gate_report(spark, sf):
-    """Verdicts of the gate over two speech shares."""
-    c = cues(spark, sf)
-    a = te.gate(c.withColumn("speech", (F.col("idx") * 37 % 100) / 100)).select("file_id", "idx", F.col("verdict").alias("before"))
-    b = te.gate(c.withColumn("speech", F.lit(0.6))).select("file_id", "idx", F.col("verdict").alias("after"))
-    return a.join(b, ["file_id", "idx"]).groupBy("before", "after").agg(F.count("*").alias("cues"))
+    """What the gate does to each file: cues kept, kept though quiet, and dropped, with the share that stays."""
+    g = te.gated(spark, sf)
+    n = lambda *v: F.count_if(F.col("verdict").isin(*v))
+    x = g.groupBy("file_id").agg(F.count("*").alias("cues"), n("kept").alias("kept"), n("quiet").alias("quiet"), n("no_speech", "made_up", "repeat").alias("dropped"))
+    return x.withColumn("percent", F.round(100 * (F.col("kept") + F.col("quiet")) / F.col("cues"), 4))
 
 
 def two_engines(spark, sf) -> DataFrame:
@@ -178,10 +178,17 @@ def k13_subtitles(spark, sf):
     return srt_texts(typeset(split_long(t.withColumn("text", F.coalesce(F.nullif("tgt", F.lit("")), F.col("src"))))))
 
 
+def m8_line_by_line(spark, sf):
+    """Cues whose batch translation failed are tried again; what stays untranslated is flagged."""
+    c = cues(spark, sf).select("file_id", "idx", "src")
+    t = pr.apply_model(c, pr.REGISTRY["translator"], "file_id long, idx long, src string, tgt string").withColumn("flags", F.array().cast("array<string>"))
+    return pr.line_by_line(t, pr.REGISTRY["translator"]).groupBy(F.array_contains("flags", "untranslated").alias("untranslated")).agg(F.count("*").alias("cues"))
+
+
 def k14_terminology(spark, sf):
     """Terms with their counts in each language's documents and a fixed rendering where there is one."""
     terms = se.d16_select_terms(spark, sf)
-    fixed = spark.createDataFrame([("Ciónrr", "C."), ("Quell", "Q.")], "term string, rendering string")
+    fixed = spark.createDataFrame([("Den", "D."), ("The", "T.")], "term string, rendering string")
     return terms.join(F.broadcast(fixed), "term", "left")  # two rows
 
 
@@ -245,7 +252,7 @@ def s_star_join(spark, sf):
     return o.groupBy("n_name").agg(F.count("*").alias("orders"), F.round(F.sum("o_totalprice"), 0).cast("long").alias("total"))
 
 
-QUERIES = {k: f for k, f in globals().items() if (k[:1] in "cejk" and k[1:2].isdigit() or k[:2] == "s_") and callable(f)}
+QUERIES = {k: f for k, f in globals().items() if (k[:1] in "cejkm" and k[1:2].isdigit() or k[:2] == "s_") and callable(f)}
 
 
 def _sql(body: str) -> str:
@@ -253,6 +260,9 @@ def _sql(body: str) -> str:
 
 
 SQL = {
+    "k10_gate_report": te._sql("select file_id, count(*) as cues, count(*) filter (verdict = 'kept') as kept, count(*) filter (verdict = 'quiet') as quiet, count(*) filter (verdict not in ('kept', 'quiet')) as dropped, round(100 * count(*) filter (verdict in ('kept', 'quiet')) / count(*), 4) as percent from gated group by file_id", te._GATED),
+    "k14_terminology": f"select t.*, rendering from ({se.SQL['d16_select_terms']}) t left join (values ('Den', 'D.'), ('The', 'T.')) f(term, rendering) using (term)",
+    "c6_split_labels": f"select p.file_id, count(*) as pieces, count(who) as voiced from ({ti.SQL['e21_cut_at_turns']}) p left join lateral (with {SPANS} select arg_max(speaker, (least(c.e, p.e) - greatest(c.s, p.s))) as who from spans c where c.lang = 'click' and c.file_id = p.file_id and least(c.e, p.e) > greatest(c.s, p.s)) w on true group by p.file_id",
     "k2_lidbench": f"select * from ({ti.SQL['c19_switches']}) left join ({ti.SQL['d11_recall']}) using (file_id)",
     "k6_bench": f"select * from ({ti.SQL['c20_boundary']}) full join ({ti.SQL['c3_pairing']}) using (file_id)",
     "k7_scan": _sql("select lang, count(distinct file_id) as files, count(*) as spans, cast(round(sum(e - s) * 1000) as bigint) as speech_ms from spans group by lang"),

@@ -164,6 +164,8 @@ def _sql(body: str) -> str:
 _RGBA = "unhex(repeat('FFFFFFFF', cast(2 * (4 + idx % 16) as int)))"
 SQL = {
     "a1_find_files": "select name from (values ('benchmark'), ('conversations'), ('customer'), ('documents'), ('embeddings'), ('events'), ('labels'), ('lineitem'), ('nation'), ('orders'), ('pages'), ('part'), ('region'), ('supplier')) v(name)",
+    "a5_read_ass": _sql("select cast(file_id as varchar) as file_id, count(*) as lines from (select *, lag(t) over w as before, lag(e) over w as was from (select *, trim(regexp_replace(translate(src, chr(10) || '{}' || chr(92), '    '), '[ \\t]+', ' ', 'g')) as t from cues) where t <> '' and floor(e * 100) > floor(s * 100) window w as (partition by file_id order by idx)) where before is distinct from t or floor(s * 100) / 100 > floor(was * 100) / 100 + 0.05 group by file_id"),
+    "a8_track_cues": _sql("select cast(file_id as varchar) as path, count(*) as cues from cues where trim(regexp_replace(src, '[\\s]+', ' ', 'g')) <> '' and round_even(e * 1000, 0) > round_even(s * 1000, 0) group by file_id"),
     "a9_decode_pgs": _sql(f"select cast(file_id as varchar) as file_id, cast(round(s * 1000) as bigint) as start_ms, cast(round(e * 1000) as bigint) as end_ms, 4 + idx % 16 as width, 2 as height, 2 * (4 + idx % 16) as pixels, md5({_RGBA}) as rgba from cues where round(e * 1000) > round(s * 1000)"),
     "a10_pgs_intervals": _sql("select cast(file_id as varchar) as file_id, row_number() over (partition by file_id order by idx) - 1 as n, cast(round(s * 1000) as bigint) as start_ms, cast(round(e * 1000) as bigint) as end_ms from cues where round(e * 1000) > round(s * 1000)"),
     "a11_trim_pgs": _sql("select cast(file_id as varchar) as file_id, least(count(*), 2) as pictures from cues where round(e * 1000) > round(s * 1000) group by file_id"),

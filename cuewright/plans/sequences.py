@@ -361,7 +361,23 @@ dom as (select file_id, lang as dominant from (select file_id, lang, row_number(
 r as (select *, sum(o) over (partition by file_id order by i) as run from (select d.*, dominant, case when sure and lag(sure) over w and lang is not distinct from lag(lang) over w then 0 else 1 end as o from d left join dom using (file_id) window w as (partition by file_id order by i))),
 k as (select *, case when not sure then null when lang <> dominant and not (count(*) over (partition by file_id, run) >= 2 or min(conf) over (partition by file_id, run) >= 0.6) then dominant else lang end as new from r)"""
 _TERMS = "c as (select lang, term, count(*) as n from (select lang, unnest(list_concat(regexp_extract_all(text, '[A-ZÀ-Ý][a-zà-ÿ]{2,}'), regexp_extract_all(text, '[ァ-ヴー・]{3,}'))) as term from (select lang, text from documents union all select 'ja', 'ルパンはカリオストロ・シロへ行く。ルパン。アイ')) group by all)"
+_WALK = """numbered as (select *, row_number() over (partition by file_id order by {order}) as i, lead(s) over (partition by file_id order by {order}) as nxt from {table}),
+walk as (select file_id, {key}, i, {first} from numbered where i = 1 union all select n.file_id, n.{key}, n.i, {next} from walk w join numbered n on n.file_id = w.file_id and n.i = w.i + 1)"""
+_E5 = "case when {e} > {s} then {e} else {s} + 0.5 end"
+
+
+def _e5(before: str, r: str) -> str:
+    s = f"greatest({before} + 0.05, {r}s - 0.12)"
+    e = f"least(coalesce({r}nxt - 0.05, 1e300), {r}e + 0.25)"
+    e = f"case when {e} - {s} < 0.9 then least(coalesce({r}nxt - 0.05, 1e300), {s} + 0.9) else {e} end"
+    return f"{s} as s, case when {e} > {s} then {e} else {s} + 0.5 end as e"
+
+
 SQL = {
+    "e5_timing": "with recursive " + _sql("select file_id, idx, s, e from walk", _WALK.format(order="idx", table="cues", key="idx", first=_e5("0.0", ""), next=_e5("w.e", "n."))).removeprefix("with "),
+    "e16_push": "with recursive " + _sql("select file_id, pos, s, e from walk", _WALK.format(order="s, pos", table="spans", key="pos", first="s, e", next="greatest(n.s, w.e + 0.083) as s, case when n.s >= w.e + 0.083 or n.e > w.e + 0.083 then n.e else w.e + 1.083 end as e")).removeprefix("with "),
+    "e26_chunks": "with recursive " + _sql("select file_id, chunk, max(n) as lines, max(c) as chars from walk group by file_id, chunk", """walk as (select file_id, pos, 0::bigint as chunk, 1::bigint as n, length(text)::bigint + 1 as c from lines where pos = 0 union all
+  select l.file_id, l.pos, w.chunk + (w.c >= 500)::int, case when w.c >= 500 then 0 else w.n end + 1, case when w.c >= 500 then 0 else w.c end + length(l.text) + 1 from walk w join lines l on l.file_id = w.file_id and l.pos = w.pos + 1)""").removeprefix("with "),
     "e6_identical_merge": _sql("select file_id, run, min(lang) as lang, cast(round(min(s) * 1000) as bigint) as start_ms, cast(round(max(e) * 1000) as bigint) as end_ms from (select *, sum(o) over (partition by file_id order by s, pos) as run from (select *, case when lang = lag(lang) over w and s <= lag(e) over w + 1800 then 0 else 1 end as o from spans window w as (partition by file_id order by s, pos))) group by file_id, run"),
     "e7_repeat_run": _sql("select file_id, pos, row_number() over (partition by file_id order by s, pos) - 1 as idx from (select *, row_number() over (partition by file_id, run order by s, pos) as k from (select *, sum(o) over (partition by file_id order by s, pos) as run from (select *, case when speaker = lag(speaker) over (partition by file_id order by s, pos) then 0 else 1 end as o from spans))) where k <= 2"),
     "e11_smooth": _sql("select u.file_id, u.i, coalesce(u.new, (select arg_min(a.new, abs(a.i - u.i) * 100000 + a.i) from k a where a.sure and a.file_id = u.file_id and a.speaker = u.speaker and abs(a.i - u.i) <= 6), (select arg_min(a.new, abs(a.i - u.i) * 100000 + a.i) from k a where a.sure and a.file_id = u.file_id)) as lang from k u", _SMOOTH),

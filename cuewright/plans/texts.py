@@ -424,7 +424,21 @@ def _re2(pattern: str) -> str:
 _REG = "reg(lang, class, v, pattern) as (values " + ", ".join(f"('{la}', '{c}', '{v}', '{'' if case else '(?i)'}{_re2(p)}')" for la, c, v, p, case in tx.REGISTER) + ")"
 _SPOKEN = "spoken(file_id, lang, pos, text) as (values " + ", ".join(f"({-1 - i}, '{la}', 0, '{_Q(t)}')" for i, (la, t) in enumerate(SPOKEN)) + ")"
 _TARGET = lambda t: f"case when r.class = 'polite' then trim(string_split(replace({t}, chr(10), ' '), '/')[-1]) else trim(replace({t}, chr(10), ' ')) end"
+_SYMBOL_SET = r"[\p{L}\p{N}\s.,:;!?''\"\-–—…()\[\]「」『』、。！？・“”‘’«»¿¡/&+♪\x{3000}\x{300}-\x{36f}\x{e31}-\x{e4e}\x{3099}-\x{309a}]"
+_SYMBOLS = lambda t: f"length(regexp_replace({t}, '{_SYMBOL_SET}', '', 'g'))"
+_PROSE = "^\\s*(?:the (?:text|image|subtitle|caption)|this (?:image|subtitle)|here is|here''s|i can see|it (?:says|reads)|the words|there is no text|no text)"
+# chrF++ from counted grams: characters without spaces, and words with their outer punctuation apart.
+_CHRF = """sides as (select doc_id, side, regexp_replace(x, '\\s', '', 'g') as chars, flatten(list_transform(list_filter(regexp_split_to_array(x, '\\s+'), lambda w: w <> ''), lambda w: case when length(w) > 1 and regexp_matches(w, '[^\\p{L}\\p{N}]$') then [w[: length(w) - 1], w[length(w)]] when length(w) > 1 and regexp_matches(w, '^[^\\p{L}\\p{N}]') then [w[1], w[2 :]] else [w] end)) as words
+  from (select doc_id, 'r' as side, text as x from documents union all select doc_id, 'h', substring(text, 10) from documents)),
+grams as (select doc_id, side, n, chars[i : i + n - 1] as g, count(*) as c from (select doc_id, side, chars, n, unnest(generate_series(1, length(chars) - n + 1)) as i from sides, range(1, 7) o(n)) group by all
+  union all select doc_id, side, n + 6, array_to_string(words[i : i + n - 1], ' '), count(*) from (select doc_id, side, words, n, unnest(generate_series(1, len(words) - n + 1)) as i from sides, range(1, 3) o(n)) group by all),
+orders as (select doc_id, n, sum(rc) as r, sum(hc) as h, sum(least(rc, hc)) as m from (select doc_id, n, g, coalesce(sum(c) filter (side = 'r'), 0) as rc, coalesce(sum(c) filter (side = 'h'), 0) as hc from grams group by all) group by all)"""
 SQL = {
+    "h31_chrf": f"with {_CHRF} select d.doc_id, 100 * coalesce(avg(case when m = 0 then 0 else 5 * (m / h) * (m / r) / (4 * (m / h) + m / r) end) filter (r > 0 and h > 0), 0) as chrf from documents d left join orders using (doc_id) group by d.doc_id",
+    "b2_assess": _sql(f"""select case when n < 10 then 'few' when script_match < 0.7 then 'script' when symbols > 0.12 then 'symbols' when replacement > 0.002 then 'replacement' when repeat > 0.2 then 'repeat' when prose > 0.02 then 'prose' when junk > 0.15 then 'junk' else 'ok' end as reason, count(*) as tracks from (
+  select lang, file_id, count(*) as n, avg((script in ('latin', 'none'))::int) as script_match, sum({_SYMBOLS('text')}) / sum(length(text)) as symbols, sum(length(text) - length(replace(text, '�', ''))) / sum(length(text)) as replacement, max(same) / count(*) as repeat,
+    avg(regexp_matches(text, '(?i){_PROSE}')::int) as prose, avg((length(body) >= 2 and length(regexp_replace(body, '\\P{{Nd}}', '', 'g')) + {_SYMBOLS("regexp_replace(body, '" + chr(92) + "p{Nd}', '', 'g')")} >= 0.4 * length(body))::int) as junk
+  from (select *, {_SCRIPT.replace("'none' ", "'none' ")} as script, regexp_replace(text, '\\s', '', 'g') as body, count(*) over (partition by lang, file_id, text) as same from (select *, {_SCRIPTS} from lines where trim(text) <> '')) group by lang, file_id) group by 1"""),
     "b1_filter_cues": _sql("select file_id, idx, verdict, case when verdict in ('kept', 'quiet') then row_number() over (partition by file_id, verdict in ('kept', 'quiet') order by idx) - 1 end as new_idx from gated", _GATED),
     "d21_gate_totals": _sql("select verdict, count(*) as cues, round(100 * count(*) / (select count(*) from gated), 4) as percent from gated group by verdict", _GATED),
     "b3_wordlike": _sql(f"select id, {_WORDLIKE} as wordlike from (select *, {_BARE_TEXT} as bare from lit)"),

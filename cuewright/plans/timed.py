@@ -322,6 +322,19 @@ def e21_cut_at_turns(spark, sf):
     return sq.fold(kind(spark, sf, "view").join(cuts, "pos", "left"), KEY, ["s", "pos"], sq.cut_at_turns, "file_id long, pos long, piece long, s double, e double")
 
 
+def resume(chunks: DataFrame, done: DataFrame, keys, within: float = 0.01) -> DataFrame:
+    """chunks less those that a finished one of the same key starts with, up to ``within`` seconds: what is still to be done."""
+    near = iv.nearest(chunks.withColumn("e", F.col("s")), done, keys, [*keys, "pos"], within)
+    return chunks.join(near.filter("dist is not null").select(*keys, "pos"), [*keys, "pos"], "left_anti")
+
+
+def i3_resume(spark, sf):
+    """Spans as chunks, of which two thirds are done; half of these are off by more than may be."""
+    c = spans(spark, sf).select("file_id", "pos", "s")
+    done = c.filter("pos % 3 != 0").select("file_id", (F.col("s") + F.when(F.col("pos") % 2 == 0, 0.005).otherwise(0.5)).alias("s")).withColumn("e", F.col("s"))
+    return resume(c, done, ["file_id"]).select("file_id", "pos")
+
+
 QUERIES = {k: f for k, f in globals().items() if k[:1] in "abcdefghijk" and k[1:2].isdigit() and callable(f)}
 
 _M = lambda a, b: f"cast(round(({a}) * 1000) as bigint) as {b}"
@@ -397,4 +410,20 @@ SQL = {
     "b22_clip": _sql(f"select file_id, pos, {_M('greatest(s, 1704153600) - 1704153600', 'start_ms')}, {_M('least(e, 1704326400) - 1704153600', 'end_ms')} from spans where e > 1704153600 and s < 1704326400"),
     "f2_top_misses": _sql(f"select * from (select file_id, {_M('s', 'start_ms')}, {_M('e - s', 'size_ms')} from missed) where size_ms > 3000 order by size_ms desc, file_id, start_ms limit 20", _MERGED, _MINUS),
     "f6_top_two": _sql("select file_id, speaker, place, pos from (select *, row_number() over (partition by file_id, speaker order by e - s desc, pos) as place from spans) where place <= 2"),
+    "i3_resume": "with " + SPANS + ", d as (select file_id, s + case when pos % 2 = 0 then 0.005 else 0.5 end as s from spans where pos % 3 <> 0) select file_id, pos from spans c where not exists (select 1 from d where d.file_id = c.file_id and abs(d.s - c.s) <= 0.01)",
+    "e8_windows": "with recursive " + SPANS + """,
+n as (select *, row_number() over (partition by file_id order by s, pos) as i, count(*) over (partition by file_id) as total from spans),
+walk as (select file_id, i, s as opens, e as stop, e - s as speech, 1::bigint as spans, 0::bigint as win from n where i = 1
+  union all select n.file_id, n.i, case when b then n.s else w.opens end, n.e, case when b then 0 else w.speech end + n.e - n.s, case when b then 0 else w.spans end + 1, w.win + b::int
+    from (select w.*, w.speech >= 10 or m.e - w.opens > 30 as b from walk w join n m on m.file_id = w.file_id and m.i = w.i + 1) w join n on n.file_id = w.file_id and n.i = w.i + 1),
+closed as (select file_id, win, arg_max(opens, i) as s, arg_max(stop, i) as e, arg_max(speech, i) as speech, max(spans) as spans from walk group by file_id, win),
+tail as (select *, win > 0 and win = max(win) over (partition by file_id) and speech < 10 / 3.0 as joins from closed)
+select file_id, t.win as "window", s, case when nt.joins then nt.e else t.e end as e, t.speech + case when nt.joins then nt.speech else 0 end as speech, t.spans + case when nt.joins then nt.spans else 0 end as spans, '' as speaker
+from tail t left join (select file_id, win - 1 as win, joins, e, speech, spans from tail) nt using (file_id, win) where not t.joins""",
+    "e21_cut_at_turns": "with " + SPANS + """,
+v as (select * from spans where lang = 'view'), c as (select * from spans where lang = 'click'),
+marked as (select v.file_id, v.pos, v.s, v.e, list_sort(list_distinct(list_concat(list(c.s) filter (c.s > v.s + 0.4 and c.s < v.e - 0.4), list(c.e) filter (c.e > v.s + 0.4 and c.e < v.e - 0.4)))) as edges
+  from v left join c on c.file_id = v.file_id and least(c.e, v.e) > greatest(c.s, v.s) group by all),
+cut as (select *, list_reduce(list_prepend([s], list_transform(coalesce(edges, []), lambda x: [x])), lambda a, b: case when b[1] - a[len(a)] >= 0.4 then list_concat(a, b) else a end) as marks from marked)
+select file_id, pos, i - 1 as piece, marks[i] as s, coalesce(marks[i + 1], e) as e from (select *, unnest(generate_series(1, len(marks))) as i from cut)""",
 }

@@ -125,6 +125,8 @@ QUERIES = {
     "l_next_job": _of("actions", lambda t: tk.job_states(t).filter("state = 'queued'").orderBy("job").limit(1).select("job")),
     "m5_replies": lambda s, sf: tk.rendered_terms(table(s, sf, "replies"), table(s, sf, "asked")),
     "m7_source_order": _of("spoken", lambda t: t.select("file", "spoken", F.explode(F.array(*map(F.lit, ("ja", "ru", "th", "et")))).alias("code")).select("file", "code", tk.source_rank(F.col("code"), F.col("spoken")).alias("place"))),
+    "m6_describe": _of("tracks", tk.describe),
+    "m9_lookups": _of("wanted", lambda t: t.select("file", tk.language_name(F.col("target")).alias("name"), tk.subtitle_path(F.concat(F.lit("/v.1/film "), F.col("file").cast("string"), F.lit(".mkv")), F.col("target")).alias("path"), tk.has_japanese(F.when(F.col("file") % 3 == 0, "x日").otherwise("xyz")).alias("japanese"))),
     "m13_missing": _of("tracks", lambda t: t.filter(tk.code_for_tag(F.col("language")).isNull()).select(F.coalesce("language", F.lit("")).alias("language")).distinct()),
 }
 
@@ -136,6 +138,7 @@ _MARKS = "marks(code, mark, rank) as (values " + _VALUES([(c, m, L.READ_BEST.ind
 _NEEDS = "needs(target, need, k) as (values " + _VALUES([(c, n, i) for c, v in L.NEEDS.items() for i, n in enumerate(sorted(v.split()))]) + ")"
 _EQUAL = "equal(need, mark) as (values " + _VALUES([(k, m) for k, v in L.STANDS_FOR.items() for m in v]) + ")"
 _ORDERED = "ordered(code, place) as (values " + _VALUES([(c, i + 1) for i, c in enumerate([*L.SOURCES_FIRST, *(x for x in L.NAMES if x not in L.SOURCES_FIRST)])]) + ")"
+_NAMES_OF = "names_of(code, name) as (values " + _VALUES(list(L.NAMES.items())) + ")"
 _CODE = "tag_code as (select tag, arg_min(code, k) as code from tags group by tag)"
 _SERVED = """served as (select distinct t.*, x.code from tracks t join (select code, tag as v, true as is_tag from tags union all select code, word, false from title_words) x
   on case when is_tag then coalesce(t.language, '') = v else contains(lower(coalesce(t.title, '')), v) end
@@ -189,6 +192,8 @@ ORACLES = {
     "l_next_job": ("select min(job) as job from states where state = 'queued' having count(*) > 0", _MOVES, _STATES),
     "m5_replies": ("select target, term, arg_max(r, n) as rendering from (select target, n, trim(left(line, here - 1)) as term, trim(substr(line, here + length(sep))) as r from (select *, strpos(line, sep) as here from (select *, case when contains(line, chr(9)) then chr(9) when contains(line, '→') then '→' when contains(line, ' - ') then ' - ' end as sep from replies)) where here > 0) semi join asked using (target, term) where length(r) between 1 and 60 group by all",),
     "m7_source_order": ("select file, code, case when code = spoken then 0 else place end::int as place from spoken cross join (select * from ordered where code in ('ja', 'ru', 'th', 'et'))", _ORDERED),
+    "m6_describe": ("select file, string_agg(printf('#%d %s%s %s%s', idx, coalesce(n.name, 'unknown'), case when coalesce(title, '') <> '' then ' ' || chr(39) || title || chr(39) else '' end, codec, case when forced or is_default or not is_text then ' [' || array_to_string(list_filter([case when forced then 'forced' end, case when is_default then 'default' end, case when not is_text then 'bitmap' end], lambda x: x is not null), ', ') || ']' else '' end), chr(10) order by idx) as text from tracks left join tag_code on tag = lower(trim(language)) left join names_of n using (code) group by file", _TAGS, _CODE, _NAMES_OF),
+    "m9_lookups": ("select file, coalesce((select n.name from names_of n where n.code = w.target), target) as name, '/v.1/film ' || file || '.' || target || '.srt' as path, file % 3 = 0 as japanese from wanted w", _NAMES_OF),
     "m13_missing": ("select distinct coalesce(language, '') as language from tracks where coalesce(language, '') not in (select tag from tags)", _TAGS),
 }
 

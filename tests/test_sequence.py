@@ -169,10 +169,14 @@ def test_chunks_of_text_hold_the_crossing_line():
 
 
 def test_smoothing(spark):
-    def run(langs, sure, margin=None, voices=None):
+    def run(langs, sure, margin=None, voices=None, speech=None):
         n = len(langs)
-        df = spark.createDataFrame([(1, i, langs[i], bool(sure[i]), float((margin or [0] * n)[i]), (voices or [""] * n)[i]) for i in range(n)], "file_id long, i int, lang string, confident boolean, margin double, speaker string")
-        return [r.lang for r in se.smooth(df).orderBy("i").collect()]
+        df = spark.createDataFrame([(1, i, langs[i], bool(sure[i]), float((margin or [0] * n)[i]), (voices or [""] * n)[i], float((speech or [0] * n)[i])) for i in range(n)], "file_id long, i int, lang string, confident boolean, margin double, speaker string, speech double")
+        return [r.lang for r in se.smooth(df, seconds=(8.0, 4.0) if speech else None).orderBy("i").collect()]
+
+    assert run(["en", "fr", "en", "en"], [1] * 4, [0.9] * 4, speech=[10, 2, 10, 10]) == ["en"] * 4
+    assert run(["en", "fr", "en", "en"], [1] * 4, [0.9] * 4, speech=[10, 5, 10, 10]) == ["en", "fr", "en", "en"]
+    assert run(["en", "fr", "fr", "en", "en"], [1] * 5, [0.1] * 5, speech=[9, 3, 4, 9, 9]) == ["en"] * 5
 
     assert run(["ja", "ja", "en", "ja"], [1, 1, 1, 1]) == ["ja"] * 4
     assert run(["ja", "ja", "en", "ja"], [1, 1, 1, 1], [0, 0, 0.7, 0]) == ["ja", "ja", "en", "ja"]

@@ -97,3 +97,14 @@ def test_typeset_and_metrics(spark):
     assert "\n" in out[0].text and out[0].e <= out[1].s and out[1].s >= 1.0
     m = spark.createDataFrame([("up", {"host": 'a"b', "a": "1"}, 2.0)], "name string, labels map<string,string>, value double")
     assert sinks.prometheus_lines(m).first().line == 'up{a="1",host="a\\"b"} 2.0'
+
+
+def test_lines_are_tried_again_and_flagged(spark):
+    from cuewright.functions import protocols as pr
+
+    def model():
+        return lambda pdf: pdf.assign(tgt=["T:" + s if s == "easy" or s == "second" and a == 1 else "" for s, a in zip(pdf["src"], pdf["attempt"], strict=True)])
+
+    rows = [(1, "easy", None, ["loop"]), (2, "second", "", []), (3, "never", " ", []), (4, "done", "told", [])]
+    got = pr.line_by_line(spark.createDataFrame(rows, "n int, src string, tgt string, flags array<string>"), model).collect()
+    assert sorted((r.n, r.tgt, r.flags) for r in got) == [(1, "T:easy", ["loop"]), (2, "T:second", []), (3, "never", ["untranslated"]), (4, "told", [])]
