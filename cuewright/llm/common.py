@@ -37,11 +37,13 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back, which cuts the lineage and survives lost executors."""
+def materialize(df: DataFrame, name: str, packed: bool = False) -> DataFrame:
+    """Writes df to the shared folder and reads it back, which cuts the lineage and survives lost executors.
+
+    packed: compressed harder, which pays for whole texts."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cuewright/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd" if packed else "snappy").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cuewright_path = path
     return out

@@ -102,7 +102,7 @@ def mix(documents: DataFrame, seed: int = 42, share: float = 1.5, most: float =
     size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(TOKEN)).cast("long")
     carried = F.struct(*[F.col(f"`{c}`") for c in kept or ["doc_id"]]).alias("doc")
     docs = documents.select(F.monotonically_increasing_id().alias("row_id"), carried, "doc_id", "source", size.alias("size"))
-    stored = materialize(docs.withColumn("draw", F.xxhash64(F.lit(seed), "doc_id")), "sizes")
+    stored = materialize(docs.withColumn("draw", F.xxhash64(F.lit(seed), "doc_id")), "sizes", packed=True)
     docs = stored.drop("doc").withColumn("shard", F.pmod("draw", F.lit(max(_SHARDS, stored.count() // _SHARD))).cast("int"))
     shards = materialize(docs.groupBy("source", "size", "shard").agg(F.count("*").alias("n")), "lengths")
     lengths = shards.groupBy("source", "size").agg(F.sum("n").alias("n"))

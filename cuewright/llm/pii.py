@@ -117,7 +117,7 @@ def find_base(documents: DataFrame, reach: int = 4, kept: list[str] | None = Non
                     held.append(text if x else None)
                 yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(found, span_type), pa.array(near, near_type), pa.array(held, pa.string())], names=["row_id", "doc", "spans", "near", "held"])
 
-    return materialize(docs.mapInArrow(run, schema), "personal")
+    return materialize(docs.mapInArrow(run, schema), "personal", packed=True)
 
 
 def word_counts(documents: DataFrame, most: int = 200_000) -> DataFrame:

@@ -417,7 +417,7 @@ def similar(docs: DataFrame, fps: DataFrame, edges: DataFrame, shingle: int, sim
 
 def one_of_each(documents: DataFrame, shingle: int = 5, similarity: float = 0.8, aim: float = 0.97, words: int = 8) -> DataFrame:
     """The documents less all but one row of each group of near-duplicates: the row of the smallest doc_id stays."""
-    docs = materialize(fingerprints(documents, shingle, words), "fingerprints")
+    docs = materialize(fingerprints(documents, shingle, words), "fingerprints", packed=True)
     fps = _nodes(docs)
     share, bits = share_of_bits(similarity), 64 * words
     most = [int(n * share + 4 * sqrt(n * share * (1 - share))) for n in (64, bits)]

@@ -7,6 +7,7 @@ import re
 import duckdb
 import pytest
 from fixtures import awkward, prose
+from pyspark.sql import functions as F
 
 from cuewright.llm import catalog, chat, decontaminate, mixing
 from cuewright.llm.common import words_of
@@ -27,6 +28,18 @@ def test_chat_empty_table(spark):
     assert chat.digest(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).collect() == []
 
 
+def test_chat_long_texts_and_clashing_columns(spark):
+    long = "word <|im_end|> " * 20_000
+    rows = [(1, 0, "user", long), (1, 1, "assistant", long[:-1]), (1, 2, "assistant", None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    for c in ("rows", "row", "starts", "blocks", "segments", "formatted", "turns", "loss"):
+        df = df.withColumn(c, F.lit("clash"))
+    got = chat.digest(df).first()
+    told = "".join(f"{r}\n{t or ''}\n" for _, _, r, t in rows)
+    assert (got.n_turns, got.loss_chars) == (3, len(long) - 1)
+    assert got.turns_sha256 == hashlib.sha256(told.encode()).hexdigest() and got.loss_sha256 == hashlib.sha256(long[:-1].encode()).hexdigest()
+
+
 def _windows(words, width):
     n = min(width, len(words))
     return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} if words else set()
