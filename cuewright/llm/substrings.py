@@ -35,14 +35,14 @@ from .common import materialize, meet
 
 LENGTH, GRAM = 200, 80
 SIDE = LENGTH - GRAM
-FIRST = 40
+FIRST = 50
 _PIECE = 1 << 16
 _EDGE = 2 * LENGTH
 _BASE = 0x9E3779B97F4A7C15
 #: Up to so many text keys (16 bytes each) are broadcast to filter the documents; more are joined by shuffle.
 BROADCAST_KEYS = 500_000
 HEAVY = 20_000
-_TURNS = 4  # parts of a pass over all buckets; each part reads what the parts before it found
+_TURNS = 2  # parts of a pass over all buckets; each part reads what the parts before it found
 _CHUNK = 500_000  # bytes of pieces refined at a time, whole buckets
 
 
@@ -154,7 +154,7 @@ def refine(pieces: list[bytes], text: np.ndarray, first: np.ndarray, twice: np.n
     raw = np.frombuffer(b"".join(pieces), np.uint8)
     owner = np.repeat(np.arange(len(pieces)), size)
     n = len(owner)
-    room = ((begin + size)[owner] - np.arange(n)) // FIRST  # whole steps of FIRST bytes from here to the piece's end
+    room = ((begin + size).astype(np.int32)[owner] - np.arange(n, dtype=np.int32)) // FIRST  # whole steps of FIRST bytes from here to the piece's end
     at = np.flatnonzero(room >= 1)
     value = hasher.of(hasher.sums(raw), at, at + FIRST)
     at, ids = _equal(_refined(at, value, room), raw)
@@ -168,60 +168,62 @@ def refine(pieces: list[bytes], text: np.ndarray, first: np.ndarray, twice: np.n
     return np.sort(at[order][places[ids] >= 2])
 
 
-_UNKNOWN, _ALONE, _SHORT = -1, -2, -3
-
-
 def _refined(at: np.ndarray, value: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(positions, bucket) of the suffixes that share their LENGTH bytes with others; at, value: the initial buckets.
 
-    pointers[l] holds, of each position, its bucket by (l + 1) * FIRST bytes, where that is known."""
-    levels = LENGTH // FIRST
-    pointers = [np.where(room > l, _UNKNOWN, _SHORT).astype(np.int32) for l in range(levels)]
-    level, bucket = np.zeros(len(room), np.int8), np.zeros(len(room), np.int32)
-
-    def settle(at: np.ndarray, depth: np.ndarray, number: np.ndarray, fresh: int) -> None:
-        """New buckets (number, -1: alone) by depth steps."""
-        alone, some = number < 0, number >= 0
-        for l in range(levels):
-            lone = at[alone & (depth <= l + 1)]
-            pointers[l][lone] = np.where(pointers[l][lone] == _SHORT, _SHORT, _ALONE)
-            own = some & (depth == l + 1)
-            pointers[l][at[own]] = fresh + number[own]
-        level[at[some]] = depth[some]
-        bucket[at[some]] = fresh + number[some]
-
+    pointers[l] holds, of each position, its bucket by (l + 1) * FIRST bytes, -1 where that is not known; lone holds by how
+    many steps of FIRST bytes the position was found to be alone."""
+    levels, n = LENGTH // FIRST, len(room)
+    pointers, lone = np.full((levels, n), -1, np.int32), np.full(n, 100, np.int8)
     open_, number = _split(at, value)
-    settle(at, np.ones(len(at), np.int64), number, 0)
+    lone[at[number < 0]] = 1
+    pointers[0][at] = number
+    level = np.zeros(n, np.int8)
+    level[open_] = 1
     fresh, done = int(number.max(initial=-1)) + 1, []
+    bucket = pointers[0].copy()
     while len(open_):
-        open_ = open_[np.argsort(bucket[open_], kind="stable")]
         edges = np.flatnonzero(np.diff(bucket[open_])) + 1
-        cuts = edges[np.searchsorted(edges, np.arange(1, _TURNS) * len(open_) // _TURNS).clip(0, len(edges) - 1)] if len(edges) else []
+        cuts = np.unique(edges[np.arange(1, _TURNS) * len(edges) // _TURNS]) if len(edges) else []
         going = []
-        for some in np.split(open_, np.unique(cuts).astype(np.int64)):
-            some = some[room[some] > level[some]]  # the others' strings end with their piece
+        for some in np.split(open_, cuts):
+            depth = level[some]
+            fits = room[some] > depth  # the others' strings end with their piece
+            some, depth = some[fits], depth[fits]
+            later = some + FIRST * depth.astype(np.int64)
+            beside = lone[later] + depth
+            own = np.append(0, np.cumsum(np.diff(bucket[some]) != 0))[: len(some)]
+            gone = np.flatnonzero(beside <= levels)  # what follows stands nowhere else
+            parted = np.zeros(len(some) + 1, np.int8)  # by how many steps the others of a bucket differ from those gone
+            if len(gone):
+                lone[some[gone]] = beside[gone]
+                np.maximum.at(parted, own[gone], beside[gone])
+                here = np.flatnonzero(beside > levels)
+                some, depth, own, later = some[here], depth[here], own[here], later[here]
             if not len(some):
                 continue
-            own = np.append(0, np.cumsum(np.diff(bucket[some]) != 0))
-            depth = level[some].astype(np.int64)
-            later = some + FIRST * depth
-            step, pointer = np.ones(len(some), np.int64), pointers[0][later]
-            for l in range(2, levels):
-                reads = pointers[l - 1][np.minimum(later, len(room) - 1)]
-                lacks = (depth + l > levels) | (reads == _UNKNOWN) | (reads == _SHORT)
-                deeper = np.bincount(own, lacks)[own] == 0
-                step[deeper], pointer[deeper] = l, reads[deeper]
-            live = pointer >= 0
-            number = np.full(len(some), -1)
-            number[live] = _split(some[live], own[live].astype(np.uint64) << np.uint64(32) | pointer[live].astype(np.uint64))[1]
-            settle(some, depth + step, number, fresh)
-            fresh += int(number.max(initial=-1)) + 1
-            some = some[number >= 0]
-            done.append(some[level[some] == levels])
-            going.append(some[level[some] < levels])
+            step, pointer = np.ones(len(some), np.int8), pointers[0][later]
+            for l in range(2, levels + 1 - int(depth.min())):
+                reads = pointers[l - 1][later]
+                lacks = (reads < 0) | (depth > levels - l)
+                if not lacks.all():
+                    deeper = np.bincount(own, lacks)[own] == 0
+                    step[deeper], pointer[deeper] = l, reads[deeper]
+            kept, number = _split(np.arange(len(some)), own.astype(np.uint64) << np.uint64(32) | pointer.astype(np.uint64))
+            depth += step
+            lone[some[number < 0]] = np.maximum(depth, parted[own])[number < 0]
+            some, depth, number = some[kept], depth[kept], number[kept] + fresh
+            fresh = int(number.max(initial=fresh)) + 1
+            level[some], bucket[some] = depth, number
+            for d in range(2, levels + 1):
+                here = depth == d
+                if here.any():
+                    pointers[d - 1][some[here]] = number[here]
+            done.append(some[depth == levels])
+            going.append(some[depth < levels])
         open_ = np.concatenate([np.zeros(0, np.int64), *going])
-    done = np.concatenate([np.zeros(0, np.int64), *done])
-    return done, np.unique(bucket[done], return_inverse=True)[1]
+    done = np.concatenate([np.zeros(0, np.int64), *done])  # in the order of their buckets, as all positions above
+    return done, np.append(0, np.cumsum(np.diff(bucket[done]) != 0))[: len(done)]
 
 
 def _equal(found: tuple[np.ndarray, np.ndarray], raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -229,23 +231,25 @@ def _equal(found: tuple[np.ndarray, np.ndarray], raw: np.ndarray) -> tuple[np.nd
     at, ids = found
     if not len(at):
         return at, ids
-    order = np.argsort(ids, kind="stable")
-    at, ids = at[order], ids[order]
     head = at[np.searchsorted(ids, ids)]
-    words = np.lib.stride_tricks.sliding_window_view(np.append(raw, np.zeros(8, np.uint8)), 8)
-    same = np.ones(len(at), bool)
+    apart = np.full(len(raw) + 1, len(raw) + 1)
+    apart[at] = head - at
+    follows = apart[at - 1] == apart[at]  # the strings one byte before are of one bucket too: only the last byte is new
+    follows &= at > 0
+    same = raw[at + LENGTH - 1] == raw[head + LENGTH - 1]
+    padded = np.append(raw, np.zeros(8, np.uint8))
+    words = np.ndarray(len(raw), np.uint64, padded, strides=(1,))  # the eight bytes from each position on
+    opens = np.flatnonzero(~follows)
     for k in range(0, LENGTH, 8):
-        same &= (words[at + k] == words[head + k]).all(1)
+        same[opens] &= words[at[opens] + k] == words[head[opens] + k]
     if not same.all():
         seen: dict[bytes, int] = {}
-        top = int(ids.max()) + 1
-        for i in np.flatnonzero(~same):
-            ids[i] = top + seen.setdefault(raw[at[i] : at[i] + LENGTH].tobytes(), len(seen))
+        ids = np.array([seen.setdefault(raw[p : p + LENGTH].tobytes(), len(seen)) for p in at.tolist()])
     return at, ids
 
 
 def _split(at: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The positions whose value is not alone, and for all positions a dense number of their value, -1 for those alone."""
+    """The positions whose value is not alone, by value, and for all positions a dense number of their value, -1 for those alone."""
     # Most that are alone are told by a count of slots, before anything is sorted.
     slot = (value * np.uint64(_BASE) >> np.uint64(40)).astype(np.int32) & (1 << min(22, 1 + len(value).bit_length())) - 1
     some = np.flatnonzero(np.bincount(slot)[slot] > 1) if len(value) else slot
@@ -256,8 +260,9 @@ def _split(at: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     number = np.cumsum(new) - 1
     alone = np.bincount(number)[number] == 1 if len(v) else new
     out = np.full(len(value), -1)
-    out[some[order]] = np.where(alone, -1, number)
-    return at[out >= 0], out
+    kept = some[order[~alone]]
+    out[kept] = number[~alone]
+    return at[kept], out
 
 
 def _runs(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
