@@ -196,7 +196,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, probes: int | Non
     blocks = _times(np.array([asking.get(i, 0) for i in range(len(lists.sizes))]), _ASKED)
     parts = _times(lists.sizes, _PART)
     key = ["list", "part", "block"]
-    dealt = index.withColumn("part", F.pmod(F.xxhash64("vec_id"), parts)).withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    # Both sides' keys are ints: a long would be dealt elsewhere.
+    dealt = index.withColumn("part", F.pmod(F.xxhash64("vec_id"), parts).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
 
     def scan(asked: pa.Table, rows: pa.Table) -> pa.Table:
         n = asked.num_rows if rows.num_rows else 0
@@ -211,7 +212,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, probes: int | Non
         return pa.table({"query_id": pa.array(cols[0], pa.int64()), "vec_id": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.float64())})
 
     def met(probing: DataFrame) -> DataFrame:
-        spread = probing.select("list", "query_id", "embedding", "bound", F.pmod(F.xxhash64("query_id"), blocks).alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"))
+        spread = probing.select("list", "query_id", "embedding", "bound", F.pmod(F.xxhash64("query_id"), blocks).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+        if [spread.schema[c].dataType for c in key] != [dealt.schema[c].dataType for c in key]:
+            raise TypeError("keys of the two sides differ")
         return spread.groupBy(*key).cogroup(dealt.groupBy(*key)).applyInArrow(scan, "query_id long, vec_id long, score double")
 
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))

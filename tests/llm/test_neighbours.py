@@ -83,3 +83,17 @@ def test_extreme_components_clashing_columns_and_split_lists(spark, monkeypatch)
     assert len(got) == 300 and all(abs(row.score - sims[row.query_id, row.vec_id]) < 1e-12 for row in got)
     want = {(q, int(i)) for q in range(60) for i in sorted(set(range(300)) - {q}, key=lambda i: -sims[q, i])[:5]}
     assert len({(row.query_id, row.vec_id) for row in got} & want) >= 0.97 * 300
+
+
+def test_recall_over_many_partitions(spark):
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", "13")
+        rows, df = table(spark)
+        want = brute(rows, 5, range(0, 1500, 50))
+        got = {(r.query_id, r.vec_id) for r in N.search(df, df.filter("vec_id % 50 = 0")).collect()}
+        assert len(got & {(q, i) for q in want for _, i in want[q]}) >= 0.9 * 150
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
