@@ -2,7 +2,8 @@
 
 Overlap is open (least(e) - greatest(s) > t), merging is closed (s <= earlier e), gap merging is strict (s - earlier e < gap).
 Joins deal both sides into time cells and meet on (keys, cell), so that they plan as equi joins; a pair is kept in the
-first cell both sides share. Pick a cell near the common length: an interval makes a row for each cell that it touches.
+first cell both sides share. Pick a cell near the common length (``cell_of``): an interval makes a row for each cell that it
+touches. Where one key and cell hold very many rows, ``deal`` spreads the left side over so many tasks and copies the right one.
 """
 
 from __future__ import annotations
@@ -24,11 +25,19 @@ def _cells(df: DataFrame, cell: float, reach: float = 0.0) -> DataFrame:
     return df.withColumn("_first", first).withColumn("_cell", F.explode(F.sequence(first, F.greatest(first, last))))
 
 
-def interval_join(left: DataFrame, right: DataFrame, keys: Sequence[str], more_than: float = 0.0, cell: float = CELL) -> DataFrame:
+def cell_of(*sides: DataFrame, share: float = 0.9, least: float = 1.0) -> float:
+    """A cell for intervals of these tables: the length that ``share`` of them do not exceed (one pass over each)."""
+    found = [df.agg(F.percentile_approx(F.col("e") - F.col("s"), share)).first()[0] for df in sides]
+    return max([least, *(x for x in found if x)])
+
+
+def interval_join(left: DataFrame, right: DataFrame, keys: Sequence[str], more_than: float = 0.0, cell: float = CELL, deal: int = 1) -> DataFrame:
     """Structs l and r of all pairs with equal keys that overlap by more than ``more_than`` seconds, and ov."""
-    pack = lambda df, name: _cells(df, cell).select(F.struct(*df.columns).alias(name), F.struct("_first", "_cell", *keys).alias(f"_{name}"))
+    places = {"l": F.pmod(F.xxhash64("s", "e", *keys), F.lit(deal)), "r": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(deal - 1).cast("long")))}
+    pack = lambda df, name: _cells(df, cell).withColumn("_deal", places[name] if deal > 1 else F.lit(0)).select(F.struct(*df.columns).alias(name), F.struct("_first", "_cell", "_deal", *keys).alias(f"_{name}"))
     a, b = pack(left, "l"), pack(right, "r")
     on = (F.col("_l._cell") == F.col("_r._cell")) & (F.col("_l._cell") == F.greatest("_l._first", "_r._first"))
+    on = on & (F.col("_l._deal") == F.col("_r._deal")) if deal > 1 else on
     for k in keys:
         on = on & (F.col(f"_l.{k}") == F.col(f"_r.{k}"))
     return a.join(b, on).select("l", "r", overlap().alias("ov")).filter(F.col("ov") > more_than)

@@ -83,3 +83,15 @@ def test_votes_and_priors(spark):
 def test_overlap_join_plans_as_an_equi_join(spark):
     plan = iv.interval_join(rows(spark, [(0, 1)]), rows(spark, [(0, 1)]), ["file_id"])._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_cells_and_deals_change_no_pair(spark):
+    import random
+
+    r = random.Random(5)
+    rows = [(r.randrange(2), i, float(s), float(s + r.choice([0, 1, 5, 300]))) for i in range(120) for s in [r.randrange(400)]]
+    df = spark.createDataFrame(rows, "k int, pos int, s double, e double")
+    pairs = lambda **m: sorted((x.l.pos, x.r.pos) for x in iv.interval_join(df, df, ["k"], **m).select("l", "r").collect())
+    cell = iv.cell_of(df)
+    assert 1 <= cell <= 300 and pairs(cell=cell) == pairs(cell=7.0, deal=5) == pairs()
+    assert iv.cell_of(df.limit(0)) == 1.0
