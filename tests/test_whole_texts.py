@@ -75,8 +75,8 @@ def test_scores_of_whole_texts(spark, folder):
 
 def test_registers_and_halves_of_whole_texts(spark, folder):
     path, docs, _ = folder
-    pairs = spark.createDataFrame([("fr", "Tu viens", "tu vas"), ("fr", "toi", "vous"), ("fr", "te", "rien"), ("ko", "갑니다", "가자"), ("xx", "tu", "tu")], "lang string, ref string, hyp string")
+    pairs = spark.createDataFrame([("fr", "Tu viens", "tu vas"), ("fr", "toi", "vous"), ("fr", "te", "rien"), ("ko", "갑니다", "가자"), ("ko", "가요", "가자"), ("xx", "tu", "tu")], "lang string, ref string, hyp string")
     got = {(r.lang, r["class"]): (r.n, r.agree, r.absent, r.rate) for r in texts.register_agreement(pairs).collect()}
-    assert got == {("fr", "tv"): (3, 1, 1, 33.3), ("ko", "polite"): (1, 0, 0, 0.0)}
+    assert got == {("fr", "tv"): (3, 1, 1, 33.3), ("ko", "polite"): (2, 1, 0, 50.0)}  # the first ends as polite and plain lines do
     want = {i: bool(set(t[: len(t) // 2].lower().split(" ")) & set(t[len(t) // 2 :].lower().split(" "))) for i, t in docs.items()}
     assert {r.doc_id: r.agree for r in texts.g6_feature_overlap(spark, path).collect()} == want
