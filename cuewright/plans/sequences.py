@@ -378,6 +378,9 @@ SQL = {
     "e16_push": "with recursive " + _sql("select file_id, pos, s, e from walk", _WALK.format(order="s, pos", table="spans", key="pos", first="s, e", next="greatest(n.s, w.e + 0.083) as s, case when n.s >= w.e + 0.083 or n.e > w.e + 0.083 then n.e else w.e + 1.083 end as e")).removeprefix("with "),
     "e26_chunks": "with recursive " + _sql("select file_id, chunk, max(n) as lines, max(c) as chars from walk group by file_id, chunk", """walk as (select file_id, pos, 0::bigint as chunk, 1::bigint as n, length(text)::bigint + 1 as c from lines where pos = 0 union all
   select l.file_id, l.pos, w.chunk + (w.c >= 500)::int, case when w.c >= 500 then 0 else w.n end + 1, case when w.c >= 500 then 0 else w.c end + length(l.text) + 1 from walk w join lines l on l.file_id = w.file_id and l.pos = w.pos + 1)""").removeprefix("with "),
+    "h21_wrap": _sql("""select c.file_id, c.idx, case when length(t) <= 42 then t else coalesce(best, '-') end as lines from (select *, trim(regexp_replace(src, '\\s+', ' ', 'g')) as t from cues) c left join (
+  select file_id, idx, arg_min(a || '|' || b, (abs(length(a) - length(b)) - case when regexp_matches(a, '[,.;:!?—]$') then 6 else 0 end + case when lower(w[k]) in ('the', 'a', 'an', 'to', 'of', 'and', 'or', 'in', 'on', 'at', 'for', 'with') then 8 else 0 end) * 10000 + k) as best
+  from (select *, array_to_string(w[:k], ' ') as a, array_to_string(w[k + 1:], ' ') as b from (select *, unnest(generate_series(1, len(w) - 1)) as k from (select *, string_split(trim(regexp_replace(src, '\\s+', ' ', 'g')), ' ') as w from cues) where len(w) <= 84)) where length(a) <= 42 and length(b) <= 42 group by file_id, idx) x using (file_id, idx)"""),
     "e6_identical_merge": _sql("select file_id, run, min(lang) as lang, cast(round(min(s) * 1000) as bigint) as start_ms, cast(round(max(e) * 1000) as bigint) as end_ms from (select *, sum(o) over (partition by file_id order by s, pos) as run from (select *, case when lang = lag(lang) over w and s <= lag(e) over w + 1800 then 0 else 1 end as o from spans window w as (partition by file_id order by s, pos))) group by file_id, run"),
     "e7_repeat_run": _sql("select file_id, pos, row_number() over (partition by file_id order by s, pos) - 1 as idx from (select *, row_number() over (partition by file_id, run order by s, pos) as k from (select *, sum(o) over (partition by file_id order by s, pos) as run from (select *, case when speaker = lag(speaker) over (partition by file_id order by s, pos) then 0 else 1 end as o from spans))) where k <= 2"),
     "e11_smooth": _sql("select u.file_id, u.i, coalesce(u.new, (select arg_min(a.new, abs(a.i - u.i) * 100000 + a.i) from k a where a.sure and a.file_id = u.file_id and a.speaker = u.speaker and abs(a.i - u.i) <= 6), (select arg_min(a.new, abs(a.i - u.i) * 100000 + a.i) from k a where a.sure and a.file_id = u.file_id)) as lang from k u", _SMOOTH),

@@ -411,6 +411,15 @@ SQL = {
     "f2_top_misses": _sql(f"select * from (select file_id, {_M('s', 'start_ms')}, {_M('e - s', 'size_ms')} from missed) where size_ms > 3000 order by size_ms desc, file_id, start_ms limit 20", _MERGED, _MINUS),
     "f6_top_two": _sql("select file_id, speaker, place, pos from (select *, row_number() over (partition by file_id, speaker order by e - s desc, pos) as place from spans) where place <= 2"),
     "i3_resume": "with " + SPANS + ", d as (select file_id, s + case when pos % 2 = 0 then 0.005 else 0.5 end as s from spans where pos % 3 <> 0) select file_id, pos from spans c where not exists (select 1 from d where d.file_id = c.file_id and abs(d.s - c.s) <= 0.01)",
+    "e9_chunks": "with recursive " + SPANS + ",\n" + _MERGED + """,
+entire as (select *, row_number() over (partition by file_id order by s, e, lang) as r from merged),
+cut as (select file_id, lang, r, k, s + k * 7200.0 as a, case when e - s > 7200 then least(e, s + k * 7200.0 + 7200.0) else e end as z from (select *, unnest(generate_series(0, case when e - s > 7200 then cast(ceil((e - s) / 7200.0) as bigint) - 1 else 0 end)) as k from entire)),
+n as (select *, row_number() over (partition by file_id order by r, k) as i from cut),
+walk as (select file_id, i, a as cs, z as ce, lang, 0::bigint as chunk from n where i = 1
+  union all select file_id, i, case when b then a else cs end, z, case when b then nl else lang end, chunk + b::int
+    from (select w.file_id, n.i, w.cs, w.lang, w.chunk, n.a, n.z, n.lang as nl, n.lang <> w.lang or n.z - w.cs > 7200 or (n.a - w.ce >= 600 and (w.ce - w.cs >= 1800 or n.a - w.ce >= 3600)) as b from walk w join n on n.file_id = w.file_id and n.i = w.i + 1)),
+closed as (select file_id, chunk, min(cs) as cs, arg_max(ce, i) as ce, any_value(lang) as lang from walk group by file_id, chunk)
+select file_id, chunk, greatest(0, cs - 0.25, coalesce(lag(ce) over (partition by file_id order by chunk) + 0.25, 0)) as s, ce + 0.25 as e, lang from closed""",
     "e8_windows": "with recursive " + SPANS + """,
 n as (select *, row_number() over (partition by file_id order by s, pos) as i, count(*) over (partition by file_id) as total from spans),
 walk as (select file_id, i, s as opens, e as stop, e - s as speech, 1::bigint as spans, 0::bigint as win from n where i = 1
