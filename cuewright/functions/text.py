@@ -288,7 +288,8 @@ def wrap_lines(text: Column, width: int = 42) -> Column:
         score = F.abs(F.length(a) - F.length(b)) - F.when(a.rlike("[,.;:!?—]$"), 6).otherwise(0) + F.when(small, 8).otherwise(0)
         return F.struct(score.alias("score"), k.alias("k"), F.array(a, b).alias("lines"))
 
-    splits = F.transform(F.when(F.size(w) > 1, F.sequence(F.lit(1), F.size(w) - 1)).otherwise(F.array().cast("array<int>")), scored)
+    # Two lines hold 2 * width characters and the space between them.
+    splits = F.transform(F.when((F.size(w) > 1) & (F.length(t) <= 2 * width + 1), F.sequence(F.lit(1), F.size(w) - 1)).otherwise(F.array().cast("array<int>")), scored)
     fitting = F.filter(splits, lambda x: (F.length(x["lines"][0]) <= width) & (F.length(x["lines"][1]) <= width))
     return F.when(F.length(t) <= width, F.array(t)).otherwise(F.array_min(fitting)["lines"])
 
