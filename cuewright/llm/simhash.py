@@ -15,6 +15,10 @@ thresholds of least cost by which a pair at the similarity meets in some partiti
 documents grows, it picks larger partitions. Fingerprints that meet and lie within four deviations of that share of bits are
 candidates (within a key of many, those that connect what meets), and each candidate becomes a link only if the exact similarity
 of the two texts reaches ``similarity``.
+What fingerprints miss is found without loss: two sets of that similarity share one of the first n - ceil(similarity * n) + 1
+shingles of each under any one order, here frequent ones last. Sets that meet so, are not connected yet and may reach the
+similarity by their sizes and by the parities of their shingles in slots (whose distance is at most the number of shingles
+that only one has) are verified likewise. Equal sets are one node there, whatever their fingerprints.
 
 Defined results: null or empty texts have fingerprint 0 and link as any other; texts of equal fingerprint are one node;
 repeated rows get a row each; a component of null identifiers only has a null component_id; empty tables give empty results;
@@ -23,6 +27,8 @@ other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
+import zlib
 from collections.abc import Iterator
 from itertools import combinations
 from math import acos, comb, log, pi, sqrt
@@ -33,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, meet, tokens_of
+from .common import materialize, meet, release, tokens_of
 from .components import components
 
 SEED = 42
@@ -105,6 +111,63 @@ def fingerprints_of(texts: list[str | None], shingle: int, words: int = 1) -> np
     return np.packbits(counts * 2 > totals[:, None], axis=1, bitorder="little").view("<u8").astype(np.uint64)
 
 
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """The sorted distinct shingles of a text."""
+    return np.unique(np.array([h for some in shingle_hashes(tokens_of(text), shingle) for h in some], np.uint64))
+
+
+def wide_parity(hashes: np.ndarray) -> bytes:
+    """The size of the set (eight bytes), then one bit for each of as many slots as it has hashes (a power of two, at least 512):
+    whether an odd number of them falls there."""
+    slots = max(512, 1 << max(0, len(hashes) - 1).bit_length())
+    odd = np.bincount((hashes * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(24)).astype(np.int64) & slots - 1, minlength=slots) & 1
+    return np.uint64(len(hashes)).tobytes() + np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _folded(parity: np.ndarray, words: int) -> np.ndarray:
+    """The parities by fewer slots."""
+    while len(parity) > words:
+        parity = parity[: len(parity) // 2] ^ parity[len(parity) // 2 :]
+    return parity
+
+
+def may_reach(a: bytes, b: bytes, similarity: float) -> bool:
+    """False only if the sets of two ``wide_parity`` have a smaller Jaccard similarity."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    m, n, words = int(x[0]), int(y[0]), min(len(x), len(y)) - 1
+    if min(m, n) < similarity * max(m, n) - 1e-6:
+        return False
+    return int(np.bitwise_count(_folded(x[1:], words) ^ _folded(y[1:], words)).sum()) <= (1 - similarity) / (1 + similarity) * (m + n) + 1e-6
+
+
+def set_fingerprints(documents: DataFrame, shingle: int, words: int) -> DataFrame:
+    """row_id, doc, bits (of the distinct shingles), digest, size, parity (256 slots) and wide (``wide_parity``) of the set of shingles."""
+    docs = documents.select(F.monotonically_increasing_id().alias("row_id"), F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("doc"), "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 100):
+                part = b.slice(lo, 100)
+                sets = [shingle_set(t, shingle) for t in part.column("text").to_pylist()]
+                size = np.array([len(x) for x in sets])
+                counts = np.zeros((len(sets), 64 * words), np.int64)
+                runs = [(d, x[k : k + 255]) for d, x in enumerate(sets) for k in range(0, len(x), 255)]
+                while runs:
+                    some = runs[: _CHUNK // 255]
+                    del runs[: len(some)]
+                    starts = np.cumsum([0] + [len(x) for _, x in some[:-1]])
+                    np.add.at(counts, [d for d, _ in some], _bit_counts(_words(np.concatenate([x for _, x in some]), words), starts))
+                fp = np.packbits(counts * 2 > size[:, None], axis=1, bitorder="little").view("<u8").view(np.int64)
+                wide = [wide_parity(x) for x in sets]
+                parity = np.array([_folded(np.frombuffer(x, np.uint64, offset=8), 4) for x in wide]).view(np.int64)
+                lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel())) for x in (fp, parity)]
+                digest = pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("row_id"), part.column("doc"), lists[0], digest, pa.array(size, pa.int64()), lists[1], pa.array(wide, pa.binary())], names=["row_id", "doc", "bits", "digest", "size", "parity", "wide"])
+
+    schema = T.StructType([*docs.schema[:2].fields, *T.StructType.fromDDL("bits array<long>, digest binary, size long, parity array<long>, wide binary")])
+    return docs.mapInArrow(run, schema)
+
+
 def fingerprints(documents: DataFrame, shingle: int = 3, words: int = 1, kept: list[str] | None = None) -> DataFrame:
     """row_id, doc (the kept columns), bits (the fingerprint as signed longs)."""
     docs = documents.select(F.monotonically_increasing_id().alias("row_id"), F.struct(*[F.col(f"`{c}`") for c in kept or documents.columns]).alias("doc"), "text")
@@ -352,10 +415,10 @@ def links(fps: DataFrame, probes: list[Probe], distance: int, widest: int = 0) -
 BROADCAST_ROWS = 1_000_000
 
 
-def _nodes(docs: DataFrame) -> DataFrame:
-    """The stored distinct fingerprints: node, bits, least (doc_id), n (rows), best (the row that stands for them)."""
+def _nodes(docs: DataFrame, by: tuple[str, ...] = ("bits",)) -> DataFrame:
+    """The stored distinct fingerprints (or what else tells nodes apart): node, bits, least (doc_id), n (rows), best (the row that stands for them)."""
     best = F.min(F.struct(F.col("doc.doc_id").isNull().alias("null"), F.col("doc.doc_id").alias("doc_id"), "row_id"))
-    fps = docs.groupBy("bits").agg(F.min("doc.doc_id").alias("least"), F.count("*").alias("n"), best.alias("best"))
+    fps = docs.groupBy(*by).agg(F.min("doc.doc_id").alias("least"), F.count("*").alias("n"), best.alias("best"))
     return materialize(fps.withColumn("node", F.monotonically_increasing_id()), "distinct-fingerprints")
 
 
@@ -381,7 +444,7 @@ def _shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
         for b in batches:
             for lo in range(0, b.num_rows, 200):
                 part = b.slice(lo, 200)
-                told = [np.unique(np.array([h for some in shingle_hashes(tokens_of(t), shingle) for h in some], np.uint64)).tobytes() for t in part.column("text").to_pylist()]
+                told = [shingle_set(t, shingle).tobytes() for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(told, pa.binary())], names=["node", "hashes"])
 
     return texts.mapInArrow(run, "node long, hashes binary")
@@ -394,36 +457,240 @@ def jaccard(a: bytes, b: bytes) -> float:
     return both / (len(x) + len(y) - both) if len(x) or len(y) else 1.0
 
 
-def similar(docs: DataFrame, fps: DataFrame, edges: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The edges whose texts have at least that Jaccard similarity of shingles. docs: row_id, doc; fps: node, best."""
-    edges = materialize(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "candidate-links")
-    degrees = [edges.groupBy(F.col(c).alias("node")).agg(F.count("*").alias(f"n{c}")) for c in "uv"]
-    ends = materialize(degrees[0].join(degrees[1], "node", "full").join(fps.select("node", "best.row_id"), "node"), "link-ends")
-    small = ends.select("row_id", "node")
-    texts = docs.select("row_id", "doc.text").join(F.broadcast(small) if ends.count() <= BROADCAST_ROWS else small, "row_id")
-    sets = materialize(_shingle_sets(texts.select("node", "text"), shingle), "shingle-sets").join(ends, "node")
+def _tested(edges: DataFrame, values: DataFrame, test) -> DataFrame:
+    """The edges (u, v) of whose ends' values (node, value) the test holds."""
 
     def end(c: str) -> DataFrame:
-        return sets.filter(F.col(f"n{c}").isNotNull()).select(F.col("node").alias(c), F.col("hashes").alias(f"h{c}"), F.col(f"n{c}").alias("n"))
+        degrees = edges.groupBy(F.col(c).alias("node")).agg(F.count("*").alias("n"))
+        return values.join(degrees, "node").select(F.col("node").alias(c), F.col("value").alias(f"h{c}"), "n")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            held = [jaccard(x, y) >= similarity for x, y in zip(b.column("hu").to_pylist(), b.column("hv").to_pylist(), strict=True)]
+            held = [test(x, y) for x, y in zip(b.column("hu").to_pylist(), b.column("hv").to_pylist(), strict=True)]
             yield b.select(["u", "v"]).filter(pa.array(held, pa.bool_()))
 
     met = meet(meet(edges, end("u"), ["u"], F.length("hu")), end("v"), ["v"], F.length("hv"))
     return met.select("u", "v", "hu", "hv").mapInArrow(run, "u long, v long")
 
 
+def similar(docs: DataFrame, fps: DataFrame, edges: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Stored: the edges whose texts have at least that Jaccard similarity of shingles. docs: row_id, doc; fps: node, best, wide."""
+    edges = materialize(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "candidate-links")
+    wide = fps.select("node", F.col("wide").alias("value"))
+    possible = materialize(_tested(edges, wide, lambda x, y: may_reach(x, y, similarity)), "possible-links")
+    nodes = possible.select(F.col("u").alias("node")).union(possible.select("v")).distinct()
+    ends = materialize(nodes.join(fps.select("node", "best.row_id"), "node"), "link-ends")
+    texts = docs.select("row_id", "doc.text").join(F.broadcast(ends) if ends.count() <= BROADCAST_ROWS else ends, "row_id")
+    sets = materialize(_shingle_sets(texts.select("node", "text"), shingle), "shingle-sets")
+    out = materialize(_tested(possible, sets.select("node", F.col("hashes").alias("value")), lambda x, y: jaccard(x, y) >= similarity), "links")
+    release(edges, possible, ends, sets)
+    return out
+
+
+_FLUSH = 2_000_000  # prefix rows sorted and packed at a time
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """Non-negative numbers, compressed byte plane by byte plane."""
+    return zlib.compress(x.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+
+
+def _unpacked(blob: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(blob), np.uint8).reshape(8, -1).T).view("<u8").ravel()
+
+
+def prefix_length(size: int, similarity: float) -> int:
+    """Of two sets of the similarity, each has one of the other's among its first so many under any one order."""
+    return size - max(1, int(np.ceil(similarity * size - 1e-9))) + 1 if size else 0
+
+
+def frequent_shingles(docs: DataFrame, shingle: int, most: int = 200_000) -> np.ndarray:
+    """Sorted shingles that stand in many texts of some. They only shape the order of prefixes, which loses nothing under any order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 1000):
+                sets = [shingle_set(t, shingle) for t in b.column("text").slice(lo, 1000).to_pylist()]
+                key, n = np.unique(np.concatenate(sets), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], names=["key", "n"])
+
+    some = docs.filter(F.pmod(F.xxhash64("row_id"), F.lit(16)) == 0).select("doc.text").mapInArrow(run, "key long, n long")
+    counts = some.groupBy("key").agg(F.sum("n").alias("n")).filter("n >= 3").orderBy(F.desc("n"), "key").limit(most)
+    return np.sort(counts.toArrow().column("key").to_numpy().view(np.uint64))
+
+
+def shared_prefixes(docs: DataFrame, shingle: int, similarity: float, parts: int) -> DataFrame:
+    """key, row_id of the prefix shingles (48 bits of each) that several rows have."""
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(frequent_shingles(docs, shingle))
+
+    def pack(keys: list[np.ndarray], ids: list[int]) -> pa.RecordBatch:
+        base = min(ids)
+        row = np.repeat(np.array(ids) - base, [len(x) for x in keys])
+        key = np.concatenate(keys) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(16)
+        order = np.argsort(key)
+        key, row = key[order], row[order]
+        bounds = np.searchsorted(key, [((k << 48) + parts - 1) // parts for k in range(parts)] + [1 << 48])
+        told = [(k, base, _packed(np.diff(key[a:z], prepend=np.uint64(0))), _packed(row[a:z])) for k, (a, z) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if z > a]
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*told, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["part", "base", "keys", "rows"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often, keys, ids, size = shared.value, [], [], 0
+        for b in batches:
+            for row, text in zip(b.column("row_id").to_pylist(), b.column("text").to_pylist(), strict=True):
+                x = shingle_set(text, shingle)
+                if not len(x):
+                    continue
+                if len(often):
+                    last = often[np.minimum(np.searchsorted(often, x), len(often) - 1)] == x
+                    x = np.concatenate([x[~last], x[last]])
+                keys.append(x[: prefix_length(len(x), similarity)])
+                ids.append(row)
+                size += len(keys[-1])
+                if size >= _FLUSH:
+                    yield pack(keys, ids)
+                    keys, ids, size = [], [], 0
+        if keys:
+            yield pack(keys, ids)
+
+    def meeting(keys: list[np.ndarray], rows: list[np.ndarray]) -> pa.RecordBatch:
+        key, row = np.concatenate(keys), np.concatenate(rows)
+        order = np.argsort(key)
+        key, row = key[order], row[order]
+        same = key[1:] == key[:-1]
+        several = np.append(same, False) | np.append(False, same)
+        return pa.RecordBatch.from_arrays([pa.array(key[several].astype(np.int64)), pa.array(row[several].astype(np.int64))], names=["key", "row_id"])
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, keys, rows = None, [], []
+        for b in batches:
+            for k in range(b.num_rows):
+                part = b.column("part")[k].as_py()
+                if part != now and keys:
+                    yield meeting(keys, rows)
+                    keys, rows = [], []
+                now = part
+                keys.append(np.cumsum(_unpacked(b.column("keys")[k].as_py()), dtype=np.uint64))
+                rows.append(_unpacked(b.column("rows")[k].as_py()).astype(np.int64) + b.column("base")[k].as_py())
+        if keys:
+            yield meeting(keys, rows)
+
+    packed = docs.select("row_id", "doc.text").mapInArrow(run, "part int, base long, keys binary, rows binary")
+    return packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(met, "key long, row_id long")
+
+
+def _may_link(key: np.ndarray, root: np.ndarray, size: np.ndarray, parity: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (row numbers) of equal key and other root whose sizes and parities do not exclude the similarity; rows go by key and size."""
+    us, vs, at, d = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], np.arange(len(key)), 0
+    bound = (1 - similarity) / (1 + similarity)
+    while len(at):
+        d += 1
+        at = at[at + d < len(key)]
+        at = at[(key[at] == key[at + d]) & (size[at] >= similarity * size[at + d] - 1e-6)]
+        u = at[root[at] != root[at + d]]
+        apart = np.bitwise_count(parity[u] ^ parity[u + d]).sum(1, dtype=np.int64)
+        u = u[apart <= bound * (size[u] + size[u + d]) + 1e-6]
+        us.append(u)
+        vs.append(u + d)
+    return np.concatenate(us), np.concatenate(vs)
+
+
+def _may_connect(key: np.ndarray, root: np.ndarray, size: np.ndarray, parity: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs as of ``_may_link`` that connect what they connect within each key: at most one for each row."""
+    starts = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
+    bound, us, vs = (1 - similarity) / (1 + similarity), [], []
+    for a, z in zip(starts[:-1], starts[1:], strict=True):
+        open_ = np.arange(a, z)
+        while len(open_):
+            front, open_ = [open_[0]], open_[1:]
+            while front and len(open_):
+                u = front.pop()
+                own = root[open_] == root[u]
+                apart = np.bitwise_count(parity[open_] ^ parity[u]).sum(1, dtype=np.int64)
+                near = (apart <= bound * (size[open_] + size[u]) + 1e-6) & (np.minimum(size[open_], size[u]) >= similarity * np.maximum(size[open_], size[u]) - 1e-6) & ~own
+                us.append(np.full(near.sum(), u))
+                vs.append(open_[near])
+                front += open_[near | own].tolist()
+                open_ = open_[~(near | own)]
+    return tuple(np.concatenate([np.zeros(0, np.int64), *x]) for x in (us, vs))
+
+
+def met_prefixes(docs: DataFrame, fps: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Stored: key, node of the prefix shingles that several rows have."""
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs.agg(F.sum("size")).first()[0] or 0
+    parts = max(n, int(rows * (1 - similarity)) // _FLUSH + 1)
+    names = materialize(fps.select("best.row_id", "node"), "named-rows")
+    named = F.broadcast(names) if names.count() <= BROADCAST_ROWS else names
+    out = materialize(shared_prefixes(docs, shingle, similarity, parts).join(named, "row_id").select("key", "node"), "met-prefixes")
+    release(names)
+    return out
+
+
+def unmet_pairs(met: DataFrame, rooted: DataFrame, similarity: float, least: bool = False) -> DataFrame:
+    """Stored: u, v, the pairs of nodes of different roots that may have the similarity; none that has it is left out.
+
+    least: only so many that those of a key are connected."""
+    n = int(met.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    few = rooted.count()
+    roots = rooted.select("node", "root")
+    met = met.join(F.broadcast(roots) if few <= BROADCAST_ROWS else roots, "node")
+    keys = met.groupBy("key").agg(F.count("*").alias("n"), (F.min("root") != F.max("root")).alias("apart")).filter("apart").select("key", "n")
+    keys = materialize(keys, "open-keys")
+    keyed = meet(met, keys.withColumn("rows", F.col("n")), ["key"])
+    # Keys of many are dealt into blocks, each pair of which is compared in a task of its own.
+    blocks = F.when(F.col("rows") > HEAVY, F.ceil(2 * F.col("rows") / HEAVY)).otherwise(1).cast("long")
+    keyed = keyed.withColumn("blocks", blocks).withColumn("b", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    keyed = keyed.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    key = F.when(F.col("blocks") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("b", "o"), F.greatest("b", "o")))
+    held = rooted.select("node", "size", "parity")
+    held = F.broadcast(held) if few <= BROADCAST_ROWS // 8 else held
+    keyed = keyed.select(key.alias("key"), "node", "root").join(held, "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = None
+        for b in batches:
+            kept = pa.Table.from_batches([b]) if kept is None else pa.concat_tables([kept, pa.Table.from_batches([b])])
+            at = kept.column("key").to_numpy()
+            new = np.flatnonzero(at[1:] != at[:-1])
+            if len(new):
+                yield pairs(kept.slice(0, int(new[-1]) + 1))
+                kept = kept.slice(int(new[-1]) + 1)
+        if kept is not None and kept.num_rows:
+            yield pairs(kept)
+
+    def pairs(t: pa.Table) -> pa.RecordBatch:
+        node = t.column("node").to_numpy()
+        u, v = (_may_connect if least else _may_link)(*(t.column(c).to_numpy() for c in ("key", "root", "size")), _matrix(t.column("parity").combine_chunks()), similarity)
+        both = np.unique(np.stack([np.minimum(node[u], node[v]), np.maximum(node[u], node[v])]), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in both], names=["u", "v"])
+
+    dealt = keyed.select("key", "node", "root", "size", "parity").repartition(n, "key").sortWithinPartitions("key", "size")
+    out = materialize(dealt.mapInArrow(run, "u long, v long"), "unmet-pairs")
+    release(keys)
+    return out
+
+
 def one_of_each(documents: DataFrame, shingle: int = 5, similarity: float = 0.8, aim: float = 0.97, words: int = 8) -> DataFrame:
     """The documents less all but one row of each group of near-duplicates: the row of the smallest doc_id stays."""
-    docs = materialize(fingerprints(documents, shingle, words), "fingerprints", packed=True)
-    fps = _nodes(docs)
+    docs = materialize(set_fingerprints(documents, shingle, words), "fingerprints", packed=True)
+    fps = _nodes(docs, ("bits", "digest", "size", "parity", "wide"))
     share, bits = share_of_bits(similarity), 64 * words
     most = [int(n * share + 4 * sqrt(n * share * (1 - share))) for n in (64, bits)]
     edges = links(fps, plan_similar(fps, words, similarity, aim), *most)
-    rooted = _rooted(fps, similar(docs, fps, edges, shingle, similarity))
+    found = similar(docs, fps, edges, shingle, similarity)
+    met = met_prefixes(docs, fps, shingle, similarity)
+    spent = [fps, met, found]
+    # First what connects the texts of a key, so that large groups are one before all pairs of what is still apart are taken.
+    for least in (True, False):
+        connected = materialize(_rooted(fps.select("node", "size", "parity"), found), "rooted")
+        pairs = unmet_pairs(met, connected, similarity, least)
+        more = similar(docs, fps, pairs, shingle, similarity)
+        found = found.unionByName(more)
+        spent += [connected, pairs, more]
+    rooted = _rooted(fps.select("node", "best"), found)
     best = rooted.groupBy("root").agg(F.min("best").alias("best")).select("best.row_id")
     gone = materialize(docs.select("row_id").join(best, "row_id", "left_anti"), "dropped-rows")
+    release(*spent)
     small = gone.count() <= BROADCAST_ROWS
     return docs.join(F.broadcast(gone) if small else gone, "row_id", "left_anti").select("doc.*")

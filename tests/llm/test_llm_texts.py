@@ -146,6 +146,28 @@ def test_pairs_about_the_bound(spark, monkeypatch):
     assert len(again ^ kept) <= 4
 
 
+def test_no_link_at_the_bound_is_lost(spark, monkeypatch):
+    """Each pair of similarity 0.8 and more counts, however far apart the fingerprints lie and however few of them meet."""
+    r = random.Random(12)
+    texts = [" ".join(f"s{k}" for k in range(50)) + " z" * n for n in (5, 300)]  # one set of shingles, two fingerprints
+    texts += ["z " * 300, " ".join(f"v{k}" for k in range(5)), "v0 v1", "v0 v1 v2"]
+    for n in range(40):
+        base = [f"w{r.randrange(5000)}" for _ in range(r.randint(40, 240))] + ["the same last words stand in all of these texts"]
+        texts += [" ".join(base)] + [" ".join(near_copy(base, r.randint(1, 5), r, k)) for k in (False, True)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    words = [t.split() for t in texts]
+    sets = [{" ".join(t[i : i + 5]) for i in range(max(1, len(t) - 4))} for t in words]
+    want = brute_components(range(len(texts)), [0] * len(texts), -1)
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if len(a & b) >= 0.8 * len(a | b) and want[i] != want[j]:
+                low, high = sorted((want[i], want[j]))
+                want = [low if x == high else x for x in want]
+    for heavy, aim in ((simhash.HEAVY, 0.97), (simhash.HEAVY, 0.01), (8, 0.01)):
+        monkeypatch.setattr(simhash, "HEAVY", heavy)
+        assert sorted(x.doc_id for x in simhash.one_of_each(docs, aim=aim).collect()) == sorted(set(want))
+
+
 def test_chances_meet_the_aim():
     share = simhash.share_of_bits(0.8)
     assert abs(share - 0.1515) < 1e-3
