@@ -16,9 +16,11 @@ documents grows, it picks larger partitions. Fingerprints that meet and lie with
 candidates (within a key of many, those that connect what meets), and each candidate becomes a link only if the exact similarity
 of the two texts reaches ``similarity``.
 What fingerprints miss is found without loss: two sets of that similarity share one of the first n - ceil(similarity * n) + 1
-shingles of each under any one order, here frequent ones last. Sets that meet so, are not connected yet and may reach the
-similarity by their sizes and by the parities of their shingles in slots (whose distance is at most the number of shingles
-that only one has) are verified likewise. Equal sets are one node there, whatever their fingerprints.
+shingles of each under any one order, here frequent ones last, by their number. Behind the first that they share, both have
+enough shingles left for all that they must share, so sets meet only by keys that stand so far ahead in both. Sets that meet so,
+are not connected yet and may reach the similarity by their sizes and by the parities of their shingles in slots (whose distance
+is at most the number of shingles that only one has) are verified likewise. Equal sets are one node there, whatever their
+fingerprints.
 
 Defined results: null or empty texts have fingerprint 0 and link as any other; texts of equal fingerprint are one node;
 repeated rows get a row each; a component of null identifiers only has a null component_id; empty tables give empty results;
@@ -47,6 +49,8 @@ HEAVY = 20_000
 #: Relative cost of one probe row against one compared pair.
 PROBE_COST = 300.0
 _CHUNK = 1 << 16
+#: Words of the parities that pairs of prefixes are told by; ``wide_parity`` has no fewer.
+PARITY = 16
 
 
 def _words(h: np.ndarray, words: int) -> np.ndarray:
@@ -117,9 +121,9 @@ def shingle_set(text: str | None, shingle: int) -> np.ndarray:
 
 
 def wide_parity(hashes: np.ndarray) -> bytes:
-    """The size of the set (eight bytes), then one bit for each of as many slots as it has hashes (a power of two, at least 512):
+    """The size of the set (eight bytes), then one bit for each of as many slots as it has hashes (a power of two, at least 1024):
     whether an odd number of them falls there."""
-    slots = max(512, 1 << max(0, len(hashes) - 1).bit_length())
+    slots = max(64 * PARITY, 1 << max(0, len(hashes) - 1).bit_length())
     odd = np.bincount((hashes * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(24)).astype(np.int64) & slots - 1, minlength=slots) & 1
     return np.uint64(len(hashes)).tobytes() + np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -141,7 +145,7 @@ def may_reach(a: bytes, b: bytes, similarity: float) -> bool:
 
 
 def set_fingerprints(documents: DataFrame, shingle: int, words: int) -> DataFrame:
-    """row_id, doc, bits (of the distinct shingles), digest, size, parity (256 slots) and wide (``wide_parity``) of the set of shingles."""
+    """row_id, doc, bits (of the distinct shingles), digest, size, parity (64 * PARITY slots) and wide (``wide_parity``) of the set of shingles."""
     docs = documents.select(F.monotonically_increasing_id().alias("row_id"), F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("doc"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,7 +163,7 @@ def set_fingerprints(documents: DataFrame, shingle: int, words: int) -> DataFram
                     np.add.at(counts, [d for d, _ in some], _bit_counts(_words(np.concatenate([x for _, x in some]), words), starts))
                 fp = np.packbits(counts * 2 > size[:, None], axis=1, bitorder="little").view("<u8").view(np.int64)
                 wide = [wide_parity(x) for x in sets]
-                parity = np.array([_folded(np.frombuffer(x, np.uint64, offset=8), 4) for x in wide]).view(np.int64)
+                parity = np.array([_folded(np.frombuffer(x, np.uint64, offset=8), PARITY) for x in wide]).view(np.int64)
                 lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel())) for x in (fp, parity)]
                 digest = pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column("row_id"), part.column("doc"), lists[0], digest, pa.array(size, pa.int64()), lists[1], pa.array(wide, pa.binary())], names=["row_id", "doc", "bits", "digest", "size", "parity", "wide"])
@@ -504,8 +508,8 @@ def prefix_length(size: int, similarity: float) -> int:
     return size - max(1, int(np.ceil(similarity * size - 1e-9))) + 1 if size else 0
 
 
-def frequent_shingles(docs: DataFrame, shingle: int, most: int = 200_000) -> np.ndarray:
-    """Sorted shingles that stand in many texts of some. They only shape the order of prefixes, which loses nothing under any order."""
+def frequent_shingles(docs: DataFrame, shingle: int, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted shingles that stand in many texts of some, and in how many. They only shape the order of prefixes, which loses nothing under any order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -516,71 +520,105 @@ def frequent_shingles(docs: DataFrame, shingle: int, most: int = 200_000) -> np.
 
     some = docs.filter(F.pmod(F.xxhash64("row_id"), F.lit(16)) == 0).select("doc.text").mapInArrow(run, "key long, n long")
     counts = some.groupBy("key").agg(F.sum("n").alias("n")).filter("n >= 3").orderBy(F.desc("n"), "key").limit(most)
-    return np.sort(counts.toArrow().column("key").to_numpy().view(np.uint64))
+    told = counts.toArrow()
+    key, n = told.column("key").to_numpy().view(np.uint64), told.column("n").to_numpy()
+    order = np.argsort(key)
+    return key[order], n[order]
+
+
+def overlap(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+    """How many shingles sets of these sizes share at least, if they have the similarity."""
+    return np.ceil(similarity / (1 + similarity) * (a + b) - 1e-6)
+
+
+def _has_partner(key: np.ndarray, place: np.ndarray, size: np.ndarray, similarity: float, steps: int = 256) -> np.ndarray:
+    """False only for rows that cannot meet another of their key for the first time there (``_may_link``); rows go by key and size."""
+    out, at, end = np.zeros(len(key), bool), np.arange(len(key)), np.searchsorted(key, key, side="right")
+    for d in range(1, steps):
+        at = at[at + d < len(key)]
+        at = at[(key[at] == key[at + d]) & (size[at] >= similarity * size[at + d] - 1e-6)]
+        if not len(at):
+            return out
+        fits = np.minimum(size[at] - place[at], size[at + d] - place[at + d]) >= overlap(size[at], size[at + d], similarity)
+        out[at[fits]] = out[at[fits] + d] = True
+        if d % 8 == 0:
+            left = np.append(0, np.cumsum(~out))
+            at = at[~out[at] | (left[end[at]] > left[np.minimum(at + d + 1, end[at])])]
+    return out | np.isin(key, key[at])  # keys that are not compared to their end stay whole
 
 
 def shared_prefixes(docs: DataFrame, shingle: int, similarity: float, parts: int) -> DataFrame:
-    """key, row_id of the prefix shingles (48 bits of each) that several rows have."""
+    """key, row_id, place (from 0, under the order of the prefixes) of the prefix shingles (48 bits of each) by which rows may meet others first."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(frequent_shingles(docs, shingle))
 
-    def pack(keys: list[np.ndarray], ids: list[int]) -> pa.RecordBatch:
-        base = min(ids)
-        row = np.repeat(np.array(ids) - base, [len(x) for x in keys])
+    def pack(keys: list[np.ndarray], ids: list[int], sizes: list[int]) -> pa.RecordBatch:
+        base, n = min(ids), [len(x) for x in keys]
+        row = np.repeat(np.array(ids) - base, n)
+        stand = np.concatenate([np.arange(k) for k in n]) | np.repeat(np.array(sizes) << 32, n)
         key = np.concatenate(keys) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(16)
         order = np.argsort(key)
-        key, row = key[order], row[order]
+        key, row, stand = key[order], row[order], stand[order]
         bounds = np.searchsorted(key, [((k << 48) + parts - 1) // parts for k in range(parts)] + [1 << 48])
-        told = [(k, base, _packed(np.diff(key[a:z], prepend=np.uint64(0))), _packed(row[a:z])) for k, (a, z) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if z > a]
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*told, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["part", "base", "keys", "rows"])
+        told = [(k, base, _packed(np.diff(key[a:z], prepend=np.uint64(0))), _packed(row[a:z]), _packed(stand[a:z])) for k, (a, z) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if z > a]
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*told, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["part", "base", "keys", "rows", "stands"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often, keys, ids, size = shared.value, [], [], 0
+        (often, counts), keys, ids, sizes, size = shared.value, [], [], [], 0
         for b in batches:
             for row, text in zip(b.column("row_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 x = shingle_set(text, shingle)
                 if not len(x):
                     continue
                 if len(often):
-                    last = often[np.minimum(np.searchsorted(often, x), len(often) - 1)] == x
-                    x = np.concatenate([x[~last], x[last]])
+                    at = np.minimum(np.searchsorted(often, x), len(often) - 1)
+                    last = often[at] == x
+                    x = np.concatenate([x[~last], x[last][np.argsort(counts[at[last]], kind="stable")]])
                 keys.append(x[: prefix_length(len(x), similarity)])
                 ids.append(row)
+                sizes.append(len(x))
                 size += len(keys[-1])
                 if size >= _FLUSH:
-                    yield pack(keys, ids)
-                    keys, ids, size = [], [], 0
+                    yield pack(keys, ids, sizes)
+                    keys, ids, sizes, size = [], [], [], 0
         if keys:
-            yield pack(keys, ids)
+            yield pack(keys, ids, sizes)
 
-    def meeting(keys: list[np.ndarray], rows: list[np.ndarray]) -> pa.RecordBatch:
-        key, row = np.concatenate(keys), np.concatenate(rows)
+    def meeting(keys: list[np.ndarray], rows: list[np.ndarray], stands: list[np.ndarray]) -> pa.RecordBatch:
+        key, row, stand = np.concatenate(keys), np.concatenate(rows), np.concatenate(stands)
         order = np.argsort(key)
-        key, row = key[order], row[order]
-        same = key[1:] == key[:-1]
-        several = np.append(same, False) | np.append(False, same)
-        return pa.RecordBatch.from_arrays([pa.array(key[several].astype(np.int64)), pa.array(row[several].astype(np.int64))], names=["key", "row_id"])
+        same = np.diff(key[order]) == 0
+        order = order[np.append(same, False) | np.append(False, same)]
+        order = order[np.lexsort((stand[order], key[order]))]  # by key, size, place
+        key, row, stand = key[order].astype(np.int64), row[order], stand[order].astype(np.int64)
+        place = stand & (1 << 32) - 1
+        kept = _has_partner(key, place, stand >> 32, similarity)
+        return pa.RecordBatch.from_arrays([pa.array(key[kept]), pa.array(row[kept]), pa.array(place[kept])], names=["key", "row_id", "place"])
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, keys, rows = None, [], []
+        now, keys, rows, stands = None, [], [], []
         for b in batches:
             for k in range(b.num_rows):
                 part = b.column("part")[k].as_py()
                 if part != now and keys:
-                    yield meeting(keys, rows)
-                    keys, rows = [], []
+                    yield meeting(keys, rows, stands)
+                    keys, rows, stands = [], [], []
                 now = part
                 keys.append(np.cumsum(_unpacked(b.column("keys")[k].as_py()), dtype=np.uint64))
                 rows.append(_unpacked(b.column("rows")[k].as_py()).astype(np.int64) + b.column("base")[k].as_py())
+                stands.append(_unpacked(b.column("stands")[k].as_py()))
         if keys:
-            yield meeting(keys, rows)
+            yield meeting(keys, rows, stands)
+
+    packed = docs.select("row_id", "doc.text").mapInArrow(run, "part int, base long, keys binary, rows binary, stands binary")
+    return packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(met, "key long, row_id long, place long")
 
-    packed = docs.select("row_id", "doc.text").mapInArrow(run, "part int, base long, keys binary, rows binary")
-    return packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(met, "key long, row_id long")
 
+def _may_link(key: np.ndarray, root: np.ndarray, place: np.ndarray, size: np.ndarray, parity: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (row numbers) of equal key and other root whose sizes and parities do not exclude the similarity; rows go by key and size.
 
-def _may_link(key: np.ndarray, root: np.ndarray, size: np.ndarray, parity: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (row numbers) of equal key and other root whose sizes and parities do not exclude the similarity; rows go by key and size."""
+    Two sets of the similarity share their first common shingle at places behind which both have enough shingles left for all
+    that they must share; so pairs whose key stands later in either are left to that shingle, if they have one."""
     us, vs, at, d = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], np.arange(len(key)), 0
     bound = (1 - similarity) / (1 + similarity)
     while len(at):
@@ -588,6 +626,7 @@ def _may_link(key: np.ndarray, root: np.ndarray, size: np.ndarray, parity: np.nd
         at = at[at + d < len(key)]
         at = at[(key[at] == key[at + d]) & (size[at] >= similarity * size[at + d] - 1e-6)]
         u = at[root[at] != root[at + d]]
+        u = u[np.minimum(size[u] - place[u], size[u + d] - place[u + d]) >= overlap(size[u], size[u + d], similarity)]
         apart = np.bitwise_count(parity[u] ^ parity[u + d]).sum(1, dtype=np.int64)
         u = u[apart <= bound * (size[u] + size[u + d]) + 1e-6]
         us.append(u)
@@ -595,7 +634,7 @@ def _may_link(key: np.ndarray, root: np.ndarray, size: np.ndarray, parity: np.nd
     return np.concatenate(us), np.concatenate(vs)
 
 
-def _may_connect(key: np.ndarray, root: np.ndarray, size: np.ndarray, parity: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+def _may_connect(key: np.ndarray, root: np.ndarray, place: np.ndarray, size: np.ndarray, parity: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """Pairs as of ``_may_link`` that connect what they connect within each key: at most one for each row."""
     starts = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
     bound, us, vs = (1 - similarity) / (1 + similarity), [], []
@@ -608,6 +647,7 @@ def _may_connect(key: np.ndarray, root: np.ndarray, size: np.ndarray, parity: np
                 own = root[open_] == root[u]
                 apart = np.bitwise_count(parity[open_] ^ parity[u]).sum(1, dtype=np.int64)
                 near = (apart <= bound * (size[open_] + size[u]) + 1e-6) & (np.minimum(size[open_], size[u]) >= similarity * np.maximum(size[open_], size[u]) - 1e-6) & ~own
+                near &= np.minimum(size[open_] - place[open_], size[u] - place[u]) >= overlap(size[open_], size[u], similarity)
                 us.append(np.full(near.sum(), u))
                 vs.append(open_[near])
                 front += open_[near | own].tolist()
@@ -616,13 +656,15 @@ def _may_connect(key: np.ndarray, root: np.ndarray, size: np.ndarray, parity: np
 
 
 def met_prefixes(docs: DataFrame, fps: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Stored: key, node of the prefix shingles that several rows have."""
+    """Stored: key, node, place of the prefix shingles by which nodes may meet others first."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.agg(F.sum("size")).first()[0] or 0
     parts = max(n, int(rows * (1 - similarity)) // _FLUSH + 1)
     names = materialize(fps.select("best.row_id", "node"), "named-rows")
     named = F.broadcast(names) if names.count() <= BROADCAST_ROWS else names
-    out = materialize(shared_prefixes(docs, shingle, similarity, parts).join(named, "row_id").select("key", "node"), "met-prefixes")
+    if named is not names:  # copies would meet each other everywhere; more nodes are told from them after it
+        docs = docs.join(named.select("row_id"), "row_id", "left_semi")
+    out = materialize(shared_prefixes(docs, shingle, similarity, parts).join(named, "row_id").select("key", "node", "place"), "met-prefixes")
     release(names)
     return out
 
@@ -645,7 +687,7 @@ def unmet_pairs(met: DataFrame, rooted: DataFrame, similarity: float, least: boo
     key = F.when(F.col("blocks") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("b", "o"), F.greatest("b", "o")))
     held = rooted.select("node", "size", "parity")
     held = F.broadcast(held) if few <= BROADCAST_ROWS // 8 else held
-    keyed = keyed.select(key.alias("key"), "node", "root").join(held, "node")
+    keyed = keyed.select(key.alias("key"), "node", "root", "place").join(held, "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = None
@@ -661,11 +703,11 @@ def unmet_pairs(met: DataFrame, rooted: DataFrame, similarity: float, least: boo
 
     def pairs(t: pa.Table) -> pa.RecordBatch:
         node = t.column("node").to_numpy()
-        u, v = (_may_connect if least else _may_link)(*(t.column(c).to_numpy() for c in ("key", "root", "size")), _matrix(t.column("parity").combine_chunks()), similarity)
+        u, v = (_may_connect if least else _may_link)(*(t.column(c).to_numpy() for c in ("key", "root", "place", "size")), _matrix(t.column("parity").combine_chunks()), similarity)
         both = np.unique(np.stack([np.minimum(node[u], node[v]), np.maximum(node[u], node[v])]), axis=1)
         return pa.RecordBatch.from_arrays([pa.array(x) for x in both], names=["u", "v"])
 
-    dealt = keyed.select("key", "node", "root", "size", "parity").repartition(n, "key").sortWithinPartitions("key", "size")
+    dealt = keyed.select("key", "node", "root", "place", "size", "parity").repartition(n, "key").sortWithinPartitions("key", "size")
     out = materialize(dealt.mapInArrow(run, "u long, v long"), "unmet-pairs")
     release(keys)
     return out

@@ -9,6 +9,7 @@ import sys
 import numpy as np
 import xxhash
 from fixtures import awkward, prose
+from pyspark.sql import functions as F
 
 from cuewright.llm import common, licenses, pii, simhash
 from cuewright.llm.components import components
@@ -168,6 +169,40 @@ def test_no_link_at_the_bound_is_lost(spark, monkeypatch):
         assert sorted(x.doc_id for x in simhash.one_of_each(docs, aim=aim).collect()) == sorted(set(want))
 
 
+def test_texts_of_one_passage_are_not_offered_as_pairs(spark):
+    """What most texts share puts each of them beside few others; the true links among them are found all the same."""
+    r = random.Random(5)
+    passage = [f"p{k}" for k in range(510)]
+    texts = [" ".join([f"w{r.random()}" for _ in range(90)] + passage) for _ in range(100)]
+    texts += [" ".join(near_copy(texts[n].split(), 5, r, n % 2)) for n in range(20)]
+    docs = simhash.materialize(simhash.set_fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 5, 8), "fingerprints")
+    fps = simhash._nodes(docs, ("bits", "digest", "size", "parity", "wide"))
+    met = simhash.met_prefixes(docs, fps, 5, 0.8)
+    who = {x.node: x.best.doc_id for x in fps.collect()}
+    pairs = [tuple(sorted((who[x.u], who[x.v]))) for x in simhash.unmet_pairs(met, fps.withColumn("root", F.col("node")), 0.8).collect()]
+    true = {(n, 100 + n) for n in range(20)}
+    assert all(true_jaccard(texts[a].split(), texts[b].split()) >= 0.8 for a, b in true)
+    assert true <= set(pairs) and len(set(pairs)) < len(texts)
+
+
+def test_rows_without_partner_are_told():
+    """No pair that may meet for the first time under a key loses a row, however few steps are taken."""
+    r = np.random.default_rng(4)
+    for steps in (3, 20, 256):
+        key, size = r.integers(0, 12, 400), r.integers(1, 60, 400)
+        place = r.integers(0, 1 + size // 5)
+        order = np.lexsort((place, size, key))
+        key, place, size = key[order], place[order], size[order]
+        kept, want = simhash._has_partner(key, place, size, 0.8, steps), np.zeros(400, bool)
+        for i in range(400):
+            for j in range(i):
+                if key[i] == key[j] and size[j] >= 0.8 * size[i] and 9 * min(size[i] - place[i], size[j] - place[j]) >= 4 * (size[i] + size[j]):
+                    want[[i, j]] = True
+        assert not (want & ~kept).any() and not want.all()
+        if steps == 256:
+            assert (kept == want).all()
+
+
 def test_chances_meet_the_aim():
     share = simhash.share_of_bits(0.8)
     assert abs(share - 0.1515) < 1e-3
