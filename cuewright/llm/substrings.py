@@ -43,7 +43,7 @@ _BASE = 0x9E3779B97F4A7C15
 BROADCAST_KEYS = 500_000
 HEAVY = 20_000
 _TURNS = 2  # parts of a pass over all buckets; each part reads what the parts before it found
-_CHUNK = 500_000  # bytes of pieces refined at a time, whole buckets
+_CHUNK = 200_000  # bytes of pieces refined at a time, whole buckets
 
 
 class _Hash:
@@ -158,14 +158,20 @@ def refine(pieces: list[bytes], text: np.ndarray, first: np.ndarray, twice: np.n
     at = np.flatnonzero(room >= 1)
     value = hasher.of(hasher.sums(raw), at, at + FIRST)
     at, ids = _equal(_refined(at, value, room), raw)
-    place = first[owner[at]] + at - begin[owner[at]]
-    order = np.lexsort((place, text[owner[at]], ids))
-    ids, place, who = ids[order], place[order], owner[at][order]
-    new = np.ones(len(ids), bool)
-    new[1:] = (ids[1:] != ids[:-1]) | (place[1:] != place[:-1]) | (text[who[1:]] != text[who[:-1]])
-    groups = int(ids.max()) + 1 if len(ids) else 0
-    places = np.bincount(ids, new, minlength=groups) + np.bincount(ids, twice[who], minlength=groups)
-    return np.sort(at[order][places[ids] >= 2])
+    if not len(at):
+        return at
+    who = owner[at]
+    place, groups = (first - begin)[who] + at, int(ids.max()) + 1
+    texts, reach = int(text.max()) + 1, int(place.max()) + 1
+    if groups * texts * reach < 1 << 63:  # one number tells bucket, text and place
+        spot = np.sort((ids.astype(np.int64) * texts + text[who]) * reach + place)
+        of = spot[np.append(True, spot[1:] != spot[:-1])] // (texts * reach)
+    else:
+        order = np.lexsort((place, text[who], ids))
+        i, t, p = ids[order], text[who][order], place[order]
+        of = i[np.append(True, (i[1:] != i[:-1]) | (p[1:] != p[:-1]) | (t[1:] != t[:-1]))]
+    places = np.bincount(of, minlength=groups) + np.bincount(ids[twice[who]], minlength=groups)
+    return np.sort(at[places[ids] >= 2])
 
 
 def _refined(at: np.ndarray, value: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -239,9 +245,11 @@ def _equal(found: tuple[np.ndarray, np.ndarray], raw: np.ndarray) -> tuple[np.nd
     same = raw[at + LENGTH - 1] == raw[head + LENGTH - 1]
     padded = np.append(raw, np.zeros(8, np.uint8))
     words = np.ndarray(len(raw), np.uint64, padded, strides=(1,))  # the eight bytes from each position on
-    opens = np.flatnonzero(~follows)
+    opens = np.flatnonzero(~follows & (at != head))
+    a, b, agrees = at[opens], head[opens], same[opens]
     for k in range(0, LENGTH, 8):
-        same[opens] &= words[at[opens] + k] == words[head[opens] + k]
+        agrees &= words[a + k] == words[b + k]
+    same[opens] = agrees
     if not same.all():
         seen: dict[bytes, int] = {}
         ids = np.array([seen.setdefault(raw[p : p + LENGTH].tobytes(), len(seen)) for p in at.tolist()])
@@ -258,7 +266,7 @@ def _split(at: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     new = np.ones(len(v), bool)
     new[1:] = v[1:] != v[:-1]
     number = np.cumsum(new) - 1
-    alone = np.bincount(number)[number] == 1 if len(v) else new
+    alone = new & np.append(new, True)[1:]
     out = np.full(len(value), -1)
     kept = some[order[~alone]]
     out[kept] = number[~alone]

@@ -108,3 +108,22 @@ def test_hot_buckets_are_broadcast(spark, monkeypatch):
     want = sorted((str(r.doc_id), r.kept_sha256) for r in S.remove_repeats(docs).collect())
     monkeypatch.setattr(common, "SPLIT", 4)
     assert sorted((str(r.doc_id), r.kept_sha256) for r in S.remove_repeats(docs).collect()) == want
+
+
+def test_refined_places_of_any_size_are_told_apart():
+    """Buckets, texts and places are counted alike whether or not one number holds all three."""
+    r = random.Random(9)
+    base = bytes(r.choice(b"abcdefgh") for _ in range(600))
+    pieces = [base[:360], base[100:460], base[100:460], base[240:600], bytes(r.choice(b"ij") for _ in range(360)), base[:200] + b"!" * 160]
+    first, twice, hasher = np.array([0, 100, 7, 240, 3, 50]), np.array([False, False, False, True, True, False]), S._Hash(1 << 12)
+    text = np.array([0, 0, 1, 0, 2, 3])
+    begin, spots, known = np.arange(6) * 360, {}, set()
+    for i, p in enumerate(pieces):
+        for k in range(161):
+            spots.setdefault(p[k : k + 200], set()).add((text[i], first[i] + k))
+            known |= {p[k : k + 200]} if twice[i] else set()
+    several = [(i, k) for i, p in enumerate(pieces) for k in range(161) if len(spots[p[k : k + 200]]) + (p[k : k + 200] in known) > 1]
+    held = {s for i, p in enumerate(pieces) for k in range(161) if (s := p[k : k + 200]) and sum(q.count(s) for q in pieces) > 1}
+    want = sorted(begin[i] + k for i, k in several if pieces[i][k : k + 200] in held)
+    for far in (0, 1 << 61):
+        assert want and S.refine(pieces, text, first + far, twice, hasher).tolist() == want
