@@ -3,6 +3,8 @@ the generated side; times are reported in whole milliseconds."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -232,9 +234,13 @@ def d6_purity(spark, sf):
     return top.groupBy("file_id").agg(F.round(F.try_divide(F.sum("most"), F.sum("all")), 4).alias("purity"))
 
 
-def decide(votes: DataFrame, keys) -> DataFrame:
-    """votes: keys, lang, weight. keys, lang, score and margin to the runner-up, both rounded half-even to two places."""
-    sums = votes.filter("lang is not null").groupBy(*keys, "lang").agg(F.sum("weight").alias("w"))
+def decide(votes: DataFrame, keys, by: Sequence[str] = ()) -> DataFrame:
+    """votes: keys, lang, weight. keys, lang, score and margin to the runner-up, both rounded half-even to two places.
+
+    Weights are added in the order of ``by``, then by size: sums of doubles that are to tie do not depend on how rows are split."""
+    told = F.array_sort(F.collect_list(F.when(F.col("weight").isNotNull(), F.struct(*by, "weight"))))
+    sums = votes.filter("lang is not null").groupBy(*keys, "lang").agg(told.alias("told"))
+    sums = sums.withColumn("w", F.when(F.size("told") > 0, F.aggregate("told", F.lit(0.0), lambda a, x: a + x["weight"]))).drop("told")
     ranked = sums.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(-F.col("w"), "lang"))).alias("x"))
     first, second = -F.col("x")[0]["col1"], F.coalesce(-F.get("x", F.lit(1))["col1"], F.lit(0.0))
     return ranked.select(*keys, F.col("x")[0]["lang"].alias("lang"), F.bround(first, 2).alias("score"), F.bround(first - second, 2).alias("margin"))
@@ -242,8 +248,8 @@ def decide(votes: DataFrame, keys) -> DataFrame:
 
 def d7_decide(spark, sf):
     """Votes of the hour: each span votes for its language with its confidence; confident from 1.0 with a margin of 0.4."""
-    v = spans(spark, sf).select("file_id", F.floor(F.col("s") / 36000).alias("hour"), "lang", F.col("conf").alias("weight"))
-    d = decide(v, ["file_id", "hour"])
+    v = spans(spark, sf).select("file_id", F.floor(F.col("s") / 36000).alias("hour"), "lang", "pos", F.col("conf").alias("weight"))
+    d = decide(v, ["file_id", "hour"], ["pos"])
     return d.withColumn("confident", (F.col("score") >= 1.0) & (F.col("margin") >= 0.4))
 
 

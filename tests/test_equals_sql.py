@@ -1,6 +1,6 @@
 """Cases in which queries once gave other results than their SQL."""
 
-from cuewright.plans import extras
+from cuewright.plans import extras, timed
 
 
 def test_tables_may_be_folders(spark, tmp_path):
@@ -9,3 +9,11 @@ def test_tables_may_be_folders(spark, tmp_path):
     spark.range(2).coalesce(1).write.parquet(f"{tmp_path}/one")
     next((tmp_path / "one").glob("part-*.parquet")).rename(folder / "benchmark.parquet")
     assert [r.name for r in extras.a1_find_files(spark, str(folder)).collect()] == ["benchmark", "documents"]
+
+
+def test_votes_add_up_in_the_order_of_rows(spark):
+    rows = [(1, 3, "b", 0.3), (1, 2, "b", 0.2), (1, 4, "a", 0.6), (1, 1, "b", 0.1)]
+    votes = spark.createDataFrame(rows, "file_id long, pos long, lang string, weight double").coalesce(1)
+    got = {r.file_id: (r.lang, r.score, r.margin) for r in timed.decide(votes, ["file_id"], ["pos"]).collect()}
+    assert 0.1 + 0.2 + 0.3 > 0.6 == 0.3 + 0.2 + 0.1
+    assert got == {1: ("b", 0.6, 0.0)}
