@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -181,7 +183,8 @@ def e17_sentences(spark, sf):
     c = cues(spark, sf).select("file_id", "idx", "s", "e", F.filter(F.transform(F.split("src", r"[.\n]"), lambda x: F.trim(x)), lambda x: x != "").alias("parts"))
     total = F.aggregate("parts", F.lit(0), lambda a, x: a + F.length(x))
     x = c.withColumn("total", total).select("*", F.posexplode("parts").alias("part", "text"))
-    share = F.greatest(F.lit(0.3), (F.col("e") - F.col("s") - 0.083 * (F.size("parts") - 1)) * F.length("text") / F.col("total"))
+    gaps = (F.lit(Decimal("0.083")) * (F.size("parts") - 1)).cast("double")  # exact, as a product of decimals is in SQL
+    share = F.greatest(F.lit(0.3), (F.col("e") - F.col("s") - gaps) * F.length("text") / F.col("total"))
     w = Window.partitionBy("file_id", "idx").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     x = x.withColumn("d", share)
     return x.select("file_id", "idx", "part", ms(F.col("s") + F.coalesce(F.sum(F.col("d") + 0.083).over(w), F.lit(0.0))).alias("start_ms"), ms("d").alias("length_ms"))

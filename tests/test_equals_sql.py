@@ -1,6 +1,8 @@
 """Cases in which queries once gave other results than their SQL."""
 
-from cuewright.plans import extras, timed
+import duckdb
+
+from cuewright.plans import extras, sequences, timed
 
 
 def test_tables_may_be_folders(spark, tmp_path):
@@ -17,3 +19,15 @@ def test_votes_add_up_in_the_order_of_rows(spark):
     got = {r.file_id: (r.lang, r.score, r.margin) for r in timed.decide(votes, ["file_id"], ["pos"]).collect()}
     assert 0.1 + 0.2 + 0.3 > 0.6 == 0.3 + 0.2 + 0.1
     assert got == {1: ("b", 0.6, 0.0)}
+
+
+def test_gaps_between_sentences_are_exact(spark, tmp_path):
+    text = ". ".join("x" * n for n in (19, 40, 24, 48, 25, 4)) + "."
+    text = text + " " * (171 - len(text))
+    spark.createDataFrame([(1, 0, "user", text)], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    con.execute("create view documents as select 0 as doc_id, '' as text, '' as lang")
+    con.execute("create view events as select 0 as event_id, 0 as user_id, now() as ts, '' as event_type, 0.0 as value, '' as props")
+    want = con.execute(f"select part, start_ms, length_ms from ({sequences.SQL['e17_sentences']}) order by part").fetchall()
+    assert len(want) == 6 and [tuple(r) for r in sequences.e17_sentences(spark, str(tmp_path)).orderBy("part").select("part", "start_ms", "length_ms").collect()] == want
