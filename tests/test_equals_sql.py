@@ -2,6 +2,7 @@
 
 import duckdb
 
+from cuewright.operators import tracks
 from cuewright.plans import extras, sequences, timed
 
 
@@ -31,3 +32,12 @@ def test_gaps_between_sentences_are_exact(spark, tmp_path):
     con.execute("create view events as select 0 as event_id, 0 as user_id, now() as ts, '' as event_type, 0.0 as value, '' as props")
     want = con.execute(f"select part, start_ms, length_ms from ({sequences.SQL['e17_sentences']}) order by part").fetchall()
     assert len(want) == 6 and [tuple(r) for r in sequences.e17_sentences(spark, str(tmp_path)).orderBy("part").select("part", "start_ms", "length_ms").collect()] == want
+
+
+def test_tracks_are_read_once(spark):
+    one = spark.range(1).selectExpr("id as file", "cast(0 as int) as idx", "'eng' as language", "cast(id as string) as title", "'subrip' as codec", "true as is_text", "false as forced", "true as is_default")
+    targets, side = one.selectExpr("file", "explode(array('en', 'th')) as target"), one.selectExpr("file", "'ko' as code")
+    source = tracks.plan_sources(one, targets, one.selectExpr("file", "'ja' as spoken"), side, ("ja",))[1]
+    assert [tuple(r) for r in source.collect()] == [(0, "en", "text", 0)]
+    for df in (source, tracks.bitmap_targets(one, targets, ("ja",))):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("karaoke") == 1  # the filter of usable tracks
